@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, warc
+from . import secrets, sharding, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
     "op2_warc": warc.op2_warc,
+    "op5_winnowing": winnowing.op5_winnowing,
+    "op6_secrets": secrets.op6_secrets,
 }
 
 ORACLES: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
+    "op5_winnowing": winnowing.OP5_SQL,
+    "op6_secrets": secrets.OP6_SQL,
 }
