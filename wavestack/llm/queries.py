@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets, sharding, warc, winnowing
+from . import bpe, secrets, sharding, toxicity, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
     "op2_warc": warc.op2_warc,
     "op5_winnowing": winnowing.op5_winnowing,
     "op6_secrets": secrets.op6_secrets,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_bpe": bpe.op10_bpe,
 }
 
