@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets, sharding, toxicity, warc, winnowing
+from . import audio, bpe, language, secrets, sharding, toxicity, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
     "op2_warc": warc.op2_warc,
+    "op3_audio": audio.op3_audio,
+    "op4_language": language.op4_language,
     "op5_winnowing": winnowing.op5_winnowing,
     "op6_secrets": secrets.op6_secrets,
     "op8_toxicity": toxicity.op8_toxicity,
