@@ -117,7 +117,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20):
+def slices(offsets: np.ndarray, most: int = 1 << 20):
     """Consecutive row ranges of at most ``most`` bytes each (a longer row is a range of its own)."""
     at, n = 0, len(offsets) - 1
     while at < n:
@@ -182,3 +182,9 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 def blob(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
+
+
+def buckets_for(df: DataFrame, per: int = 8 << 20, least: int = 48, most: int = 1 << 20) -> int:
+    """Number of hash buckets for an input, in proportion to the size that its plan states."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(min(most, max(least, size // per)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, language, secrets, sharding, toxicity, warc, winnowing
+from . import audio, bpe, language, repeats, secrets, sharding, toxicity, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": language.op4_language,
     "op5_winnowing": winnowing.op5_winnowing,
     "op6_secrets": secrets.op6_secrets,
+    "op7_repeats": repeats.op7_repeats,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_bpe": bpe.op10_bpe,
 }
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
     "op5_winnowing": winnowing.OP5_SQL,
     "op6_secrets": secrets.OP6_SQL,
+    "op7_repeats": repeats.OP7_SQL,
 }
