@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, language, repeats, secrets, sharding, toxicity, warc, winnowing
+from . import audio, bpe, language, near_duplicates, repeats, secrets, sharding, toxicity, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": secrets.op6_secrets,
     "op7_repeats": repeats.op7_repeats,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_near_duplicates": near_duplicates.op9_near_duplicates,
     "op10_bpe": bpe.op10_bpe,
 }
 

@@ -251,40 +251,61 @@ def _best(model: Model, text: str | None, cache: dict[str, float]) -> float:
 _CACHES: dict[bytes, dict[str, float]] = {}
 
 
-def score_documents(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, score) of every row; null and empty texts get the score of a text without telling words.
-
-    Repeated rows get equal scores; other columns are ignored; texts are read whole.
-    """
+def _scorer(docs: DataFrame, model: Model):
+    """A function of the texts of a batch to their scores, for use in tasks."""
     spread = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.slope, model.offset, model.floor))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(texts: pa.Array) -> np.ndarray:
         own = Model(*spread.value)
         ident = own.weights.tobytes()[:4096] + repr((own.bias, own.slope, own.offset, float(own.weights.sum()))).encode()
         if ident not in _CACHES:
             _CACHES.clear()
             _CACHES[ident] = {}
         cache = _CACHES[ident]
+        out = []
+        for at in range(0, len(texts), 256):
+            if len(cache) > REMEMBERED:
+                cache.clear()
+            bags = [set(tokens(v.as_py())) for v in texts.slice(at, 256)]
+            new = [w for w in set().union(*bags) if w not in cache]
+            parts = pieces(new)
+            flat = own.words([p for x in parts for p in x])
+            i = 0
+            for w, x in zip(new, parts, strict=True):
+                cache[w] = float(flat[i]) if len(x) == 1 else float(flat[i : i + len(x)].max())
+                i += len(x)
+            get = cache.__getitem__
+            out.append(own.score(np.array([max(map(get, bag), default=own.floor) for bag in bags])))
+        return np.concatenate(out) if out else np.zeros(0)
+
+    return score
+
+
+def score_documents(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, score) of every row; null and empty texts get the score of a text without telling words.
+
+    Repeated rows get equal scores; other columns are ignored; texts are read whole.
+    """
+    score = _scorer(docs, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                if len(cache) > REMEMBERED:
-                    cache.clear()
-                bags = [set(tokens(v.as_py())) for v in part.column(1)]
-                new = [w for w in set().union(*bags) if w not in cache]
-                parts = pieces(new)
-                flat = own.words([p for x in parts for p in x])
-                i = 0
-                for w, x in zip(new, parts, strict=True):
-                    cache[w] = float(flat[i]) if len(x) == 1 else float(flat[i : i + len(x)].max())
-                    i += len(x)
-                get = cache.__getitem__
-                best = np.array([max(map(get, bag), default=own.floor) for bag in bags])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.score(best), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def reject_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``threshold``."""
+    score, at = _scorer(docs, model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score(batch.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_ROWS, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """Fit on at most ``rows`` labelled rows for which ``usable`` (of the key) holds, half of either label
     where there are enough; rows are chosen by a hash of the key, so the sample does not depend on layout."""
