@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blob, buckets_for, join_small, mix, read_table, slices, small_enough, stage, text_buffers
+from .common import Words, blob, buckets_for, join_small, mix, read_table, slices, stage, text_buffers
 from .components import components
 from .repeats import _bucket, _runs, _send
 
@@ -42,6 +42,8 @@ SLICES = 64
 #: Most sets of a key of which all pairs are formed at once.
 SMALL = 48
 GATHERED = 1_000_000
+#: Most pairs of one hub that are verified in one block.
+HUB_PAIRS = 2_000
 MASK = (1 << 64) - 1
 SALT_PART, SALT_SHORT = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
 
@@ -339,19 +341,28 @@ def _verify(rule: Rule):
 
 
 def _links(pairs: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> DataFrame:
-    """The verified among ``pairs`` (a, b). Sets go once to every block of pairs that needs them."""
-    blocks = max(64, min(1 << 16, pairs.count() // 2000))
-    wanted = stage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "near-wanted")
-    rows = names.join(F.broadcast(wanted) if small_enough(wanted) else wanted, "id").groupBy("id").agg(F.min("doc").alias("doc"))
-    some = join_small(docs.withColumnRenamed("doc", "d"), stage(rows.select("doc"), "near-rows").distinct(), F.col("d").eqNullSafe(F.col("doc")), "left_semi")
-    sets = some.select("text").mapInArrow(_emit_token_sets(rule.words), "id long, tokens binary")
-    sets = stage(sets.join(F.broadcast(wanted) if small_enough(wanted) else wanted, "id", "left_semi").groupBy("id").agg(F.first("tokens").alias("tokens")), "near-sets")
-    block = F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int").alias("block")
-    placed = pairs.select(block, "a", "b")
+    """The verified among ``pairs`` (a, b).
+
+    Pairs are blocked by the smallest set that their first member pairs with, so a clique of candidates is
+    one block and each of its token sets is sent once; hubs of more than ``HUB_PAIRS`` pairs are salted.
+    Token sets are made from the texts again and go straight to the blocks that need them.
+    """
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("hub"))
+    hubs = pairs.join(least, "a")
+    salts = hubs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).alias("salts"))
+    placed = stage(hubs.join(salts, "hub").select(F.xxhash64("hub", F.pmod(F.xxhash64("b"), F.col("salts"))).alias("block"), "a", "b"), "near-blocks")
     needs = placed.select("block", F.col("a").alias("id")).union(placed.select("block", F.col("b").alias("id"))).distinct()
-    given = needs.join(sets, "id").select("block", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
-    both = placed.withColumn("tokens", F.lit(None).cast("binary")).unionByName(given)
-    return stage(both.groupBy("block").applyInArrow(_verify(rule), "u long, v long"), "near-links")
+    needs = stage(needs, "near-needs")
+    wanted = needs.select("id").distinct()
+    rows = join_small(names, stage(wanted, "near-wanted"), "id", "left_semi").groupBy("id").agg(F.min("doc").alias("doc")).select("doc").distinct()
+    some = join_small(docs.withColumnRenamed("doc", "d"), stage(rows, "near-rows"), F.col("d").eqNullSafe(F.col("doc")), "left_semi")
+    sets = some.select("text").mapInArrow(_emit_token_sets(rule.words), "id long, tokens binary")
+    given = join_small(sets, needs, "id", "inner").select("block", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
+    work = placed.withColumn("tokens", F.lit(None).cast("binary")).unionByName(given)
+    # many blocks share a group, as a group costs a call
+    n = max(64, min(1 << 20, needs.count() // 200))
+    return stage(work.withColumn("group", F.pmod("block", F.lit(n))).drop("block").groupBy("group").applyInArrow(_verify(rule), "u long, v long"), "near-links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:

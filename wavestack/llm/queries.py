@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
 from . import audio, bpe, language, near_duplicates, repeats, secrets, sharding, toxicity, warc, winnowing
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+
+def _shipped(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
     "op2_warc": warc.op2_warc,
     "op3_audio": audio.op3_audio,
@@ -21,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
 }
 
+QUERIES = {name: _shipped(query) for name, query in _ALL.items()}
+
 ORACLES: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
     "op5_winnowing": winnowing.OP5_SQL,
