@@ -39,8 +39,8 @@ from .repeats import _bucket, _runs, _send
 _U = np.uint64
 MOST_BITS, LEAST_BITS = 24, 12
 SLICES = 64
-#: Most sets of a key of which all pairs are formed at once.
-SMALL = 48
+#: Most sets of a combination key, and of a single token, of which all pairs are formed at once.
+SMALL, SMALL_SINGLE = 48, 256
 GATHERED = 1_000_000
 #: Most pairs of one hub that are verified in one block.
 HUB_PAIRS = 2_000
@@ -167,7 +167,7 @@ def _frequent(table: DataFrame, bits: int, spark: SparkSession) -> bytes:
     for row in slim.toLocalIterator():
         counts[row["slice"] * width : (row["slice"] + 1) * width] += np.frombuffer(row["counts"], np.int32)
     mean = counts.mean()
-    return np.packbits(counts > mean + 6 * np.sqrt(mean + 1) + 40).tobytes()
+    return np.packbits(counts > mean + 5 * np.sqrt(mean + 1) + 16).tobytes()
 
 
 # ------------------------------------------------------------------ keys
@@ -245,11 +245,11 @@ def _emit_keys(rule: Rule, bits: int, packed, n_buckets: int):
     return run
 
 
-_PAIRS = "a long, b long, shared int, need int, many long"
+_PAIRS = "a long, b long, shared int, need int, tried boolean, many long"
 
 
 def _pairs(rule: Rule):
-    """Candidate pairs of a bucket: rows (a, b, shared, need), and (a, null, .., many = key) for keys of many sets."""
+    """Candidate pairs of a bucket: rows (a, b, shared, need, tried), and (a, null, .., many = key) for keys of many sets."""
 
     def run(table: pa.Table) -> pa.Table:
         key, ident, meta = (np.concatenate([np.frombuffer(x, k) for x in table[c].to_pylist()]) for c, k in (("keys", _U), ("ids", np.int64), ("sizes", np.int32)))
@@ -260,45 +260,48 @@ def _pairs(rule: Rule):
         key, ident, meta = key[keep], ident[keep], meta[keep]
         edge = _runs(key)
         size = np.diff(edge)
-        left, right, big = [], [], []
-        for g in range(2, SMALL + 1):
-            start = edge[:-1][size == g]
-            if len(start):
-                i, j = np.triu_indices(g, 1)
-                left.append((start[:, None] + i[None, :]).ravel())
-                right.append((start[:, None] + j[None, :]).ravel())
-        hubs = []
-        for a, b in zip(edge[:-1][size > SMALL], edge[1:][size > SMALL], strict=True):
+        combined = meta[edge[:-1]] < 0
+        crowd = size > np.where(combined, SMALL, SMALL_SINGLE)
+        left, right, free, big = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
+        for g in np.unique(size[~crowd]):
+            if g < 2:
+                continue
+            start = edge[:-1][(size == g) & ~crowd]
+            i, j = np.triu_indices(g, 1)
+            left.append((start[:, None] + i[None, :]).ravel())
+            right.append((start[:, None] + j[None, :]).ravel())
+            free.append(np.zeros(len(left[-1]), bool))
+        for a, b in zip(edge[:-1][crowd], edge[1:][crowd], strict=True):
             big.append(np.arange(a, b))
             left.append(np.full(b - a - 1, a))
             right.append(np.arange(a + 1, b))
-            hubs.append(len(left) - 1)
-        if left:
-            i, j = np.concatenate(left), np.concatenate(right)
-            free = np.concatenate([np.full(len(x), k in set(hubs)) for k, x in enumerate(left)])
-        else:
-            i = j = np.zeros(0, np.int64)
-            free = np.zeros(0, bool)
+            free.append(np.ones(b - a - 1, bool))
+        i, j, free = np.concatenate(left), np.concatenate(right), np.concatenate(free)
         combo = meta[i] < 0
         n, m = np.abs(meta[i]) // 2, np.abs(meta[j]) // 2
         both_mixed = (np.abs(meta[i]) % 2 == 1) & (np.abs(meta[j]) % 2 == 1)
         good = (100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)) & (combo | free | ~both_mixed)
         i, j = i[good], j[good]
-        need = np.where(combo | free, 0, np.minimum(rule.extra(n), rule.extra(m)))[good]
+        need = np.where(combo, 0, np.minimum(rule.extra(n), rule.extra(m)))[good]
+        star = free[good]
         a, b = ident[i], ident[j]
         order = np.lexsort((b, a))
-        a, b, need = a[order], b[order], need[order]
+        a, b, need, star = a[order], b[order], need[order], star[order]
         runs = _runs(a, b)
         start = runs[:-1]
-        shared = np.diff(runs)
+        # a star's pair is a token that the crowd's rows count as well: it is tried, but not counted here
+        shared = np.add.reduceat((~star).astype(np.int64), start) if len(start) else np.diff(runs)
+        tried = np.maximum.reduceat(star, start) if len(start) else star
         need = np.minimum.reduceat(need, start) if len(start) else need
-        members = np.concatenate(big) if big else np.zeros(0, np.int64)
+        members = np.concatenate(big)
+        extra = np.where(meta[members] < 0, 0, rule.extra(np.abs(meta[members]) // 2))
         tail = pa.nulls(len(members), pa.int64())
         return pa.table({
             "a": pa.concat_arrays([pa.array(a[start]), pa.array(ident[members])]),
             "b": pa.concat_arrays([pa.array(b[start]), tail]),
             "shared": pa.array(np.concatenate([shared, np.zeros(len(members))]).astype(np.int32)),
-            "need": pa.array(np.concatenate([need, np.zeros(len(members))]).astype(np.int32)),
+            "need": pa.array(np.concatenate([need, extra]).astype(np.int32)),
+            "tried": pa.concat_arrays([pa.array(tried.astype(bool)), pa.nulls(len(members), pa.bool_())]),
             "many": pa.concat_arrays([pa.nulls(len(start), pa.int64()), pa.array(key[members].view(np.int64))]),
         })
 
@@ -383,20 +386,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 4, text: st
     packed = spark.sparkContext.broadcast(_frequent(table, bits, spark))
     keyed = rows.select("text").mapInArrow(_emit_keys(rule, bits, packed, buckets), _KEYS)
     found = stage(keyed.groupBy("bucket").applyInArrow(_pairs(rule), _PAIRS), "near-pairs")
-    pairs = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
-    pairs = stage(pairs, "near-candidates")
+    counted = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"), F.bool_or("tried").alias("tried"))
+    pairs = stage(counted.where("shared >= need OR tried").select("a", "b"), "near-candidates")
     links = _links(pairs, rows, names, rule)
-    crowd = found.where("b IS NULL").select("many", F.col("a").alias("node"))
+    crowd = found.where("b IS NULL").select("many", F.col("a").alias("node"), "need")
     if crowd.limit(1).count():
-        labels = components(links)
-        told = stage(crowd.join(labels, "node", "left").select("many", "node", F.coalesce("label", "node").alias("label")), "near-crowds")
+        told = crowd.join(components(links), "node", "left").select("many", "node", "need", F.coalesce("label", "node").alias("label"))
+        told = stage(told, "near-crowds")
         split = told.groupBy("many").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("many")
-        # one row per key and component that is not the key's largest, against the key's other members
         left = told.join(split, "many", "left_semi")
+        # members outside a key's largest component, against all its members of other components
         sizes = left.groupBy("many", "label").agg(F.count(F.lit(1)).alias("c"))
         largest = sizes.groupBy("many").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-        minor = left.join(largest, "many").where("label != main").select("many", F.col("node").alias("x"), F.col("label").alias("lx"))
-        cross = minor.join(left, "many").where("lx != label").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        minor = left.join(largest, "many").where("label != main").select("many", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("need").alias("nx"), "main")
+        met = minor.join(left, "many").where("lx != label AND (label = main OR x < node)")
+        met = met.groupBy(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(F.least("nx", "need")).alias("least"))
+        # shared tokens of crowded keys and of others together decide, as for all pairs
+        cross = met.join(counted.select("a", "b", "shared"), ["a", "b"], "left").where("met + coalesce(shared, 0) >= least").select("a", "b")
         cross = stage(cross.join(pairs, ["a", "b"], "left_anti"), "near-cross")
         if cross.limit(1).count():
             links = links.unionByName(_links(cross, rows, names, rule))
