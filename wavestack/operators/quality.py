@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 
 def channel_flags(samples: DataFrame, keys: list[str], expected: int | None = None, allow_gaps: bool = False, value: str = "value") -> DataFrame:
-    """Per channel: n_samples, flat, gaps, overlaps and usable.
+    """Per channel: n_samples, flat, n_gaps, n_overlaps and usable.
 
     ``samples`` is (keys..., n, value); a repeated n is an overlap, a skipped one a gap. ``expected`` is the
     number of samples of the full span, if it must be covered.
@@ -17,11 +17,11 @@ def channel_flags(samples: DataFrame, keys: list[str], expected: int | None = No
     rows = samples.withColumn("_step", step)
     out = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_samples"), (F.max(value) == F.min(value)).alias("flat"),
-        F.sum(F.when(F.col("_step") > 1, 1).otherwise(0)).alias("gaps"), F.sum(F.when(F.col("_step") == 0, 1).otherwise(0)).alias("overlaps"),
+        F.sum(F.when(F.col("_step") > 1, 1).otherwise(0)).alias("n_gaps"), F.sum(F.when(F.col("_step") == 0, 1).otherwise(0)).alias("n_overlaps"),
     )
-    good = ~F.col("flat") & (F.col("overlaps") == 0)
+    good = ~F.col("flat") & (F.col("n_overlaps") == 0)
     if not allow_gaps:
-        good = good & (F.col("gaps") == 0)
+        good = good & (F.col("n_gaps") == 0)
     if expected is not None:
         good = good & (F.col("n_samples") >= expected)
     return out.withColumn("usable", good)

@@ -37,7 +37,7 @@ def taper(df: DataFrame, keys: list[str], value: str = "value", share: float = 0
 def upsample(df: DataFrame, factor: int, keys: list[str], value: str = "value") -> DataFrame:
     """Linear interpolation at ``factor`` times the rate; the last sample has no successor and stands alone."""
     after = F.lead(value).over(Window.partitionBy(*keys).orderBy("n"))
-    wide = df.withColumn("_next", after).withColumn("_k", F.explode(F.when(after.isNotNull(), F.sequence(F.lit(0), F.lit(factor - 1))).otherwise(F.array(F.lit(0)))))
+    wide = df.withColumn("_next", after).withColumn("_k", F.explode(F.when(F.col("_next").isNotNull(), F.sequence(F.lit(0), F.lit(factor - 1))).otherwise(F.array(F.lit(0)))))
     between = F.col(value) + (F.coalesce("_next", value) - F.col(value)) * F.col("_k") / factor
     return wide.withColumn(value, between).withColumn("n", F.col("n") * factor + F.col("_k")).drop("_next", "_k")
 
