@@ -101,9 +101,8 @@ def general(x: Column, digits: int) -> Column:
     if digits < 1:
         raise ConfigError("at least one digit")
     # ties go to the even digit here; the formatter below would round them up
-    size = F.floor(F.log10(F.nullif(F.abs(x), F.lit(0.0)))).cast("int")
-    for e in range(-9, 10):
-        x = F.when(size == e, F.bround(x, digits - 1 - e)).otherwise(x)
+    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.nullif(F.abs(x), F.lit(0.0)))))
+    x = F.coalesce(F.rint(x * scale) / scale, x)
     text = F.format_string(f"%.{digits - 1}e", x)
     exponent = F.regexp_extract(text, r"e([+-]\d+)$", 1).cast("int")
     mantissa = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"^([^e]+)e", 1), r"(\.\d*?)0+$", "$1"), r"\.$", "")
