@@ -18,9 +18,9 @@ Prefixes. Two sets of Jaccard similarity t or more share their first l common to
   the same parts; a part without tokens is a key only for sets with so many of them that it is needed.
 
 Verification compares whole token sets. A key with few sets gives all its pairs. A key with many gives a
-star first; once stars are verified and joined into components, only pairs of such a key that lie in
-different components are formed and verified, so a group of thousands of near copies costs a number of
-checks in proportion to its size, and no link between components is lost.
+star first; once stars are verified and joined into components, pairs of different components are sought
+among the key's sets by what they changed against the star's hub (see ``_across``), so a group of thousands
+of near copies costs a number of checks in proportion to its size, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Words, blob, buckets_for, join_small, mix, read_table, slices, stage, text_buffers
 from .components import components
@@ -289,18 +290,16 @@ def _pairs(rule: Rule):
         a, b, need, star = a[order], b[order], need[order], star[order]
         runs = _runs(a, b)
         start = runs[:-1]
-        # a star's pair is a token that the crowd's rows count as well: it is tried, but not counted here
-        shared = np.add.reduceat((~star).astype(np.int64), start) if len(start) else np.diff(runs)
+        shared = np.diff(runs)
         tried = np.maximum.reduceat(star, start) if len(start) else star
         need = np.minimum.reduceat(need, start) if len(start) else need
         members = np.concatenate(big)
-        extra = np.where(meta[members] < 0, 0, rule.extra(np.abs(meta[members]) // 2))
         tail = pa.nulls(len(members), pa.int64())
         return pa.table({
             "a": pa.concat_arrays([pa.array(a[start]), pa.array(ident[members])]),
             "b": pa.concat_arrays([pa.array(b[start]), tail]),
             "shared": pa.array(np.concatenate([shared, np.zeros(len(members))]).astype(np.int32)),
-            "need": pa.array(np.concatenate([need, extra]).astype(np.int32)),
+            "need": pa.array(np.concatenate([need, np.zeros(len(members))]).astype(np.int32)),
             "tried": pa.concat_arrays([pa.array(tried.astype(bool)), pa.nulls(len(members), pa.bool_())]),
             "many": pa.concat_arrays([pa.nulls(len(start), pa.int64()), pa.array(key[members].view(np.int64))]),
         })
@@ -322,8 +321,8 @@ def _emit_token_sets(k: int):
     return run
 
 
-def _verify(rule: Rule):
-    """Links among the pairs of one block, which holds each needed set once."""
+def _per_pair(function, schema: pa.Schema):
+    """Apply ``function(a, b, tokens of a, tokens of b)`` to the pairs of one block, which holds each needed set once."""
 
     def run(table: pa.Table) -> pa.Table:
         other = pa.compute.fill_null(table["b"], 0).to_numpy()
@@ -331,20 +330,31 @@ def _verify(rule: Rule):
         ids = table["a"].to_numpy()
         packed = table["tokens"]
         sets = {int(ids[i]): np.frombuffer(packed[int(i)].as_py(), _U) for i in np.flatnonzero(is_set)}
-        a, b = [], []
+        out = []
         for i in np.flatnonzero(~is_set):
-            x, y = sets[int(ids[i])], sets[int(other[i])]
-            both = len(x) + len(y) - len(np.union1d(x, y)) if len(x) > 64 * len(y) else int(np.isin(x, y, assume_unique=True).sum())
-            if rule.similar(both, len(x), len(y)):
-                a.append(int(ids[i]))
-                b.append(int(other[i]))
-        return pa.table({"u": pa.array(a, pa.int64()), "v": pa.array(b, pa.int64())})
+            a, b = int(ids[i]), int(other[i])
+            if (got := function(a, b, sets[a], sets[b])) is not None:
+                out.append(got)
+        columns = list(zip(*out, strict=True)) if out else [[] for _ in schema]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return run
 
 
-def _links(pairs: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> DataFrame:
-    """The verified among ``pairs`` (a, b).
+def _link(rule: Rule):
+    def decide(a: int, b: int, x: np.ndarray, y: np.ndarray):
+        both = int(np.isin(x, y, assume_unique=True).sum())
+        return (a, b) if rule.similar(both, len(x), len(y)) else None
+
+    return _per_pair(decide, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+
+def _difference(a: int, b: int, x: np.ndarray, y: np.ndarray):
+    return a, b, len(x), np.setxor1d(x, y, assume_unique=True).view(np.int64).tolist()
+
+
+def _with_sets(pairs: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule, function, schema: str, name: str) -> DataFrame:
+    """``function`` over ``pairs`` (a, b) with their token sets.
 
     Pairs are blocked by the smallest set that their first member pairs with, so a clique of candidates is
     one block and each of its token sets is sent once; hubs of more than ``HUB_PAIRS`` pairs are salted.
@@ -365,7 +375,46 @@ def _links(pairs: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> D
     work = placed.withColumn("tokens", F.lit(None).cast("binary")).unionByName(given)
     # many blocks share a group, as a group costs a call
     n = max(64, min(1 << 20, needs.count() // 200))
-    return stage(work.withColumn("group", F.pmod("block", F.lit(n))).drop("block").groupBy("group").applyInArrow(_verify(rule), "u long, v long"), "near-links")
+    return stage(work.withColumn("group", F.pmod("block", F.lit(n))).drop("block").groupBy("group").applyInArrow(function, schema), name)
+
+
+def _links(pairs: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> DataFrame:
+    """The verified among ``pairs`` (a, b), as (u, v)."""
+    return _with_sets(pairs, docs, names, rule, _link(rule), "u long, v long", "near-links")
+
+
+def _across(told: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> DataFrame:
+    """Candidate pairs (a, b) of different components among the members of crowded keys.
+
+    ``told`` has many (the key), node and label (its component so far). Each key names its member of most
+    keys as hub, as a rule the text that a family of near copies was made from, and members are described by
+    how their token set differs from the hub's. The size of the difference of two sets is at most
+    (100 - p) (n + m) / (100 + p) if they link, and it is also the difference of their two differences; so
+    with x not linked to the hub (those pairs are tried as well), x and y can only link if their differences share at
+    least ``o = (|dx| + |dy| - most) / 2 >= 1`` tokens, and then some token is within the first
+    ``|d| - o + 1`` of both, rarest first. Members that were changed in different ways never meet.
+    """
+    split = told.groupBy("many").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("many")
+    left = told.join(split, "many", "left_semi")
+    degree = left.groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
+    hubs = left.join(degree, "node").groupBy("many").agg(F.max(F.struct("deg", "node", "label")).alias("h")).select("many", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label"))
+    members = stage(left.join(hubs, "many").where("node != hub").select("node", "label", "hub", "hub_label").distinct(), "near-members")
+    differ = _with_sets(members.select(F.col("node").alias("a"), F.col("hub").alias("b")), docs, names, rule, _per_pair(_difference, pa.schema([("node", pa.int64()), ("hub", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])), "node long, hub long, n int, tokens array<long>", "near-differences")
+    each = differ.select("node", "hub", "n", F.size("tokens").alias("d"), F.explode("tokens").alias("token")).join(members, ["node", "hub"])
+    often = each.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("hub", "node").orderBy("df", "token")) - 1
+    each = each.join(often.where("df > 1"), ["hub", "token"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", place).where("df > 1")
+    each = stage(each, "near-changes")
+    f = (100 - rule.percent) / (100 + rule.percent)
+    # |d| - o < |d| (1 + f) / 2 + 1 for any partner of a set outside the hub's component
+    y = each.where(F.col("at") <= F.col("d") * (1 + f) / 2 + 2).select("hub", "token", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("at").alias("py"))
+    x = each.where("label != hub_label").select("hub", "token", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("at").alias("px"))
+    most = F.floor((100 - rule.percent) * (F.col("nx") + F.col("ny")) / (100 + rule.percent))
+    o = F.greatest(F.lit(1), F.ceil((F.col("dx") + F.col("dy") - most) / 2))
+    near = (F.col("lx") != F.col("ly")) & (F.col("px") <= F.col("dx") - o) & (F.col("py") <= F.col("dy") - o)
+    met = x.withColumnsRenamed({"hub": "hx", "token": "tx"}).join(y, (F.col("hx") == F.col("hub")) & (F.col("tx") == F.col("token")) & near)
+    hubs = members.where("label != hub_label").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(hubs).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -389,21 +438,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 4, text: st
     counted = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"), F.bool_or("tried").alias("tried"))
     pairs = stage(counted.where("shared >= need OR tried").select("a", "b"), "near-candidates")
     links = _links(pairs, rows, names, rule)
-    crowd = found.where("b IS NULL").select("many", F.col("a").alias("node"), "need")
+    crowd = found.where("b IS NULL").select("many", F.col("a").alias("node"))
     if crowd.limit(1).count():
-        told = crowd.join(components(links), "node", "left").select("many", "node", "need", F.coalesce("label", "node").alias("label"))
+        told = crowd.join(components(links), "node", "left").select("many", "node", F.coalesce("label", "node").alias("label"))
         told = stage(told, "near-crowds")
-        split = told.groupBy("many").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("many")
-        left = told.join(split, "many", "left_semi")
-        # members outside a key's largest component, against all its members of other components
-        sizes = left.groupBy("many", "label").agg(F.count(F.lit(1)).alias("c"))
-        largest = sizes.groupBy("many").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-        minor = left.join(largest, "many").where("label != main").select("many", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("need").alias("nx"), "main")
-        met = minor.join(left, "many").where("lx != label AND (label = main OR x < node)")
-        met = met.groupBy(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(F.least("nx", "need")).alias("least"))
-        # shared tokens of crowded keys and of others together decide, as for all pairs
-        cross = met.join(counted.select("a", "b", "shared"), ["a", "b"], "left").where("met + coalesce(shared, 0) >= least").select("a", "b")
-        cross = stage(cross.join(pairs, ["a", "b"], "left_anti"), "near-cross")
+        cross = stage(_across(told, rows, names, rule).join(pairs, ["a", "b"], "left_anti"), "near-cross")
         if cross.limit(1).count():
             links = links.unionByName(_links(cross, rows, names, rule))
     labels = components(links)
