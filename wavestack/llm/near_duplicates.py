@@ -386,9 +386,9 @@ def _links(pairs: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> D
 def _across(told: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> DataFrame:
     """Candidate pairs (a, b) of different components among the members of crowded keys.
 
-    ``told`` has many (the key), node and label (its component so far). Each key names its member of most
-    keys as hub, as a rule the text that a family of near copies was made from, and members are described by
-    how their token set differs from the hub's. The size of the difference of two sets is at most
+    ``told`` has many (the key), node and label (its component so far). Each key has a hub, the set of most
+    keys around it, as a rule the text that a family of near copies was made from, and members are described
+    by how their token set differs from the hub's. The size of the difference of two sets is at most
     (100 - p) (n + m) / (100 + p) if they link, and it is also the difference of their two differences; so
     with x not linked to the hub (those pairs are tried as well), x and y can only link if their differences share at
     least ``o = (|dx| + |dy| - most) / 2 >= 1`` tokens, and then some token is within the first
@@ -397,10 +397,15 @@ def _across(told: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> D
     split = told.groupBy("many").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("many")
     left = told.join(split, "many", "left_semi")
     degree = left.groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
-    hubs = left.join(degree, "node").groupBy("many").agg(F.max(F.struct("deg", "node", "label")).alias("h")).select("many", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label"))
+    hubs = left.join(degree, "node").groupBy("many").agg(F.max(F.struct("deg", "node", "label")).alias("h"))
+    for _ in range(2):
+        # a key goes over to the best hub that its own hub meets, so a family has few hubs
+        best = left.join(hubs, "many").groupBy("node").agg(F.max("h").alias("best"))
+        hubs = stage(hubs.join(best, F.col("h.node") == F.col("node")).select("many", F.col("best").alias("h")), "near-hubs")
+    hubs = hubs.select("many", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label"))
     members = stage(left.join(hubs, "many").where("node != hub").select("node", "label", "hub", "hub_label").distinct(), "near-members")
     differ = _with_sets(members.select(F.col("node").alias("a"), F.col("hub").alias("b")), docs, names, rule, _per_pair(_difference, pa.schema([("node", pa.int64()), ("hub", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])), "node long, hub long, n int, tokens array<long>", "near-differences")
-    each = differ.select("node", "hub", "n", F.size("tokens").alias("d"), F.explode("tokens").alias("token")).join(members, ["node", "hub"])
+    each = differ.join(members, ["node", "hub"]).select("node", "hub", "label", "hub_label", "n", F.size("tokens").alias("d"), F.explode("tokens").alias("token"))
     often = each.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("hub", "node").orderBy("df", "token")) - 1
     each = each.join(often.where("df > 1"), ["hub", "token"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", place).where("df > 1")
