@@ -7,16 +7,18 @@ given an ending keeps most of its triples. Letters are folded to 32 classes (dig
 stand for letters included); marks inside a word are skipped, and single letters in a row, as in a
 spaced-out word, are read as one word.
 
-Landmarks. Words that set toxic training texts apart, and frequent words of the others. The Nystroem map
+Landmarks. Words that set toxic training texts apart, frequent words of the others, and those of them that
+the model so far takes most easily for an insult. The Nystroem map
 sends a word to its kernel values with the landmarks, whitened by the landmarks' own kernel matrix. As
 the map and the SVM on it are linear in the triples, they fold into one weight per triple class, so
 scoring a word costs one look-up per triple, whatever the number of landmarks.
 
-Training. A sentence is a bag of words, toxic if some word is; labels belong to texts. Each round takes
-of every toxic text the sentence whose best word scores highest as the positive one (at first by
-the words' log-odds), and every sentence of the other texts as negative through its highest word; the
-SVM is fitted by averaged sub-gradient steps. Positives are also given with a letter inserted. A logistic
-curve, fitted on whole training texts, turns a text's highest word into a score.
+Training. A sentence is a bag of words, toxic if some word is; labels belong to texts. Positive are the
+words that are significantly more frequent in toxic texts, and in each round, of every toxic text, the
+best word of the sentence that scores highest (at first by log-odds); both also with letters inserted or
+doubled. Negative are words of the other texts, from the second round on those that score highest.
+The SVM has squared hinge loss and is fitted by Newton steps. A logistic curve, fitted on whole training
+texts, turns a text's highest word into a score.
 
 The model is fitted on the driver from at most ``TRAIN_ROWS`` labelled rows, chosen by a hash of the
 key; every document is scored, on all of its words.
@@ -38,9 +40,11 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 TRAIN_ROWS = 5_000
-LANDMARKS = 160
-DECAY, SPAN = 0.6, 6
+LANDMARKS, HARD = 224, 48
+DECAY, SPAN = 0.7, 6
 THRESHOLD = 0.7
+#: Standard deviations by which a word must be more frequent in toxic texts to count as positive by itself.
+SIGNIFICANT = 3.5
 #: Words that one Python worker remembers; results do not depend on it.
 REMEMBERED = 400_000
 #: Longest word that is scored in one piece; longer ones are scored in pieces that overlap by half.
@@ -142,11 +146,11 @@ def pieces(words: list[str]) -> list[list[str]]:
     return [[w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w) - step, step)] for w in words]
 
 
-def _svm(features: np.ndarray, label: np.ndarray, penalty: float = 1e-4, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss, by Newton steps over the rows inside the margin; the classes weigh the same."""
+def _svm(features: np.ndarray, label: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss, by Newton steps over the rows inside the margin; negatives weigh three times the positives."""
     x = np.hstack([features, np.ones((len(features), 1))])
     sign = np.where(label > 0, 1.0, -1.0)
-    share = np.where(label > 0, 0.5 / max(1, (label > 0).sum()), 0.5 / max(1, (label <= 0).sum()))
+    share = weight * np.where(label > 0, 0.25 / weight[label > 0].sum(), 0.75 / weight[label <= 0].sum())
     ridge = penalty * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-9
     w = np.zeros(x.shape[1])
@@ -160,6 +164,19 @@ def _svm(features: np.ndarray, label: np.ndarray, penalty: float = 1e-4, rounds:
     return w[:-1], float(w[-1])
 
 
+def _distinct(texts: list[str], k: int = 5) -> list[str]:
+    """Texts of which at least half of the word k-grams are new, so that a family of near copies counts once."""
+    seen: set[int] = set()
+    out = []
+    for text in texts:
+        words = text.split()
+        own = {hash(tuple(words[i : i + k])) for i in range(max(1, len(words) - k + 1))}
+        if 2 * len(own - seen) >= len(own):
+            out.append(text)
+        seen |= own
+    return out
+
+
 def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     """Fit on whole texts and their labels; equal texts count once."""
     rows = list({t or "": int(y) for t, y in zip(texts, labels, strict=True)}.items())
@@ -167,8 +184,11 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     if not bad or not good:
         return Model(np.zeros(32**3), 0.0, 0.0, -30.0 if not bad else 30.0, 0.0)
     rng = np.random.default_rng(seed)
+    bad, good = _distinct(bad), _distinct(good)
     df_bad, df_good = (Counter(w for t in side for w in {w.strip(MARKS) for w in tokens(t)} if len(w) >= 3) for side in (bad, good))
     odds = {w: np.log((n + 0.1) / len(bad)) - np.log((df_good.get(w, 0) + 0.1) / len(good)) for w, n in df_bad.items() if n >= 2}
+    even = len(good) / len(bad)
+    surer = sorted(w for w, n in df_bad.items() if n * even >= 8 * df_good.get(w, 0) and (n * even - df_good.get(w, 0)) / np.sqrt(even * (n * even + df_good.get(w, 0))) >= SIGNIFICANT)
     # triples that set toxic texts apart, so that roots with many endings are found though no one form is frequent
     telling = sorted(odds, key=lambda w: (-odds[w] * min(df_bad[w], 20) ** 0.5, w))
     common = [w for w, _ in sorted(df_good.items(), key=lambda x: (-x[1], x[0]))]
@@ -182,10 +202,13 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         np.add.at(out, (np.arange(len(words))[:, None], cls), weight)
         return out
 
-    basis = dense(marks)
-    values, vectors = np.linalg.eigh(basis @ basis.T)
-    whiten = vectors * (1 / np.sqrt(np.maximum(values, 1e-4)))
-    project = (basis.T @ whiten).astype(np.float32)  # triple class -> Nystroem feature
+    def nystroem() -> np.ndarray:
+        """Triple class -> feature, for the landmarks as they are now."""
+        basis = dense(marks)
+        values, vectors = np.linalg.eigh(basis @ basis.T)
+        return (basis.T @ (vectors * (1 / np.sqrt(np.maximum(values, 1e-3))))).astype(np.float32)
+
+    project = nystroem()
 
     def mapped(words: list[str]) -> np.ndarray:
         out = np.empty((len(words), project.shape[1]))
@@ -206,15 +229,25 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
             known = dict(zip(vocabulary, model.words(vocabulary), strict=True))
         # the witness of each toxic text: the best word of its best sentence
         witness = [max((max(s, key=lambda w: (known.get(w, -9.0), w)) for s in t), key=lambda w: (known.get(w, -9.0), w)) for t in sentences]
-        spoilt = [w[:i] + "abcdefghijklmnopqrstuvwxyz"[rng.integers(26)] + w[i:] for w in witness + witness if len(w) > 3 for i in [int(rng.integers(2, len(w)))]]
-        positive = witness + spoilt
+        base = sorted(set(witness) | set(surer))
+        spoilt = []
+        for w in base:
+            for i in rng.integers(1, max(2, len(w)), 5):
+                spoilt.append(w[:i] + "abcdefghijklmnopqrstuvwxyz"[rng.integers(26)] + w[i:])
+            i = int(rng.integers(0, len(w))) if w else 0
+            spoilt.append(w[:i] + w[i : i + 1] + w[i:])
+        positive = witness + surer * 3 + [w for w in spoilt if len(w) > 4]
         if turn:
             hard = sorted(df_good)
             scored = model.words(hard)
-            picked = list(dict.fromkeys([hard[i] for i in np.argsort(-scored)[:6000]] + picked))[:22000]
+            top = [hard[i] for i in np.argsort(-scored)[:4000]]
+            picked = list(dict.fromkeys(top + picked))[:18000]
+            # the words that are most easily taken for an insult become landmarks as well
+            marks = list(dict.fromkeys(marks + top[:HARD]))
+            project = nystroem()
         x = np.vstack([mapped(positive), mapped(picked)])
         y = np.concatenate([np.ones(len(positive)), np.zeros(len(picked))])
-        w, b = _svm(x, y)
+        w, b = _svm(x, y, np.concatenate([np.ones(len(positive)), [1 + np.log(df_good[v]) for v in picked]]))
         model = Model(project.astype(float) @ w, b, 1.0, 0.0, -2.0)
     # the curve, by Newton steps on the highest word of whole texts
     cache: dict[str, float] = {}
