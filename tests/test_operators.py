@@ -118,3 +118,26 @@ def test_marker_lines(spark):
     picks = spark.createDataFrame([("e1", "ST", "P", 2_500_000, None)], "event_id string, station string, phase string, pick_us long, network string")
     lines = [r.line for r in export.snuffler_markers(events, picks).orderBy("ord").collect()]
     assert lines[0].startswith("event: 1970-01-01 00:00:01.000000 0 e1") and ".ST..BHZ" in lines[1]
+
+
+def test_builtin_onset_is_a_plugin(spark):
+    from wavestack.config import Onset
+    from wavestack.errors import ConfigError
+    from wavestack.plans import plugins
+
+    method = plugins.StaLta(Onset(rate=50))
+    plugins.checked(method, plugins.OnsetMethod)
+    with pytest.raises(ConfigError):
+        plugins.checked(object(), plugins.PickMethod)
+    rows = spark.createDataFrame([("A", "HHZ", n, float(n % 5)) for n in range(80)] + [("A", "HHN", n, 1.0) for n in range(80)], "station string, channel string, n int, value double")
+    got = method.onsets(rows, "P")
+    assert got.count() == 80 and got.agg(F.min("onset")).first()[0] >= 0.4
+
+
+def test_gain_matches_the_filter(spark):
+    from wavestack.functions import kernels
+
+    sections = kernels.butterworth(3, 2.0, 12.0, 100.0)
+    rows = spark.createDataFrame([(f,) for f in (1.0, 2.0, 5.0, 20.0)], "freq double")
+    for r in magnitude.filter_gain(rows, 100.0, (2.0, 12.0, 3)).collect():
+        assert r.filter_gain == pytest.approx(kernels.section_gain(sections, r.freq, 100.0), abs=1e-9)

@@ -254,9 +254,9 @@ def smooth_3d(values: np.ndarray, sigma: float = 0.8) -> np.ndarray:
     kernel = np.exp(-sum(g**2 for g in grids) / (2 * sigma**2))
     full = [2 * n - 1 for n in values.shape]
     middle = tuple(slice((n - 1) // 2, (n - 1) // 2 + n) for n in values.shape)
-    spectrum = np.fft.rfftn(kernel, full)
+    spectrum = np.fft.rfftn(kernel, full, (0, 1, 2))
     for _ in range(2):
-        values = np.fft.irfftn(np.fft.rfftn(values, full) * spectrum, full)[middle]
+        values = np.fft.irfftn(np.fft.rfftn(values, full, (0, 1, 2)) * spectrum, full, (0, 1, 2))[middle]
         values = values[::-1, ::-1, ::-1] / np.nanmax(values)
     return values
 
@@ -275,11 +275,14 @@ def gaussian_location(values: np.ndarray, window: int = 7) -> tuple[np.ndarray,
     terms = np.stack([x * x, y * y, z * z, x * y, x * z, y * z, x, y, z, np.ones_like(x)], 1)
     c = np.linalg.lstsq(terms, level, rcond=None)[0]
     form = np.array([[c[0], c[3] / 2, c[4] / 2], [c[3] / 2, c[1], c[5] / 2], [c[4] / 2, c[5] / 2, c[2]]])
+    real = np.array(values.shape) > 1  # an axis of one node has no width to fit
+    inner = form[np.ix_(real, real)]
+    centre, widths = np.zeros(3), np.zeros(3)
     try:
-        centre = np.linalg.solve(-2 * form, c[6:9])
+        centre[real] = np.linalg.solve(-2 * inner, c[6:9][real])
     except np.linalg.LinAlgError:
         return None
-    widths = np.sqrt(0.5 / np.clip(np.abs(np.linalg.eigvals(form).real), 1e-10, None)) / 2
+    widths[real] = np.sqrt(0.5 / np.clip(np.abs(np.linalg.eigvals(inner).real), 1e-10, None)) / 2
     return at + centre, widths
 
 

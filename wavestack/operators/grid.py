@@ -154,3 +154,27 @@ def lambert_inverse(x: Column, y: Column, lon0: float, lat0: float, lat1: float,
     rho = math.copysign(1, n) * F.sqrt(x * x + F.pow(F.lit(rho0) - y, 2))
     theta = F.atan2(x * math.copysign(1, n), (F.lit(rho0) - y) * math.copysign(1, n))
     return F.degrees(theta / n) + lon0, F.degrees(2 * F.atan(F.pow(F.lit(radius * f) / rho, F.lit(1 / n))) - math.pi / 2)
+
+
+def trilinear(points: DataFrame, table: DataFrame, grid: Grid, value: str = "tt") -> DataFrame:
+    """``value`` at (x, y, z) from its eight surrounding nodes: one equi-join of weighted corners.
+
+    ``table`` has node and ``value`` (and further keys, which the result keeps). Places outside the grid are
+    extrapolated from the outermost cell.
+    """
+    parts = []
+    for c, o, s, n in zip(("x", "y", "z"), grid.origin, grid.spacing, grid.counts, strict=True):
+        at = (F.col(c) - o) / s
+        low = F.least(F.greatest(F.floor(at), F.lit(0)), F.lit(max(0, n - 2)))
+        parts.append((low, at - low if n > 1 else F.lit(0.0), n))
+    corners = []
+    for bits in range(8):
+        number, weight = F.lit(0).cast("long"), F.lit(1.0)
+        for axis, (low, share, n) in enumerate(parts):
+            up = bits >> axis & 1
+            number = number * n + low + (up if n > 1 else 0)
+            weight = weight * (share if up else 1 - share)
+        corners.append(F.struct(number.alias("node"), weight.alias("w")))
+    keys = [c for c in table.columns if c not in ("node", value)]
+    wide = points.withColumn("c", F.explode(F.array(*corners))).select(*points.columns, "c.node", "c.w").where("w != 0")
+    return wide.join(table, "node").groupBy(*points.columns, *keys).agg(F.sum(F.col("w") * F.col(value)).alias(value))

@@ -167,3 +167,23 @@ def fit_quality(rows: DataFrame, means: DataFrame, config: Magnitude, event: str
     square = lambda a, b: F.sum(F.pow(F.col(a) - F.col(b), 2))
     out = rows2.groupBy(event).agg(F.count(F.lit(1)).alias("n"), square("_y", "_avg").alias("total"), square("_y", "_m").alias("rest"), (F.max("_y") == F.min("_y")).alias("same"))
     return out.select(event, F.when((F.col("n") >= 2) & ~F.col("same"), F.try_divide(F.col("total") - F.col("rest"), F.col("total"))).alias("r2"))
+
+
+def filter_gain(rows: DataFrame, rate: float, band: tuple[float | None, float | None, int], frequency: str = "freq", out: str = "filter_gain") -> DataFrame:
+    """Gain of a causal Butterworth filter at each measured frequency: (low, high, corners), an open end for high- or low-pass.
+
+    Closed form of the bilinear transform: prewarped frequencies give the analogue prototype's gain.
+    """
+    import math
+
+    low, high, corners = band
+    warp = lambda f: math.tan(math.pi * f / rate)
+    w = F.tan(F.lit(math.pi) * F.col(frequency) / rate)
+    if low and high:
+        wide, centre = warp(high) - warp(low), warp(high) * warp(low)
+        x = (w * w - centre) / (wide * w)
+    elif low:
+        x = F.lit(warp(low)) / w
+    else:
+        x = w / warp(high)
+    return rows.withColumn(out, 1 / F.sqrt(1 + F.pow(x, F.lit(2 * corners))))

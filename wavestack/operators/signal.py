@@ -100,3 +100,28 @@ def shift_to_sample(df: DataFrame, rate: float, time_us: str = "t_us") -> DataFr
     """Nearest whole sample of each time stamp, and the shift in microseconds."""
     n = F.rint(F.col(time_us) * rate / 1e6).cast("long")
     return df.withColumn("n", n).withColumn("shift_us", (F.rint(n * 1e6 / rate).cast("long") - F.col(time_us)))
+
+
+def shift_lanczos(traces: DataFrame, shift: str, samples: str = "samples", a: int = 20) -> DataFrame:
+    """Traces moved onto whole samples: ``shift`` is the column with the part of a sample to move by."""
+    at, by = traces.columns.index(samples), traces.columns.index(shift)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            moved = [kernels.lanczos_shift(np.array(x.as_py(), dtype=float), float(s.as_py()), a).tolist() if x.is_valid and s.is_valid else None for x, s in zip(batch.column(at), batch.column(by), strict=True)]
+            columns = list(batch.columns)
+            columns[at] = pa.array(moved, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    typed = traces.withColumn(samples, F.col(samples).cast("array<double>"))
+    return typed.mapInArrow(run, typed.schema)
+
+
+def remove_response(traces: DataFrame, rate: float, response: dict, water_level: float = 60.0, samples: str = "samples") -> DataFrame:
+    """Ground motion: every trace divided by a poles-and-zeros response with a water level in dB."""
+    return map_traces(traces, lambda x: kernels.apply_response(x, rate, response, None, water_level), samples)
+
+
+def simulate_wood_anderson(traces: DataFrame, rate: float, response: dict | None, instrument: dict, water_level: float = 60.0, samples: str = "samples") -> DataFrame:
+    """What a Wood-Anderson seismograph would have written, the recorder's response being removed if given."""
+    return map_traces(traces, lambda x: kernels.apply_response(x, rate, response, instrument, water_level), samples)

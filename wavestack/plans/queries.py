@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Amplitude, Magnitude, Picker, Trigger
-from ..functions import kernels, scalar
+from ..functions import scalar
 from ..operators import grid, locate, magnitude, migrate, onset, picks, quality, signal
 from ..operators import trigger as trig
 from ..sources import export, synthetic, writers
@@ -680,9 +680,42 @@ def _(spark, sf):
     return export.cut(views.scan(spark, sf).select("batch", "n", "t_us", "coa"), _events(spark, sf), 600.0, 600.0).select("event_id", "batch", "n", "coa")
 
 
+@query("trilinear_tt", "SELECT c_custkey, 2 * (c_custkey % 70) / 10.0 + 3 * (c_custkey % 60) / 10.0 AS tt FROM customer", (), ("tt",))
+def _(spark, sf):
+    table = views.nodes(spark).select("node", (2 * F.col("x") + 3 * F.col("y")).alias("tt"))
+    points = views.table(spark, sf, "customer").select("c_custkey", ((F.col("c_custkey") % 70) / 10).alias("x"), ((F.col("c_custkey") % 60) / 10).alias("y"), F.lit(0.0).alias("z"))
+    return grid.trilinear(points, table, views.GRID).select("c_custkey", "tt")
+
+
+@query("filter_gain", """SELECT event_id, id, epi_dist, 1 / sqrt(1 + ((w * w - tan(pi() * 2 / 100) * tan(pi() * 16 / 100)) / ((tan(pi() * 16 / 100) - tan(pi() * 2 / 100)) * w)) ** 4) AS gain FROM (SELECT event_id, id, epi_dist, tan(pi() * (epi_dist / 2) / 100) AS w FROM obs WHERE epi_dist < 90)""", (views.OBSERVATIONS,), ("epi_dist", "gain"))
+def _(spark, sf):
+    rows = views.observations(spark, sf).where("epi_dist < 90").withColumn("freq", F.col("epi_dist") / 2)
+    return magnitude.filter_gain(rows, 100.0, (2.0, 16.0, 2), out="gain").select("event_id", "id", "epi_dist", "gain")
+
+
 # ---------------------------------------------------------------- rows only: numerical kernels
 
 
+@query("geodesic_distance")
+def _(spark, sf):
+    from ..functions.udfs import geodesic_km
+
+    rows = views.table(spark, sf, "customer")
+    return rows.select("c_custkey", geodesic_km((F.col("c_custkey") % 30).cast("double") / 10 + 62, (F.col("c_custkey") % 40).cast("double") / 10 - 20, F.lit(64.0), F.lit(-18.0)).alias("km"))
+
+
+@query("lanczos_shift")
+def _(spark, sf):
+    rows = views.trace_arrays(spark, sf).withColumn("shift", F.lit(0.25))
+    return signal.shift_lanczos(rows, "shift").select(*KEYS, F.posexplode("samples").alias("n", "value"))
+
+
+@query("response_removal")
+def _(spark, sf):
+    response = {"poles": [complex(-4.4, 4.4), complex(-4.4, -4.4)], "zeros": [0j, 0j], "gain": 1.0, "sensitivity": 1500.0}
+    return signal.remove_response(views.trace_arrays(spark, sf), 50.0, response).select(*KEYS, F.posexplode("samples").alias("n", "value"))
+
+
 @query("envelope_onset")
 def _(spark, sf):
     return signal.envelope(views.trace_arrays(spark, sf)).select(*KEYS, F.posexplode("samples").alias("n", "value"))
@@ -700,8 +733,7 @@ def _(spark, sf):
 
 @query("wood_anderson")
 def _(spark, sf):
-    response = scalar.wood_anderson()
-    return signal.map_traces(views.trace_arrays(spark, sf), lambda x: kernels.apply_response(x, 50.0, None, response)).select(*KEYS, F.posexplode("samples").alias("n", "value"))
+    return signal.simulate_wood_anderson(views.trace_arrays(spark, sf), 50.0, None, scalar.wood_anderson()).select(*KEYS, F.posexplode("samples").alias("n", "value"))
 
 
 @query("gaussian_pick")
