@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, worker_cache
 
 #: Pieces that one Python worker remembers, twice: when full, the younger half becomes the older, which
 #: is searched before a piece is encoded again. Results do not depend on it.
@@ -227,17 +227,10 @@ class Vocabulary:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_LOADED: dict[tuple[int, str], Vocabulary] = {}
-
-
 def _vocabulary(rank_lines: bytes, pattern: str) -> Vocabulary:
     """One vocabulary a worker process."""
-    key = (hash(rank_lines), pattern)
-    if key not in _LOADED:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_lines.splitlines())}
-        _LOADED.clear()
-        _LOADED[key] = Vocabulary(ranks, pattern)
-    return _LOADED[key]
+    ranks = lambda: {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_lines.splitlines())}
+    return worker_cache("bpe", (hash(rank_lines), pattern), lambda: Vocabulary(ranks(), pattern))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", key: str = "doc_id", with_ids: bool = True) -> DataFrame:

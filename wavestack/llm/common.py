@@ -65,6 +65,18 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str, most: int = BROA
     return left.join(F.broadcast(right) if small_enough(right, most) else right, on, how)
 
 
+_CACHE: dict[tuple, object] = {}
+
+
+def worker_cache(name: str, ident: object = None, make=dict):
+    """What a Python worker keeps between tasks for one operator; taking another's gives the last one's memory back."""
+    key = (name, ident)
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = make()
+    return _CACHE[key]
+
+
 # ---------------------------------------------------------------- vectorised words (numpy)
 
 _U = np.uint64

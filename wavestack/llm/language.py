@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, worker_cache
 
 TRAIN_ROWS, TRAIN_WORDS = 2_400, 240
 LEXICON = 3_000
@@ -201,9 +201,6 @@ def fit(texts: list[str | None], langs: list[str], seed: int = 5, rounds: int =
     return model
 
 
-_CACHES: dict[int, tuple[dict[str, int], np.ndarray]] = {}
-
-
 def predict_documents(docs: DataFrame, model: Crf, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, lang_pred, score) of every row, from its whole text.
 
@@ -218,10 +215,8 @@ def predict_documents(docs: DataFrame, model: Crf, text: str = "text", key: str
         own: Crf = spread.value
         n_labels = len(own.labels)
         ident = hash((own.weights.tobytes()[:65536], float(own.weights.sum()), float(own.transition.sum())))
-        if ident not in _CACHES:
-            _CACHES.clear()
-            _CACHES[ident] = ({}, np.zeros((0, n_labels)))
-        known, table = _CACHES[ident]
+        cache = worker_cache("language", ident, lambda: {"known": {}, "table": np.zeros((0, n_labels))})
+        known, table = cache["known"], cache["table"]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -232,7 +227,7 @@ def predict_documents(docs: DataFrame, model: Crf, text: str = "text", key: str
                 new = [w for w in set().union(*texts) if w not in known]
                 known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
                 table = np.concatenate([table, own.emissions(new)])
-                _CACHES[ident] = (known, table)
+                cache["table"] = table
                 lengths = np.array([len(ws) for ws in texts])
                 order = np.argsort(-lengths, kind="stable")
                 order = order[lengths[order] > 0]

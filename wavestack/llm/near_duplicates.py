@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, blob, buckets_for, join_small, mix, read_table, slices, stage, text_buffers
+from .common import Words, blob, buckets_for, join_small, mix, read_table, slices, stage, text_buffers, worker_cache
 from .components import components
 from .repeats import _bucket, _runs, _send
 
@@ -42,7 +42,9 @@ MOST_BITS, LEAST_BITS = 24, 12
 SLICES = 64
 #: Most sets of a combination key, and of a single token, of which all pairs are formed at once.
 SMALL, SMALL_SINGLE = 48, 256
-GATHERED = 1_000_000
+GATHERED = 600_000
+#: Pairs that a task forms before it adds up equal ones.
+PAIRS_AT_ONCE = 400_000
 #: Most pairs of one hub that are verified in one block.
 HUB_PAIRS = 2_000
 MASK = (1 << 64) - 1
@@ -128,6 +130,7 @@ def _emit_sets(k: int, bits: int):
     names = ["kind", "doc", "id", "n", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("near_duplicates")
         counts = np.zeros(1 << bits, np.int32)
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
@@ -207,6 +210,7 @@ def _emit_keys(rule: Rule, bits: int, packed, n_buckets: int):
         return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *[pa.array([x[i] for _, x in rows], pa.binary()) for i in range(3)]], names=["bucket", "keys", "ids", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("near_duplicates")
         frequent = np.unpackbits(np.frombuffer(packed.value, np.uint8)).astype(bool)
         parts, gathered = [], 0
         done: set[int] = set()  # sets this task has indexed since it last sent
@@ -261,47 +265,59 @@ def _pairs(rule: Rule):
         key, ident, meta = key[keep], ident[keep], meta[keep]
         edge = _runs(key)
         size = np.diff(edge)
-        combined = meta[edge[:-1]] < 0
-        crowd = size > np.where(combined, SMALL, SMALL_SINGLE)
-        left, right, free, big = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
-        for g in np.unique(size[~crowd]):
-            if g < 2:
+        crowd = size > np.where(meta[edge[:-1]] < 0, SMALL, SMALL_SINGLE)
+        big = [np.zeros(0, np.int64)]
+
+        def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+            """Places (i, j) of pairs, some hundred thousand at a time, and whether they are a star's."""
+            for g in np.unique(size[~crowd]):
+                if g < 2:
+                    continue
+                start = edge[:-1][(size == g) & ~crowd]
+                i, j = np.triu_indices(g, 1)
+                step = max(1, PAIRS_AT_ONCE // len(i))
+                for at in range(0, len(start), step):
+                    own = start[at : at + step, None]
+                    yield (own + i[None, :]).ravel(), (own + j[None, :]).ravel(), False
+            for a, b in zip(edge[:-1][crowd], edge[1:][crowd], strict=True):
+                big.append(np.arange(a, b))
+                yield np.full(b - a - 1, a), np.arange(a + 1, b), True
+
+        def combined_rows(parts: list[tuple]) -> tuple:
+            """One row per pair: shared keys summed, the least need, whether some star tried it."""
+            a, b, shared, need, tried = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((b, a))
+            a, b, shared, need, tried = a[order], b[order], shared[order], need[order], tried[order]
+            start = _runs(a, b)[:-1]
+            return a[start], b[start], np.add.reduceat(shared, start), np.minimum.reduceat(need, start), np.maximum.reduceat(tried, start)
+
+        rows, waiting, gathered = [], [], 0
+        for i, j, star in blocks():
+            combo = meta[i] < 0
+            n, m = np.abs(meta[i]) // 2, np.abs(meta[j]) // 2
+            both_mixed = (np.abs(meta[i]) % 2 == 1) & (np.abs(meta[j]) % 2 == 1)
+            good = (100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)) & (combo | star | ~both_mixed)
+            if not good.any():
                 continue
-            start = edge[:-1][(size == g) & ~crowd]
-            i, j = np.triu_indices(g, 1)
-            left.append((start[:, None] + i[None, :]).ravel())
-            right.append((start[:, None] + j[None, :]).ravel())
-            free.append(np.zeros(len(left[-1]), bool))
-        for a, b in zip(edge[:-1][crowd], edge[1:][crowd], strict=True):
-            big.append(np.arange(a, b))
-            left.append(np.full(b - a - 1, a))
-            right.append(np.arange(a + 1, b))
-            free.append(np.ones(b - a - 1, bool))
-        i, j, free = np.concatenate(left), np.concatenate(right), np.concatenate(free)
-        combo = meta[i] < 0
-        n, m = np.abs(meta[i]) // 2, np.abs(meta[j]) // 2
-        both_mixed = (np.abs(meta[i]) % 2 == 1) & (np.abs(meta[j]) % 2 == 1)
-        good = (100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)) & (combo | free | ~both_mixed)
-        i, j = i[good], j[good]
-        need = np.where(combo, 0, np.minimum(rule.extra(n), rule.extra(m)))[good]
-        star = free[good]
-        a, b = ident[i], ident[j]
-        order = np.lexsort((b, a))
-        a, b, need, star = a[order], b[order], need[order], star[order]
-        runs = _runs(a, b)
-        start = runs[:-1]
-        shared = np.diff(runs)
-        tried = np.maximum.reduceat(star, start) if len(start) else star
-        need = np.minimum.reduceat(need, start) if len(start) else need
+            need = np.where(combo, 0, np.minimum(rule.extra(n), rule.extra(m)))[good].astype(np.int32)
+            waiting.append((ident[i[good]], ident[j[good]], np.ones(len(need), np.int32), need, np.full(len(need), star)))
+            gathered += len(need)
+            if gathered > PAIRS_AT_ONCE:
+                rows.append(combined_rows(waiting))
+                waiting, gathered = [], 0
+        rows += [combined_rows(waiting)] if waiting else []
+        if not rows:
+            rows = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool))]
+        a, b, shared, need, tried = combined_rows(rows) if len(rows) > 1 else rows[0]
         members = np.concatenate(big)
-        tail = pa.nulls(len(members), pa.int64())
+        none = lambda kind, n: pa.nulls(n, kind)
         return pa.table({
-            "a": pa.concat_arrays([pa.array(a[start]), pa.array(ident[members])]),
-            "b": pa.concat_arrays([pa.array(b[start]), tail]),
+            "a": pa.concat_arrays([pa.array(a), pa.array(ident[members])]),
+            "b": pa.concat_arrays([pa.array(b), none(pa.int64(), len(members))]),
             "shared": pa.array(np.concatenate([shared, np.zeros(len(members))]).astype(np.int32)),
             "need": pa.array(np.concatenate([need, np.zeros(len(members))]).astype(np.int32)),
-            "tried": pa.concat_arrays([pa.array(tried.astype(bool)), pa.nulls(len(members), pa.bool_())]),
-            "many": pa.concat_arrays([pa.nulls(len(start), pa.int64()), pa.array(key[members].view(np.int64))]),
+            "tried": pa.concat_arrays([pa.array(tried.astype(bool)), none(pa.bool_(), len(members))]),
+            "many": pa.concat_arrays([none(pa.int64(), len(a)), pa.array(key[members].view(np.int64))]),
         })
 
     return run

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, worker_cache
 
 TRAIN_ROWS = 5_000
 LANDMARKS, HARD = 224, 48
@@ -46,7 +46,7 @@ THRESHOLD = 0.7
 #: Standard deviations by which a word must be more frequent in toxic texts to count as positive by itself.
 SIGNIFICANT = 3.5
 #: Words that one Python worker remembers; results do not depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Longest word that is scored in one piece; longer ones are scored in pieces that overlap by half.
 LONGEST = 40
 
@@ -281,9 +281,6 @@ def _best(model: Model, text: str | None, cache: dict[str, float]) -> float:
     return max(map(cache.__getitem__, words), default=model.floor)
 
 
-_CACHES: dict[bytes, dict[str, float]] = {}
-
-
 def _scorer(docs: DataFrame, model: Model):
     """A function of the texts of a batch to their scores, for use in tasks."""
     spread = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.slope, model.offset, model.floor))
@@ -291,10 +288,7 @@ def _scorer(docs: DataFrame, model: Model):
     def score(texts: pa.Array) -> np.ndarray:
         own = Model(*spread.value)
         ident = own.weights.tobytes()[:4096] + repr((own.bias, own.slope, own.offset, float(own.weights.sum()))).encode()
-        if ident not in _CACHES:
-            _CACHES.clear()
-            _CACHES[ident] = {}
-        cache = _CACHES[ident]
+        cache = worker_cache("toxicity", ident)
         out = []
         for at in range(0, len(texts), 256):
             if len(cache) > REMEMBERED:
