@@ -68,6 +68,8 @@ def layer_speed(at: DataFrame, model: DataFrame, depth: str = "z") -> DataFrame:
     layers = model.select("phase", "depth", "speed", F.lead("depth").over(w).alias("below"), F.lead("speed").over(w).alias("speed_below"), F.row_number().over(w).alias("r"))
     low = F.when(F.col("r") == 1, F.lit(float("-inf"))).otherwise(F.col("depth"))
     high = F.coalesce("below", F.lit(float("inf")))
+    if layers.limit(10_001).count() > 10_000:
+        raise TravelTimeError("more than 10 000 layers: resample the model")
     joined = at.join(F.broadcast(layers), (F.col(depth) >= low) & (F.col(depth) < high))
     share = F.greatest(F.lit(0.0), F.try_divide(F.col(depth) - F.col("depth"), F.col("below") - F.col("depth")))
     value = F.when(F.col("below").isNull() | (F.col(depth) <= F.col("depth")), F.col("speed")).otherwise(F.col("speed") + share * (F.col("speed_below") - F.col("speed")))

@@ -60,14 +60,11 @@ def near_node(cells: DataFrame, grid: Grid, centre: tuple[int, int, int], window
 def covariance(cells: DataFrame, keys: list[str], threshold: float = 0.90) -> DataFrame:
     """Weighted mean and errors over nodes (x, y, z, c) with c above ``threshold`` of the normalised map.
 
-    One pass of sums: variances come from centred second moments around the window mean.
+    Two passes of mergeable sums: means, then second moments about them; no event is gathered in one task.
     """
     rows = cells.where(F.col("c") > threshold)
-    w = Window.partitionBy(*keys) if keys else None
-    total = F.sum("c").over(w) if keys else F.sum("c").over(Window.partitionBy(F.lit(0)))
-    over = w if keys else Window.partitionBy(F.lit(0))
-    for a in "xyz":
-        rows = rows.withColumn(f"m{a}", F.sum(F.col("c") * F.col(a)).over(over) / total)
+    means = rows.groupBy(*keys).agg(*[(F.sum(F.col("c") * F.col(a)) / F.sum("c")).alias(f"m{a}") for a in "xyz"])
+    rows = rows.join(means, keys) if keys else rows.join(F.broadcast(means))  # without keys there is one row of means
     centred = lambda a, b: F.sum(F.col("c") * (F.col(a) - F.col(f"m{a}")) * (F.col(b) - F.col(f"m{b}"))) / F.sum("c")
     out = rows.groupBy(*keys).agg(*[F.max(f"m{a}").alias(f"cov_{a}") for a in "xyz"], *[F.sqrt(centred(a, a)).alias(f"err_{a}") for a in "xyz"], centred("x", "y").alias("cov_xy"), centred("x", "z").alias("cov_xz"), centred("y", "z").alias("cov_yz"))
     return out.withColumn("err_xyz", F.pow(F.col("err_x") * F.col("err_y") * F.col("err_z"), F.lit(1 / 3)))

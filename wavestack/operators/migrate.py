@@ -1,7 +1,7 @@
 """Shift and stack: geometric-mean coalescence of onsets over a grid of travel times.
 
 Two forms of one operator. The row form is joins and aggregates only: onsets meet the travel times of their
-station and phase (broadcast: the table is small in this form), each product lands on its (node, time)
+station and phase (a small table is broadcast, its rows being counted first), each product lands on its (node, time)
 cell, and the cell's mean log is a partial aggregate. The block form is for real grids: a task takes one time
 chunk with one block of nodes, stacks with array slices, and returns per time the block's maximum, first
 argmax, sum and count, which combine exactly; the 4-D map is never built.
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import with_small
+
 FLOOR = 0.01
 
 
@@ -26,10 +28,11 @@ def stack(onsets: DataFrame, table: DataFrame, first: int, last: int, available:
     logs = onsets.select(*keys, "station", "phase", "n", F.ln(F.greatest("onset", F.lit(FLOOR))).alias("lo"))
     if available is None:
         counts = onsets.groupBy(*keys).agg(F.count_distinct("station", "phase").alias("available"))
-        logs = logs.join(F.broadcast(counts), keys) if keys else logs.join(F.broadcast(counts))
+        # one row per chunk, or one row
+        logs = with_small(logs, counts, keys) if keys else logs.join(F.broadcast(counts))
     else:
         logs = logs.withColumn("available", F.lit(available))
-    cells = logs.join(F.broadcast(table.select("station", "phase", "node", "tt_n")), ["station", "phase"]).withColumn("t", F.col("n") - F.col("tt_n")).where(F.col("t").between(first, last - 1))
+    cells = with_small(logs, table.select("station", "phase", "node", "tt_n"), ["station", "phase"]).withColumn("t", F.col("n") - F.col("tt_n")).where(F.col("t").between(first, last - 1))
     sums = cells.groupBy(*keys, "node", "t").agg(F.sum("lo").alias("s"), F.count(F.lit(1)).alias("c"), F.max("available").alias("available"))
     return sums.where("c = available").select(*keys, "node", "t", F.exp(F.col("s") / F.col("available")).alias("coa"))
 

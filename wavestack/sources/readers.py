@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ArchiveError, ConfigError, DataGap
+from ..operators.joins import with_small
 
 #: Folder layouts of waveform archives as path patterns, relative to the archive.
 LAYOUTS = {
@@ -46,7 +47,7 @@ def read_traces(spark: SparkSession, path: str, start_us: int, end_us: int, pre:
     key = F.col("year") * 1000 + F.col("jday")
     bound = lambda us: F.year(day(us)) * 1000 + F.dayofyear(day(us))
     rows = spark.read.parquet(path).where((key >= bound(low)) & (key <= bound(high)) & F.col("t_us").between(low, high))
-    return rows.join(F.broadcast(stations.select("station").distinct()), "station", "left_semi") if stations is not None else rows
+    return with_small(rows, stations.select("station").distinct(), "station", "left_semi") if stations is not None else rows
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
