@@ -16,18 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavestack.llm import bpe, near_duplicates, secrets, toxicity, winnowing
-from wavestack.llm.common import read_table, stage
+from wavestack.llm.common import read_table, small_batches, stage
 from wavestack.session import ship
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
+    small_batches(spark)
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), ~toxicity.held_out())
     return toxicity.reject_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
+    small_batches(spark)
     return near_duplicates.keep_one(docs, percent=80, words=5)
 
 
@@ -45,6 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     ship(spark)
+    small_batches(spark)
     return bpe.encode_documents(docs, public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
 
 

@@ -7,6 +7,8 @@ whose row count was checked first are broadcast; intermediate tables are written
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -72,11 +74,34 @@ def worker_cache(name: str, ident: object = None, make=dict):
     """What a Python worker keeps between tasks for one operator; taking another's gives the last one's memory back."""
     key = (name, ident)
     if key not in _CACHE:
-        _CACHE.clear()
+        if _CACHE:
+            _CACHE.clear()
+            give_back()
         _CACHE[key] = make()
     return _CACHE[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+    pa.default_memory_pool().release_unused()
+
+
+#: Rows of an Arrow batch on its way to a Python worker: whole texts are long.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS``, if it is larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 # ---------------------------------------------------------------- vectorised words (numpy)
 
 _U = np.uint64

@@ -137,7 +137,7 @@ def _emit_sets(k: int, bits: int):
             ids, sizes = [], []
             for a, b in slices(offsets):
                 sets = Sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
-                counts += np.bincount((sets.token >> _U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+                np.add.at(counts, (sets.token >> _U(64 - bits)).astype(np.int64), 1)
                 ids.append(sets.identity())
                 sizes.append(sets.size)
             if ids:

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from . import audio, bpe, language, near_duplicates, repeats, secrets, sharding, toxicity, warc, winnowing
+from .common import small_batches
 
 
 def _shipped(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        small_batches(spark)
         return query(spark, sf_dir)
 
     return run

@@ -37,16 +37,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, worker_cache
+from .common import give_back, read_table, worker_cache
 
-TRAIN_ROWS = 5_000
+TRAIN_ROWS = 4_000
 LANDMARKS, HARD = 224, 48
 DECAY, SPAN = 0.7, 6
 THRESHOLD = 0.7
 #: Standard deviations by which a word must be more frequent in toxic texts to count as positive by itself.
 SIGNIFICANT = 3.5
 #: Words that one Python worker remembers; results do not depend on it.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Longest word that is scored in one piece; longer ones are scored in pieces that overlap by half.
 LONGEST = 40
 
@@ -220,7 +220,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     sentences = [[s for s in ([w.strip(MARKS) or w for w in tokens(x)] for x in SENTENCE.split(t)) if s] or [[""]] for t in bad]
     worth = {w: v for w, v in odds.items()}
     others = sorted(df_good, key=lambda w: (-df_good[w], w))
-    picked = others[:4000] + [others[i] for i in sorted(rng.choice(len(others), min(len(others), 12000), replace=False))]
+    picked = others[:4000] + [others[i] for i in sorted(rng.choice(len(others), min(len(others), 8000), replace=False))]
     model = Model(np.zeros(32**3), 0.0, 1.0, 0.0, -2.0)
     for turn in range(4):
         known = worth if turn == 0 else None
@@ -241,7 +241,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
             hard = sorted(df_good)
             scored = model.words(hard)
             top = [hard[i] for i in np.argsort(-scored)[:4000]]
-            picked = list(dict.fromkeys(top + picked))[:18000]
+            picked = list(dict.fromkeys(top + picked))[:12000]
             # the words that are most easily taken for an insult become landmarks as well
             marks = list(dict.fromkeys(marks + top[:HARD]))
             project = nystroem()
@@ -345,7 +345,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
     hashed = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     few = named.where(hashed < share).limit(2 * rows)
     got = docs.select(key, text).join(F.broadcast(few), key).orderBy(key).limit(2 * rows).collect()
-    return fit([r[text] for r in got], [r["y"] for r in got])
+    model = fit([r[text] for r in got], [r["y"] for r in got])
+    del got
+    give_back()
+    return model
 
 
 def held_out(key: str = "doc_id", parts: int = 3, which: int = 1) -> Column:
