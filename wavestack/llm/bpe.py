@@ -30,7 +30,7 @@ from .common import read_table, worker_cache
 
 #: Pieces that one Python worker remembers, twice: when full, the younger half becomes the older, which
 #: is searched before a piece is encoded again. Results do not depend on it.
-REMEMBERED = 160_000
+REMEMBERED = 220_000
 #: Longer pieces are encoded but not remembered.
 REMEMBERED_BYTES = 48
 #: Unicode white space, which ``\s`` of the splitting pattern stands for.

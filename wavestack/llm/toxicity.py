@@ -45,8 +45,8 @@ DECAY, SPAN = 0.7, 6
 THRESHOLD = 0.7
 #: Standard deviations by which a word must be more frequent in toxic texts to count as positive by itself.
 SIGNIFICANT = 3.5
-#: Words that one Python worker remembers; results do not depend on it.
-REMEMBERED = 150_000
+#: Words that one Python worker remembers, twice (see ``_scorer``); results do not depend on it.
+REMEMBERED = 240_000
 #: Longest word that is scored in one piece; longer ones are scored in pieces that overlap by half.
 LONGEST = 40
 
@@ -281,20 +281,28 @@ def _best(model: Model, text: str | None, cache: dict[str, float]) -> float:
     return max(map(cache.__getitem__, words), default=model.floor)
 
 
-def _scorer(docs: DataFrame, model: Model):
-    """A function of the texts of a batch to their scores, for use in tasks."""
+def _scorer(docs: DataFrame, model: Model, remembered: int):
+    """A function of the texts of a batch to their scores, for use in tasks.
+
+    Words once scored are kept; when ``remembered`` are, they become the older ones, which are still looked
+    up, so frequent words are not scored again.
+    """
     spread = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.slope, model.offset, model.floor))
 
     def score(texts: pa.Array) -> np.ndarray:
         own = Model(*spread.value)
         ident = own.weights.tobytes()[:4096] + repr((own.bias, own.slope, own.offset, float(own.weights.sum()))).encode()
-        cache = worker_cache("toxicity", ident)
+        kept = worker_cache("toxicity", ident, lambda: {"now": {}, "older": {}})
         out = []
         for at in range(0, len(texts), 256):
-            if len(cache) > REMEMBERED:
-                cache.clear()
+            if len(kept["now"]) > remembered:
+                kept["older"], kept["now"] = kept["now"], {}
+            cache, older = kept["now"], kept["older"]
             bags = [set(tokens(v.as_py())) for v in texts.slice(at, 256)]
-            new = [w for w in set().union(*bags) if w not in cache]
+            unseen = set().union(*bags) - cache.keys()
+            again = unseen & older.keys()
+            cache.update((w, older[w]) for w in again)
+            new = list(unseen - again)
             parts = pieces(new)
             flat = own.words([p for x in parts for p in x])
             i = 0
@@ -308,12 +316,12 @@ def _scorer(docs: DataFrame, model: Model):
     return score
 
 
-def score_documents(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", remembered: int = REMEMBERED) -> DataFrame:
     """(key, score) of every row; null and empty texts get the score of a text without telling words.
 
     Repeated rows get equal scores; other columns are ignored; texts are read whole.
     """
-    score = _scorer(docs, model)
+    score = _scorer(docs, model, remembered)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,9 +330,9 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", key: str
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def reject_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def reject_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, remembered: int = REMEMBERED // 3) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below ``threshold``."""
-    score, at = _scorer(docs, model), docs.columns.index(text)
+    score, at = _scorer(docs, model, remembered), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
