@@ -84,6 +84,18 @@ def test_general_format(spark):
     assert got == [f"{v:.4g}" for v in values]
 
 
+def test_general_format_of_every_branch(spark, sf):
+    values = [12.35, 2.675, 0.125, 0.135, 2.5, 99.95, 999.5, 1e-4, 9.9996e-5, 1e5, -0.0, 0.0, -1234.5, 1e300, 5e-324, float("inf"), float("nan"), None]
+    for digits in (1, 2, 3, 4, 5):
+        got = [r.s for r in spark.createDataFrame([(v,) for v in values], "x double").select(scalar.general(F.col("x"), digits).alias("s")).collect()]
+        assert got == [None if v is None else f"{v:.{digits}g}" for v in values]
+    from wavestack.plans import views
+    from wavestack.plans.queries import QUERIES
+
+    want = {(r.batch, r.n): f"{r.coa:.3g}" for r in views.scan(spark, sf).collect()}
+    assert {(r.batch, r.n): r.short for r in QUERIES["general_format_all"](spark, sf).collect()} == want
+
+
 def test_scan_files(spark, tmp_path):
     scan = spark.createDataFrame([("2024-01-01", 0, 1_704_067_200_000_000, 1.234567, 2.0)], "batch string, n long, t_us long, coa double, coa_n double").withColumn("batch", F.col("batch").cast("date"))
     writers.write_scan(scan, str(tmp_path / "scan"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,16 +101,13 @@ def general(x: Column, digits: int) -> Column:
     """``%.{digits}g`` with trailing zeros dropped, as Python's ``format`` writes it."""
     if digits < 1:
         raise ConfigError("at least one digit")
-    # ties go to the even digit here; the formatter below would round them up
-    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.nullif(F.abs(x), F.lit(0.0)))))
-    x = F.coalesce(F.rint(x * scale) / scale, x)
-    text = F.format_string(f"%.{digits - 1}e", x)
-    exponent = F.regexp_extract(text, r"e([+-]\d+)$", 1).cast("int")
-    mantissa = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"^([^e]+)e", 1), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    science = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    plain = F.element_at(F.array(*[F.format_string(f"%.{max(0, digits - 1 - e)}f", x) for e in range(-4, digits)]), F.greatest(F.lit(1), F.least(F.lit(digits + 4), exponent + 5)))
-    short = F.when(F.instr(plain, ".") > 0, F.regexp_replace(F.regexp_replace(plain, r"0+$", ""), r"\.$", "")).otherwise(plain)
-    return F.when(x.isNull(), None).when((exponent < -4) | (exponent >= digits), science).otherwise(short)
+
+    # the exact binary value decides the last digit, which no formatter of Spark looks at
+    @F.arrow_udf("string")
+    def text(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else format(v, f".{digits}g") for v in values.to_pylist()], pa.string())
+
+    return text(x.cast("double"))
 
 
 def fixed_point(x: Column, factor: float, most: float = 21474.0) -> Column:

@@ -650,6 +650,11 @@ def _(spark, sf):
     return views.scan(spark, sf).where("coa >= 100 AND coa < 999").select("batch", "n", scalar.general(F.col("coa"), 3).alias("short"))
 
 
+@query("general_format_all", "SELECT batch, n, printf('%.3g', coa) AS short FROM scan", (views.SCAN,))
+def _(spark, sf):
+    return views.scan(spark, sf).select("batch", "n", scalar.general(F.col("coa"), 3).alias("short"))
+
+
 @query("scan_roundtrip", "SELECT batch, n, round_even(least(coa, 21474) * 1e5, 0) / 1e5 AS coa FROM scan", (views.SCAN,), ("coa",))
 def _(spark, sf):
     return writers.dequantised(writers.quantised(views.scan(spark, sf))).select("batch", "n", "coa")
