@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import io
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -192,6 +194,13 @@ def test_repeats_edges(spark, odd):
     assert sorted((r.doc_id is None, r.n_removed) for r in dedup.remove_repeats(same).collect()) == [(False, 0), (False, 0), (True, 16)]
 
 
+@pytest.mark.parametrize("module", ["repeats"])
+def test_workers_load_arrow_compute(module):
+    """A fresh Python, as a worker is, has ``pyarrow.compute`` after the module's import."""
+    code = f"import sys, wavestack.llm.{module}; sys.exit('pyarrow.compute' not in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], timeout=120).returncode == 0
+
+
 def test_factors_overlap_at_boundaries():
     assert dedup.factors(np.array([3, 1, 2, 2, 9]), np.array([7, 5, 5, 5, 7])) == [(1, 14, 5), (3, 13, 7), (9, 13, 7)]
 

@@ -1,9 +1,14 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by a join of 13-word windows, in place of a relative Lempel-Ziv parse.
 
-Every document is parsed against all documents with a smaller id: a factor is a run of words that
-another document also holds, taken as long as it goes; factors of at least ``WINDOW`` words are duplicate
-spans, and windows across the boundary of two factors are looked up as well, so that a span is found
-however the greedy parse cuts it.
+Every window of ``WINDOW`` words that a document with a smaller id also holds is a repeat, and the words of such
+windows are the duplicate spans. They are the words that a Lempel-Ziv parse against all documents with
+a smaller id covers with factors of at least ``WINDOW`` words, windows across the boundary of two factors
+included: every window of such a factor is a repeat, and every repeat lies in a factor or across a boundary.
+
+The factors given here are not those of a greedy parse. Of each window only the smallest document id is
+kept, no place in that document, and ``factors`` groups neighbouring windows with one id. A passage of one document
+of which a still earlier one holds a part is cut there, and the windows of one factor may stand
+at different places of its reference.
 
 The reference is indexed in blocks by hash, not by document, so no block is ever compared with another:
 
@@ -13,7 +18,7 @@ The reference is indexed in blocks by hash, not by document, so no block is ever
 2. Each block tells the documents which of their anchors others hold too.
 3. Only windows with such an anchor go, under 128-bit hashes, to the blocks of the window index; there the
    smallest document id of each window decides, and documents learn which windows are repeats.
-4. Runs of such windows with one reference make the factors; covered words are removed.
+4. Runs of such windows with one reference are grouped; covered words are removed.
 
 Tasks combine their own entries first: of a hash that many of a task's documents share, one entry is sent
 and the others are answered on the spot, so a passage in a third of all rows costs its block one
@@ -27,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (workers do not load it by themselves)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blob, buckets_for, join_small, read_table, sliding_min, slices, small_enough, stage, text_buffers
+from .common import Words, blob, buckets_for, give_back, join_small, read_table, sliding_min, slices, small_enough, stage, text_buffers
 
 WINDOW, GRAM = 13, 6
 #: Entries that a task gathers before it combines and sends them.
@@ -127,8 +133,11 @@ def _emit_anchors(n_buckets: int):
                 if size > GATHERED:
                     yield flush(hashes, rows, salt)
                     hashes, rows, size, salt = [], [], 0, salt + 1
+                    give_back()
         if size:
             yield flush(hashes, rows, salt)
+        del hashes, rows
+        give_back()
 
     return run
 
@@ -199,8 +208,11 @@ def _emit_windows(n_buckets: int):
                 if size > GATHERED:
                     yield flush(parts, salt)
                     parts, size, salt = [], 0, salt + 1
+                    give_back()
         if size:
             yield flush(parts, salt)
+        del parts
+        give_back()
 
     return run
 
@@ -223,10 +235,10 @@ def _answer_windows(table: pa.Table) -> pa.Table:
 
 
 def factors(places: np.ndarray, refs: np.ndarray) -> list[tuple[int, int, int]]:
-    """Greedy factors (first word, words, reference) from the windows found in the reference.
+    """Runs (first word, words, reference) of the windows found in the reference.
 
-    A factor runs on while the next window is known from the same reference; where the reference
-    changes, the windows across the boundary belong to the next factor, so covered words overlap there.
+    A run goes on while the next window has the same smallest document, wherever it stands there; where the
+    reference changes, the windows across the boundary belong to the next run, so covered words overlap there.
     """
     order = np.lexsort((refs, places))
     places, refs = places[order].astype(np.int64), refs[order]
