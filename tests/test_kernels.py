@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from wavestack.config import Grid, Onset, Trigger
-from wavestack.errors import ConfigError
+from wavestack.errors import ConfigError, TravelTimeError
 from wavestack.functions import kernels, scalar
 
 
@@ -72,6 +72,19 @@ def test_eikonal_against_straight_rays():
     assert np.allclose(tt[7, 7, :], true[7, 7, :], atol=1e-6)
 
 
+def test_eikonal_sweeps_until_nothing_changes():
+    speed = np.full((301, 7, 1), 1e-4)
+    speed[::2] = 1.0
+    for i in range(1, 301, 2):  # a corridor that turns at alternating ends
+        speed[i, 0 if i % 4 == 1 else 6] = 1.0
+    tt = kernels.sweep_eikonal(speed, (1.0, 1.0, 1.0), (0, 6, 0))[:, :, 0]
+    slow = 1 / speed[:, :, 0]
+    for a, b in ((np.s_[1:, :], np.s_[:-1, :]), (np.s_[:, 1:], np.s_[:, :-1])):
+        assert (tt[a] <= tt[b] + slow[a] + 1e-6).all() and (tt[b] <= tt[a] + slow[b] + 1e-6).all()
+    with pytest.raises(TravelTimeError):
+        kernels.sweep_eikonal(speed, (1.0, 1.0, 1.0), (0, 6, 0), rounds=2)
+
+
 def test_vincenty():
     assert kernels.vincenty(0, 0, 0, 1) == pytest.approx(111.319491, abs=1e-5)
     assert kernels.vincenty(10, 20, 10, 20) == 0

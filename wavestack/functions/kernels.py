@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from ..errors import TravelTimeError
+
 
 # ---------------------------------------------------------------- filters
 
@@ -289,8 +291,11 @@ def gaussian_location(values: np.ndarray, window: int = 7) -> tuple[np.ndarray,
 # ---------------------------------------------------------------- travel times
 
 
-def sweep_eikonal(speed: np.ndarray, spacing: tuple[float, float, float], source: tuple[int, int, int], rounds: int = 6) -> np.ndarray:
-    """First arrivals from a node by fast sweeping (eight sweep directions a round) on a 3-D speed grid."""
+def sweep_eikonal(speed: np.ndarray, spacing: tuple[float, float, float], source: tuple[int, int, int], rounds: int = 10_000) -> np.ndarray:
+    """First arrivals from a node by fast sweeping (eight sweep directions a round) on a 3-D speed grid.
+
+    Sweeps until a round changes no time; times that still change after ``rounds`` rounds are an error.
+    """
     nx, ny, nz = speed.shape
     time = np.full((nx + 2, ny + 2, nz + 2), 1e12)
     time[source[0] + 1, source[1] + 1, source[2] + 1] = 0.0
@@ -324,8 +329,8 @@ def sweep_eikonal(speed: np.ndarray, spacing: tuple[float, float, float], source
                             got = np.where(use, new, got)
                         time[p, q, r] = np.minimum(time[p, q, r], got)
         if np.abs(time[1:-1, 1:-1, 1:-1] - before).max() < 1e-9:
-            break
-    return time[1:-1, 1:-1, 1:-1]
+            return time[1:-1, 1:-1, 1:-1]
+    raise TravelTimeError(f"travel times still change after {rounds} rounds of sweeps")
 
 
 def vincenty(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
