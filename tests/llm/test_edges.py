@@ -228,6 +228,14 @@ def test_near_duplicate_edges(spark, odd):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id not in (None,)) == sorted(d for d, n, c in got if d == c)
 
 
+def test_keep_one_judges_rows_that_share_a_key(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, one), (1, two), (1, one), (1, one + " z"), (2, one + " y"), (3, three), (3, one), (3, ""), (3, None), (None, one), (4, two)]
+    kept = near_duplicates.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 80, 5).collect()
+    got = sorted(((r.doc_id or 0), (r.text or "")[:1]) for r in kept)
+    assert got == [(0, "a"), (1, "a"), (1, "b"), (3, ""), (3, "c")]
+
+
 def test_crowded_family_keeps_every_link(spark):
     """Hundreds of near copies with one to five edits each: crowded keys, hubs and differences."""
     rng = random.Random(2)

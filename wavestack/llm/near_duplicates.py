@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .common import Words, blob, buckets_for, join_small, mix, read_table, slices, stage, text_buffers, worker_cache
@@ -439,7 +440,7 @@ def _across(told: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> D
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_id) of every row.
+    """(doc_id, n_shingles, component_id, set_id, label) of every row; rows of one component have one label.
 
     Two rows link when the Jaccard similarity of their sets of ``words``-word shingles is at least
     ``percent`` hundredths. ``component_id`` is the smallest key that links reach; without words a row
@@ -470,22 +471,41 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 4, text: st
     named = names.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = stage(named.groupBy("label").agg(F.min("doc").alias("least")), "near-least")
     out = named.join(least, "label")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("least")).alias("component_id"), F.col("id").alias("set_id"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("least")).alias("component_id"), F.col("id").alias("set_id"), "label")
+
+
+def _named_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
+    """``docs`` with the name of every row's shingle set as column ``_set``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column("_set"))
+            ids = [Sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words).identity() for a, b in slices(offsets)]
+            if ids:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(ids))], names=batch.schema.names)
+
+    schema = StructType([*docs.schema.fields, StructField("_set", LongType())])
+    return docs.withColumn("_set", F.coalesce(F.col(text), F.lit(""))).mapInArrow(run, schema)
 
 
 def keep_one(docs: DataFrame, percent: int = 80, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component: that with the smallest key.
 
-    Rows that repeat a kept key are reduced to one; rows without words, or with a null key, all stay.
+    Rows that share a key are judged one by one: those of the same component are reduced to one, those without
+    words too; others stay or go with their own component. Rows with a null key all stay.
     """
-    found = stage(near_duplicates(docs, percent, words, text, key).select("doc_id", "component_id"), "near-found")
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = join_small(docs, gone, key, "left_anti")
-    again = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
+    found = stage(near_duplicates(docs, percent, words, text, key).select(F.col("doc_id").alias(key), "component_id", "set_id", "label"), "near-found")
+    gone = found.where(F.col(key) != F.col("component_id")).select(key)
+    again = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
     again = stage(again, "near-again")
     if not again.limit(1).count():
-        return kept
-    return join_small(kept, again, key, "left_anti").unionByName(join_small(kept, again, key, "left_semi").dropDuplicates([key]))
+        return join_small(docs, gone, key, "left_anti")
+    kept = join_small(docs, gone.union(again).distinct(), key, "left_anti")
+    stays = join_small(found.where(F.col(key) == F.col("component_id")), again, key, "left_semi")
+    stays = stage(stays.select(F.col(key).alias("_key"), F.col("set_id").alias("_id"), F.col("label").alias("_label")).distinct(), "near-stays")
+    own = _named_sets(join_small(docs, again, key, "left_semi"), words, text)
+    own = join_small(own, stays, (F.col(key) == F.col("_key")) & (F.col("_set") == F.col("_id")), "inner").dropDuplicates(["_key", "_label"])
+    return kept.unionByName(own.select(*docs.columns))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
