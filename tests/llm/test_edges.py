@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.brute import components, minimax, repeats
 from wavestack.llm import audio, bpe, language, near_duplicates, secrets, sharding, toxicity, warc, winnowing
@@ -112,6 +113,12 @@ def test_hysteresis():
     assert audio.segments(np.zeros(5)) == []
 
 
+def test_language_learns_from_whole_texts(spark):
+    rows = [(i, "ab cd ef " * 500 + ("zebra quagga okapi " if i % 2 else "river garden table ") * 20, "xx" if i % 2 else "yy") for i in range(40)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert {"zebra", "okapi", "river", "table"} <= set(model.lexicon)
+
+
 def test_language_edges(spark, odd):
     model = language.fit(["the cat sat on the mat and the dog"] * 30 + ["le chat est sur la table et le chien"] * 30, ["en"] * 30 + ["fr"] * 30)
     got = {r.doc_id: r for r in language.predict_documents(_docs(spark, odd), model).collect()}

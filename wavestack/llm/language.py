@@ -10,7 +10,7 @@ posterior over all its words, and that mean is the score.
 Training maximises the conditional likelihood (gradients by forward-backward, Adam steps) on sequences spliced from
 stretches of texts of different languages, which is where the transitions are learned from. The
 model is fitted on the driver from at most ``TRAIN_ROWS`` rows, chosen by a hash of the key per
-language, and at most ``TRAIN_WORDS`` words of each; prediction reads whole texts.
+language, on their whole texts; prediction reads whole texts too.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, worker_cache
 
-TRAIN_ROWS, TRAIN_WORDS = 2_400, 240
+TRAIN_ROWS = 2_400
 LEXICON = 3_000
 BUCKETS = 1 << 16
 #: Words that one Python worker remembers; results do not depend on it.
@@ -126,7 +126,7 @@ def fit(texts: list[str | None], langs: list[str], seed: int = 5, rounds: int =
     n_labels = len(labels)
     pools: dict[str, list[list[str]]] = {x: [] for x in labels}
     for text, lang in zip(texts, langs, strict=True):
-        if own := words(text)[:TRAIN_WORDS]:
+        if own := words(text):
             pools[lang].append(own)
     seen = Counter(w for pool in pools.values() for ws in pool for w in set(ws))
     lexicon = {w: i for i, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]) if n >= 3}
@@ -266,8 +266,7 @@ def train(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS, text: str = "
     for value, n in counts.items():
         share = F.when(F.col(lang) == value, F.lit(min(1.0, rows / len(counts) / n))).otherwise(share)
     hashed = F.pmod(F.xxhash64(F.lit(13), F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    # enough characters for TRAIN_WORDS words of ordinary length
-    got = named.where(hashed < share).select(key, F.substring(F.col(text), 1, 16 * TRAIN_WORDS).alias("text"), lang).limit(2 * rows).collect()
+    got = named.where(hashed < share).select(key, F.col(text).alias("text"), lang).limit(2 * rows).collect()
     got.sort(key=lambda r: (r[key] is None, r[key], r["text"]))
     return fit([r["text"] for r in got], [r[lang] for r in got])
 
