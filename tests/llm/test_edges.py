@@ -258,6 +258,20 @@ def test_crowded_family_keeps_every_link(spark):
     assert got == components(list(enumerate(texts)))
 
 
+def test_thousands_of_near_copies_keep_every_link(spark):
+    """A family of 2 000 copies with one or two changed words: one key holds nearly all of them."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(1 + i % 2):
+            w[rng.randrange(60)] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(_docs(spark, texts)).collect()}
+    assert got == components(list(enumerate(texts)))
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     got = {r.node: r.label for r in links.components(edges).collect()}

@@ -18,9 +18,11 @@ Prefixes. Two sets of Jaccard similarity t or more share their first l common to
   the same parts; a part without tokens is a key only for sets with so many of them that it is needed.
 
 Verification compares whole token sets. A key with few sets gives all its pairs. A key with many gives a
-star first; once stars are verified and joined into components, pairs of different components are sought
-among the key's sets by what they changed against the star's hub (see ``_across``), so a group of thousands
-of near copies costs a number of checks in proportion to its size, and no link between components is lost.
+star around its hub, the set of smallest name; once stars are verified and joined into components, pairs of
+different components are sought among a hub's sets by what they changed against it (see ``_across``), so a
+group of thousands of near copies costs a number of checks in proportion to its size, and no link between
+components is lost. Only stars are sent, never the members of a key: two sets of one crowded key are both in the
+star of its hub, and the keys of one family have few hubs between them.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -47,7 +50,7 @@ GATHERED = 600_000
 #: Pairs that a task forms before it adds up equal ones.
 PAIRS_AT_ONCE = 400_000
 #: Most pairs of one hub that are verified in one block.
-HUB_PAIRS = 2_000
+HUB_PAIRS = 500
 MASK = (1 << 64) - 1
 SALT_PART, SALT_SHORT = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
 
@@ -251,11 +254,13 @@ def _emit_keys(rule: Rule, bits: int, packed, n_buckets: int):
     return run
 
 
-_PAIRS = "a long, b long, shared int, need int, tried boolean, many long"
+#: ``star``: 0 for a pair of a small key; of a crowded one with its hub 1, or 2 if their sizes allow a link.
+_PAIRS = "a long, b long, shared int, need int, star int"
+NEVER = 1 << 30
 
 
 def _pairs(rule: Rule):
-    """Candidate pairs of a bucket: rows (a, b, shared, need, tried), and (a, null, .., many = key) for keys of many sets."""
+    """Candidate pairs of a bucket: rows (a, b, shared, need, star); of a star ``a`` is the hub."""
 
     def run(table: pa.Table) -> pa.Table:
         key, ident, meta = (np.concatenate([np.frombuffer(x, k) for x in table[c].to_pylist()]) for c, k in (("keys", _U), ("ids", np.int64), ("sizes", np.int32)))
@@ -267,7 +272,6 @@ def _pairs(rule: Rule):
         edge = _runs(key)
         size = np.diff(edge)
         crowd = size > np.where(meta[edge[:-1]] < 0, SMALL, SMALL_SINGLE)
-        big = [np.zeros(0, np.int64)]
 
         def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
             """Places (i, j) of pairs, some hundred thousand at a time, and whether they are a star's."""
@@ -281,45 +285,37 @@ def _pairs(rule: Rule):
                     own = start[at : at + step, None]
                     yield (own + i[None, :]).ravel(), (own + j[None, :]).ravel(), False
             for a, b in zip(edge[:-1][crowd], edge[1:][crowd], strict=True):
-                big.append(np.arange(a, b))
                 yield np.full(b - a - 1, a), np.arange(a + 1, b), True
 
         def combined_rows(parts: list[tuple]) -> tuple:
-            """One row per pair: shared keys summed, the least need, whether some star tried it."""
-            a, b, shared, need, tried = (np.concatenate(x) for x in zip(*parts, strict=True))
+            """One row per pair: shared keys summed, the least need, the best star."""
+            a, b, shared, need, star = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((b, a))
-            a, b, shared, need, tried = a[order], b[order], shared[order], need[order], tried[order]
+            a, b, shared, need, star = a[order], b[order], shared[order], need[order], star[order]
             start = _runs(a, b)[:-1]
-            return a[start], b[start], np.add.reduceat(shared, start), np.minimum.reduceat(need, start), np.maximum.reduceat(tried, start)
+            return a[start], b[start], np.add.reduceat(shared, start), np.minimum.reduceat(need, start), np.maximum.reduceat(star, start)
 
         rows, waiting, gathered = [], [], 0
         for i, j, star in blocks():
             combo = meta[i] < 0
             n, m = np.abs(meta[i]) // 2, np.abs(meta[j]) // 2
             both_mixed = (np.abs(meta[i]) % 2 == 1) & (np.abs(meta[j]) % 2 == 1)
-            good = (100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)) & (combo | star | ~both_mixed)
+            fits = 100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)
+            # all members of a star are told, whatever their size: two of them may link with each other
+            good = np.full(len(i), True) if star else fits & (combo | ~both_mixed)
             if not good.any():
                 continue
-            need = np.where(combo, 0, np.minimum(rule.extra(n), rule.extra(m)))[good].astype(np.int32)
-            waiting.append((ident[i[good]], ident[j[good]], np.ones(len(need), np.int32), need, np.full(len(need), star)))
+            need = np.where(fits, np.where(combo, 0, np.minimum(rule.extra(n), rule.extra(m))), NEVER)[good].astype(np.int32)
+            waiting.append((ident[i[good]], ident[j[good]], np.ones(len(need), np.int32), need, (star * (1 + fits))[good].astype(np.int32)))
             gathered += len(need)
             if gathered > PAIRS_AT_ONCE:
                 rows.append(combined_rows(waiting))
                 waiting, gathered = [], 0
         rows += [combined_rows(waiting)] if waiting else []
         if not rows:
-            rows = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool))]
-        a, b, shared, need, tried = combined_rows(rows) if len(rows) > 1 else rows[0]
-        members = np.concatenate(big)
-        none = lambda kind, n: pa.nulls(n, kind)
-        return pa.table({
-            "a": pa.concat_arrays([pa.array(a), pa.array(ident[members])]),
-            "b": pa.concat_arrays([pa.array(b), none(pa.int64(), len(members))]),
-            "shared": pa.array(np.concatenate([shared, np.zeros(len(members))]).astype(np.int32)),
-            "need": pa.array(np.concatenate([need, np.zeros(len(members))]).astype(np.int32)),
-            "tried": pa.concat_arrays([pa.array(tried.astype(bool)), none(pa.bool_(), len(members))]),
-            "many": pa.concat_arrays([none(pa.int64(), len(a)), pa.array(key[members].view(np.int64))]),
-        })
+            rows = [(np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, np.int32)] * 3)]
+        a, b, shared, need, star = combined_rows(rows) if len(rows) > 1 else rows[0]
+        return pa.table({"a": a, "b": b, "shared": shared.astype(np.int32), "need": need.astype(np.int32), "star": star.astype(np.int32)})
 
     return run
 
@@ -342,8 +338,8 @@ def _per_pair(function, schema: pa.Schema):
     """Apply ``function(a, b, tokens of a, tokens of b)`` to the pairs of one block, which holds each needed set once."""
 
     def run(table: pa.Table) -> pa.Table:
-        other = pa.compute.fill_null(table["b"], 0).to_numpy()
-        is_set = pa.compute.is_valid(table["tokens"]).to_numpy(zero_copy_only=False)
+        other = pc.fill_null(table["b"], 0).to_numpy()
+        is_set = pc.is_valid(table["tokens"]).to_numpy(zero_copy_only=False)
         ids = table["a"].to_numpy()
         packed = table["tokens"]
         sets = {int(ids[i]): np.frombuffer(packed[int(i)].as_py(), _U) for i in np.flatnonzero(is_set)}
@@ -403,21 +399,22 @@ def _links(pairs: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> D
 def _across(told: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> DataFrame:
     """Candidate pairs (a, b) of different components among the members of crowded keys.
 
-    ``told`` has many (the key), node and label (its component so far). Each key has a hub, the set of most
-    keys around it, as a rule the text that a family of near copies was made from, and members are described
-    by how their token set differs from the hub's. The size of the difference of two sets is at most
-    (100 - p) (n + m) / (100 + p) if they link, and it is also the difference of their two differences; so
-    with x not linked to the hub (those pairs are tried as well), x and y can only link if their differences share at
-    least ``o = (|dx| + |dy| - most) / 2 >= 1`` tokens, and then some token is within the first
-    ``|d| - o + 1`` of both, rarest first. Members that were changed in different ways never meet.
+    ``told`` has many (the hub of a crowded key), node (a member, the hub included) and label (its component so
+    far). A star goes over to the hub of most members that its own hub meets, as a rule the text that a family
+    of near copies was made from, and members are described by how their token set differs from that hub's.
+    The size of the difference of two sets is at most (100 - p) (n + m) / (100 + p) if they link, and it is also
+    the difference of their two differences; so with x not linked to the hub (those pairs are tried as well),
+    x and y can only link if their differences share at least ``o = (|dx| + |dy| - most) / 2 >= 1`` tokens,
+    and then some token is within the first ``|d| - o + 1`` of both, rarest first. Members that were changed
+    in different ways never meet.
     """
-    split = told.groupBy("many").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("many")
-    left = told.join(split, "many", "left_semi")
-    degree = left.groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
-    hubs = left.join(degree, "node").groupBy("many").agg(F.max(F.struct("deg", "node", "label")).alias("h"))
+    split = told.groupBy("many").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("deg")).where("l != h").select("many", "deg")
+    left = told.join(split, "many")
+    own = F.max(F.when(F.col("node") == F.col("many"), F.struct("deg", "node", "label")))
+    hubs = left.groupBy("many").agg(own.alias("h"))
     for _ in range(2):
-        # a key goes over to the best hub that its own hub meets, so a family has few hubs
-        best = left.join(hubs, "many").groupBy("node").agg(F.max("h").alias("best"))
+        # a star goes over to the best hub that its own hub meets, so a family has few hubs
+        best = left.select("many", "node").join(hubs, "many").groupBy("node").agg(F.max("h").alias("best"))
         hubs = stage(hubs.join(best, F.col("h.node") == F.col("node")).select("many", F.col("best").alias("h")), "near-hubs")
     hubs = hubs.select("many", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label"))
     members = stage(left.join(hubs, "many").where("node != hub").select("node", "label", "hub", "hub_label").distinct(), "near-members")
@@ -456,15 +453,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 4, text: st
     names = table.where("kind = 0").select("doc", "id", "n")
     packed = spark.sparkContext.broadcast(_frequent(table, bits, spark))
     keyed = rows.select("text").mapInArrow(_emit_keys(rule, bits, packed, buckets), _KEYS)
-    found = stage(keyed.groupBy("bucket").applyInArrow(_pairs(rule), _PAIRS), "near-pairs")
-    counted = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"), F.bool_or("tried").alias("tried"))
-    pairs = stage(counted.where("shared >= need OR tried").select("a", "b"), "near-candidates")
-    links = _links(pairs, rows, names, rule)
-    crowd = found.where("b IS NULL").select("many", F.col("a").alias("node"))
-    if crowd.limit(1).count():
-        told = crowd.join(components(links), "node", "left").select("many", "node", F.coalesce("label", "node").alias("label"))
+    found = keyed.groupBy("bucket").applyInArrow(_pairs(rule), _PAIRS)
+    counted = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"), F.max("star").alias("star"))
+    pairs = stage(counted.where("shared >= need OR star > 0").select("a", "b", "star", "need"), "near-candidates")
+    tried = pairs.where(F.col("need") < NEVER).select("a", "b")
+    links = _links(tried, rows, names, rule)
+    stars = pairs.where("star > 0").select(F.col("a").alias("many"), F.col("b").alias("node"))
+    if stars.limit(1).count():
+        members = stars.union(stars.select("many", F.col("many").alias("node")).distinct())
+        told = members.join(components(links), "node", "left").select("many", "node", F.coalesce("label", "node").alias("label"))
         told = stage(told, "near-crowds")
-        cross = stage(_across(told, rows, names, rule).join(pairs, ["a", "b"], "left_anti"), "near-cross")
+        cross = stage(_across(told, rows, names, rule).join(tried, ["a", "b"], "left_anti"), "near-cross")
         if cross.limit(1).count():
             links = links.unionByName(_links(cross, rows, names, rule))
     labels = components(links)
