@@ -1,7 +1,7 @@
 """Shared helpers: staging in the cluster's shared folder, hashing, and vectorised word handling.
 
 Every operator here follows the same rules: rows are never dropped, capped or sampled; only tables
-whose row count was checked first are broadcast; intermediate tables are written to the folder that
+whose bytes and rows were checked first are broadcast; intermediate tables are written to the folder that
 ``spark.checkpoint.dir`` names, so a lost executor costs only the tasks it ran.
 """
 
@@ -10,19 +10,21 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a key table that a query broadcasts after counting it; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Most rows, and most bytes by the plan's own estimate (for a staged table: of its files), of a table that
+#: a query broadcasts; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a local one is made only where none is set (tests)."""
+    """The shared folder of this session; a local one is made only where none is set (tests, ``local`` masters)."""
     got = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
         if not spark.sparkContext.master.startswith("local"):
@@ -36,20 +38,40 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wavestack/{name}-{uuid.uuid4().hex}"
+    path = f"{staging(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staging(spark: SparkSession) -> str:
+    """The folder of this application's staged tables."""
+    return f"{shared_dir(spark)}/wavestack/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
-        jvm = spark.sparkContext._jvm
-        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            if "/wavestack/" in file:
-                path = jvm.org.apache.hadoop.fs.Path(file)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if "/wavestack/" in folder:
+                _delete(table.sparkSession, folder)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all staged tables of this application, once the results that read them are written."""
+    _delete(spark, staging(spark))
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """``name``, or the next like it that no column of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,16 +79,49 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes of a table as its plan states them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def small_enough(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
-    """Whether a (staged, narrow) table has at most ``most`` rows; counts no further than that."""
-    return df.limit(most + 1).count() <= most
+    """Whether a (staged) table may be broadcast: by its bytes, then by its rows, counted no further than ``most``."""
+    return plan_bytes(df) <= BROADCAST_BYTES and df.limit(most + 1).count() <= most
 
 
 def join_small(left: DataFrame, right: DataFrame, on, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Equi-join that broadcasts ``right`` only after its row count was checked."""
+    """Equi-join that broadcasts ``right`` only after its bytes and rows were checked."""
     return left.join(F.broadcast(right) if small_enough(right, most) else right, on, how)
 
 
+def join_sparse(left: DataFrame, right: DataFrame, on: list[str], weight: Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``left`` with the columns of ``right`` (staged, one row for each of the keys ``on``, none null), or nulls.
+
+    ``weight`` is the bytes of a row of ``right``. Up to ``most`` bytes in all it is broadcast. Beyond that only the rows
+    of ``left`` that have a match are shuffled, if the keys alone are few enough to tell which those are; else all.
+    """
+    total = right.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("bytes")).first()["bytes"]
+    if total <= most:
+        return left.join(F.broadcast(right), on, "left")
+    keys = right.select(*on)
+    if not small_enough(keys):
+        return left.join(right, on, "left")
+    some, rest = (left.join(F.broadcast(keys), on, how) for how in ("left_semi", "left_anti"))
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in right.schema.fields if f.name not in on}
+    return some.join(right, on, "left").unionByName(rest.withColumns(empty))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of plans that nothing reads any more, which it does as it collects garbage.
+
+    The first collection finds the plans, the next one what they held.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 _CACHE: dict[tuple, object] = {}
 
 
@@ -223,5 +278,4 @@ def blob(values: np.ndarray) -> bytes:
 
 def buckets_for(df: DataFrame, per: int = 8 << 20, least: int = 48, most: int = 1 << 20) -> int:
     """Number of hash buckets for an input, in proportion to the size that its plan states."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(most, max(least, size // per)))
+    return int(min(most, max(least, plan_bytes(df) // per)))
