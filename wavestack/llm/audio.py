@@ -5,7 +5,8 @@ windowed-sinc low-pass split into one short filter per output phase, so only wan
 computed), cut into overlapping windows, and turned into log-mel energies; segments of sound are
 found by hysteresis on frame energy (open above one threshold, held until below a lower one). The
 energies come as fixed-shape tensors: every tensor holds ``FRAMES`` x ``MELS`` values (the last one padded) and
-has the time span it covers, stored as Arrow IPC bytes with the canonical fixed-shape tensor type.
+has the time span it covers, stored as Arrow IPC bytes with the canonical fixed-shape tensor type in a column of the
+written table; ``read_tensors`` gives them back.
 
 A recording is worked through in blocks of whole tensors, so memory does not grow with its length
 beyond the samples themselves; each block is a function of its own samples and their margin only, hence equal
@@ -14,9 +15,7 @@ recordings give equal bytes wherever they are computed.
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import read_table, stage
+from .common import drop_staged, read_table, stage
 
 RATE, UP, DOWN = 8000, 1, 2
 TAPS = 16  # filter half-length, in input samples per phase
@@ -146,6 +146,13 @@ def tensor_column(values: np.ndarray, rate: int) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def read_tensors(stored: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(time spans (n, 2) in seconds, tensors (n, FRAMES, MELS)) of a stored column value."""
+    table = pa.ipc.open_stream(stored).read_all().combine_chunks()
+    spans = np.stack([table[c].to_numpy() for c in ("start_s", "end_s")], 1)
+    return spans, table["log_mel"].combine_chunks().to_numpy_ndarray() if table.num_rows else np.zeros((0, FRAMES, MELS), np.float32)
+
+
 def features(media: bytes) -> tuple[int, int, list[tuple[float, float]], bytes]:
     """(rate after resampling, frames, segments in seconds, tensors) of one recording."""
     raw, rate = wav_samples(media)
@@ -180,8 +187,11 @@ def encode_media(docs: DataFrame, text: str = "text", key: str = "doc_id", multi
 _FEATURES = "doc_id long, n_bytes long, media binary, rate int, frames int, segments array<struct<start_s:double,end_s:double>>, tensors binary"
 
 
-def audio_features(media: DataFrame, keep_media: bool = True) -> DataFrame:
-    """``media`` (doc_id, n_bytes, media) with rate, frames, segments and tensors of each recording."""
+def audio_features(media: DataFrame) -> DataFrame:
+    """``media`` (doc_id, n_bytes, media) with rate, frames, segments and tensors of each recording.
+
+    Bytes that are not such a recording, null ones included, are an error; an empty table gives an empty result.
+    """
     kind = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,22 +206,37 @@ def audio_features(media: DataFrame, keep_media: bool = True) -> DataFrame:
     return media.mapInArrow(run, _FEATURES)
 
 
+def mean_energies(stored: DataFrame) -> DataFrame:
+    """``stored`` (frames, tensors and any other columns) with its tensors read back: their number and mean log-mel energy."""
+    names = stored.columns
+    at, length = names.index("tensors"), names.index("frames")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, mean = [], []
+            for value, frames in zip(batch.column(at), batch.column(length).to_pylist(), strict=True):
+                _, tensors = read_tensors(value.as_buffer())
+                n.append(len(tensors))
+                mean.append(float(tensors.reshape(-1, MELS)[:frames].mean(dtype=np.float64)) if frames else 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32()), pa.array(mean, pa.float64())], names=[*names, "n_tensors", "mean_energy"])
+
+    return stored.mapInArrow(run, StructType([*stored.schema.fields, StructField("n_tensors", IntegerType()), StructField("mean_energy", DoubleType())]))
+
+
 def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document stored as a recording, read back from the store, and its features."""
+    """Every document stored as a recording and read back; its features stored with their tensors and read back."""
     stored = stage(encode_media(read_table(spark, sf_dir, "documents")), "audio")
     payload = F.expr("substring(media, 45)")
-    out = audio_features(stored).withColumn("payload", payload)
-    return out.select(
+    voiced = F.round(F.aggregate("segments", F.lit(0.0), lambda a, x: a + x["end_s"] - x["start_s"]), 3)
+    out = audio_features(stored).withColumn("payload", payload).select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat(F.lit("rate="), "rate", F.lit(";frames="), "frames", F.lit(";segments="), F.size("segments"), F.lit(";voiced="),
-                 F.round(F.aggregate("segments", F.lit(0.0), lambda a, x: a + x["end_s"] - x["start_s"]), 3), F.lit(";tensors="), F.sha2("tensors", 256)).alias("feature"),
+        "rate", "frames", F.size("segments").alias("n_segments"), voiced.alias("voiced"), "tensors",
     )
-
-
-def reference_digest(text: str | None) -> dict:
-    """What ``op3_audio`` must say of the stored bytes of one text, computed directly (for tests)."""
-    data = (text or "").encode()
-    payload = data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
-    media = wav_bytes(payload)
-    return {"n_bytes": len(data), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest()}
+    kept = stage(out, "audio-features")
+    drop_staged(stored)
+    feature = F.concat(
+        F.lit("rate="), "rate", F.lit(";frames="), "frames", F.lit(";segments="), "n_segments", F.lit(";voiced="), "voiced",
+        F.lit(";tensors="), "n_tensors", F.lit(";mean="), F.round("mean_energy", 4), F.lit(";sha256="), F.sha2("tensors", 256),
+    )
+    return mean_energies(kept).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
