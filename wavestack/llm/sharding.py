@@ -5,11 +5,12 @@ smallest capacity with which ``k`` shards hold the groups in that order is found
 each candidate capacity is checked greedily. The groups themselves never reach the driver: it sees
 the sums of at most ``2 ** ROOT_BITS`` hash ranges, narrows the capacity down to an interval, and asks
 for finer sums only of the ranges in which some cut can still fall. Four to seven rounds decide the
-exact optimum, whatever the number of groups.
+exact optimum, whatever the number of groups. Greedy cuts at that capacity fill every shard but the last, so the
+slack is spread: each cut moves to the place next to its even share from which the smallest capacity can still be kept.
 
 A group larger than an even share would set the capacity for all shards and leave others empty, so
-such groups (fewer than ``k`` by definition) stand at the end of the order with a shard each, and the
-search runs over the rest with the shards that are left.
+such groups (fewer than ``k`` by definition) are taken out of the hash order: they stand at its end with a
+shard each, and the search runs over the rest with the shards that are left.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import read_table, stage
+from .common import drop_staged, read_table, stage
 
 ROOT_BITS, STEP_BITS = 14, 7
 SLOT_CHUNKS = 512
@@ -51,6 +52,29 @@ def minimax(sizes: list[int] | np.ndarray, shards: int) -> tuple[int, list[int]]
     return low, greedy_cuts(sizes, low, shards)
 
 
+def level_cuts(total: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """Ends of runs of at most ``capacity`` with sums as even as that allows; ``total`` holds running sums from 0.
+
+    Every cut keeps what is left within the capacity: it is not before the last place from which the
+    remaining shards still reach the end, and not past what its own shard can hold.
+    """
+    n = len(total) - 1
+    least = [n]  # from the back: the first place from which so many shards reach the end
+    for _ in range(shards):
+        least.append(int(np.searchsorted(total, total[least[-1]] - capacity, side="left")))
+    ends, at = [], 0
+    for i in range(shards):
+        low = max(least[shards - 1 - i], at)
+        high = int(np.searchsorted(total, total[at] + capacity, side="right")) - 1
+        want = total[at] + (total[-1] - total[at]) / (shards - i)
+        k = int(np.searchsorted(total, want))
+        if k > at and (k > n or want - total[k - 1] <= total[k] - want):
+            k -= 1
+        at = min(max(k, low), high)
+        ends.append(at)
+    return ends
+
+
 def _heavy(groups: DataFrame, total: int, shards: int) -> list[tuple[int, int]]:
     """Groups above an even share of what is left, largest first; fewer than ``shards``."""
     top = groups.orderBy(F.desc("size"), "h").limit(shards - 1).collect() if shards > 1 else []
@@ -77,11 +101,8 @@ def _open_ranges(total: np.ndarray, single: np.ndarray, low: int, high: int, sha
     return found
 
 
-def plan_cuts(groups: DataFrame, shards: int) -> tuple[int, list[tuple[int, int]], int]:
-    """(capacity, [(first hash past the shard as unsigned, shard)], ...) over ``groups`` (h long, size long).
-
-    Returns the capacity, the cut hashes in ascending unsigned order, and the number of shards used.
-    """
+def plan_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int], int]:
+    """(capacity, first unsigned hash past each shard in order, shards used) over ``groups`` (h long, size long)."""
     order = F.expr(f"shiftrightunsigned(h, {64 - ROOT_BITS})")
     bits = ROOT_BITS
 
@@ -103,7 +124,11 @@ def plan_cuts(groups: DataFrame, shards: int) -> tuple[int, list[tuple[int, int]
         low = max(low, high - int(sizes[~single].max()) if not single.all() else high)
         todo = _open_ranges(total, single, min(low, high), high, shards)
         if not todo:
-            return high, [((ranges[e - 1][0] + (1 << (64 - ranges[e - 1][1]))) if e < len(ranges) else 2**64) for e in cuts], len(cuts)
+            cuts = level_cuts(total, high, shards)
+            # an even share can also end within a range: the ranges on both sides of each cut are looked into
+            todo = {i for e in cuts[:-1] for i in (e - 1, e) if 0 <= i < len(ranges) and not single[i]}
+        if not todo:
+            return high, [((ranges[e - 1][0] + (1 << (64 - ranges[e - 1][1]))) if 0 < e < len(ranges) else 2**64 if e else 0) for e in cuts], len(cuts)
         deeper = []
         for b in sorted({ranges[i][1] for i in todo}):
             own = [ranges[i][0] for i in sorted(todo) if ranges[i][1] == b]
@@ -137,7 +162,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", key:
     rest = groups.where(~F.col("h").isin([h for h, _ in heavy])) if heavy else groups
     _, cuts, used = plan_cuts(rest, shards - len(heavy))
     # first hash past each shard, shifted so that signed comparison follows the unsigned order
-    bounds = [c - 2**63 for c in cuts[:-1]]
+    bounds = [c - 2**63 for c in cuts[:-1] if c < 2**64]
     flipped = F.col("h").bitwiseXOR(F.lit(-(2**63)).cast("long"))
     shard = F.lit(0)
     if bounds:
