@@ -4,7 +4,7 @@ Three base kinds are matched by pattern; a fourth, ``opaque``, proposes long mix
 digits. For every candidate value the corpus is asked how many distinct repositories and owners hold
 it (distinct pairs are formed with map-side combining before any shuffle, so a value in a third of all
 rows costs one row per task and owner). A value that more than ``max_owners`` owners hold is a widely
-copied example; any other looks live. Base spans are always reported; an ``opaque`` span is reported
+copied example, and so is one in more than ``max_repositories`` of them; any other looks live. Base spans are always reported; an ``opaque`` span is reported
 only if its value looks live. Only spans and value digests are shuffled, never texts.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, read_table, stage
+from .common import drop_staged, free_name, join_small, read_table, stage
 
 # Fixed values: (kind, pattern, group that holds the value, least length of the value), in report order.
 KINDS = (
@@ -22,7 +22,7 @@ KINDS = (
     ("hex", r"[0-9a-f]{32,}", 0, 32),
     ("opaque", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}", 0, 20),
 )
-MAX_OWNERS = 2
+MAX_OWNERS, MAX_REPOSITORIES = 2, 3
 MASK = "[SECRET]"
 SPAN = "struct<kind:int,start:int,end:int,digest:string>"
 
@@ -64,7 +64,7 @@ def ownership(found: DataFrame) -> DataFrame:
     return pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("n_repositories")).join(owners, "digest")
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source", repository: str = "lang", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source", repository: str = "lang", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end, digest, live>>) for every row of ``docs``.
 
     ``owner`` and ``repository`` within it say whose text a row is. Null or empty text has no span;
@@ -75,7 +75,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", owner
     rows = stage(candidates(slim), "secret-candidates")
     some = rows.where(F.size("found") > 0)
     each = some.select("doc_id", "found", "owner", "repository", F.explode("found").alias("x")).withColumn("digest", F.col("x.digest"))
-    known = stage(ownership(each).withColumn("live", F.col("n_owners") <= max_owners).select("digest", "live"), "secret-owners")
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
+    known = stage(ownership(each).select("digest", live.alias("live")), "secret-owners")
     judged = join_small(each, known, "digest", "left").select("doc_id", "found", F.struct("x.kind", "x.start", "x.end", "x.digest", "live").alias("y"))
     judged = judged.where((F.col("y.kind") < 3) | F.col("y.live")).dropDuplicates()
     back = judged.groupBy("doc_id", "found").agg(F.collect_list("y").alias("spans"))
@@ -92,15 +93,17 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source", repository: str = "lang", max_owners: int = MAX_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source", repository: str = "lang", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """``docs`` with every live-looking span replaced by a mask; examples and all other text stay.
 
-    Overlapping spans become one. Rows whose key is null or repeated take the spans of their own text.
+    Overlapping spans become one. Rows are known by a 128-bit digest of their text, so a key that is null or repeated
+    does no harm; null and empty texts stay. Columns may have any names.
     """
-    tag = F.xxhash64(F.lit(1), F.col(text))
-    tagged = docs.select(tag.alias(key), F.col(text), F.col(owner), F.col(repository))
-    spans = scan_secrets(tagged, text, key, owner, repository, max_owners).select(F.col("doc_id").alias("_tag"), F.filter("spans", lambda x: x["live"]).alias("_live")).where(F.size("_live") > 0)
-    spans = stage(spans.groupBy("_tag").agg(F.first("_live").alias("_live")), "secret-live")
+    tag, live = free_name("_tag", docs), free_name("_live", docs)
+    digest = F.md5(F.col(text).cast("binary"))
+    tagged = docs.select(digest.alias("tag"), F.col(text).alias("text"), F.col(owner).alias("owner"), F.col(repository).alias("repository"))
+    spans = scan_secrets(tagged, "text", "tag", "owner", "repository", max_owners, max_repositories).select(F.col("doc_id").alias(tag), F.filter("spans", lambda x: x["live"]).alias(live)).where(F.size(live) > 0)
+    spans = stage(spans.groupBy(tag).agg(F.first(live).alias(live)), "secret-live")
 
     def merge(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -111,10 +114,10 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str
     def cut(acc: Column, x: Column) -> Column:
         return F.struct(F.concat(acc["out"], F.substring(F.col(text), acc["pos"] + 1, x["s"] - acc["pos"]), F.lit(MASK)).alias("out"), x["e"].alias("pos"))
 
-    merged = F.aggregate("_live", F.array().cast("array<struct<s:int,e:int>>"), merge)
+    merged = F.aggregate(live, F.array().cast("array<struct<s:int,e:int>>"), merge)
     clean = F.aggregate(merged, F.struct(F.lit("").alias("out"), F.lit(0).alias("pos")), cut, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["pos"] + 1, F.length(text))))
-    out = join_small(docs.withColumn("_tag", tag), spans, "_tag", "left")
-    return out.withColumn(text, F.when(F.col("_live").isNotNull(), clean).otherwise(F.col(text))).select(*docs.columns)
+    out = join_small(docs.withColumn(tag, digest), spans, tag, "left")
+    return out.withColumn(text, F.when(F.col(live).isNotNull(), clean).otherwise(F.col(text))).select(*docs.columns)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +133,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository, coalesce(text, '') AS t FROM documents),
 m AS (
   SELECT rid, 0 AS kind, string_split_regex(t, p) AS gap, regexp_extract_all(t, p, 0) AS hit, regexp_extract_all(t, p, 2) AS val, 8 AS least
   FROM d, (SELECT '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' AS p)
@@ -142,10 +145,10 @@ p AS (SELECT rid, kind, least, hit, val, gap, unnest(range(1, len(hit) + 1)) AS
 q AS (SELECT rid, kind, hit[i] AS h, val[i] AS v,
         coalesce(list_sum(list_transform(gap[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hit[1:i-1], lambda x: length(x))), 0) AS s
       FROM p WHERE length(val[i]) >= least),
-c AS (SELECT q.rid, kind, CAST(s AS BIGINT) AS s, CAST(s + length(h) AS BIGINT) AS e, v, owner FROM q JOIN d ON d.rid = q.rid
+c AS (SELECT q.rid, kind, CAST(s AS BIGINT) AS s, CAST(s + length(h) AS BIGINT) AS e, v, owner, repository FROM q JOIN d ON d.rid = q.rid
       WHERE kind < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]'))),
-o AS (SELECT v, count(DISTINCT owner) AS n FROM c GROUP BY v),
-f AS (SELECT c.rid, kind, s, e, n <= 2 AS live, (['assign','access','hex','opaque'])[kind + 1] || ':' || s || ':' || e AS w FROM c JOIN o ON c.v = o.v WHERE kind < 3 OR n <= 2),
+o AS (SELECT v, count(DISTINCT owner) <= 2 AND count(DISTINCT repository) <= 3 AS live FROM c GROUP BY v),
+f AS (SELECT c.rid, kind, s, e, live, (['assign','access','hex','opaque'])[kind + 1] || ':' || s || ':' || e AS w FROM c JOIN o ON c.v = o.v WHERE kind < 3 OR live),
 g AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
         sha256(coalesce(string_agg(w, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256, string_agg(w, ',' ORDER BY s, kind) AS spans, count(*) FILTER (live) AS n_live
       FROM f GROUP BY rid)
