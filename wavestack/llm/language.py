@@ -16,6 +16,7 @@ language, on their whole texts; prediction reads whole texts too.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,12 +33,26 @@ LEXICON = 3_000
 BUCKETS = 1 << 16
 #: Words that one Python worker remembers; results do not depend on it.
 REMEMBERED = 400_000
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _letters() -> str:
+    """A pattern of runs of letters: what Python counts as part of a word, less ``_`` and all numbers (categories N*)."""
+    codes = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == "N"]
+    ranges = [[codes[0], codes[0]]]
+    for c in codes[1:]:
+        if c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return r"[^\W_" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]+"
+
+
+WORD = re.compile(_letters())
 UND = "und"
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters, lower case."""
+    """Runs of letters (Unicode category L), lower case; null has none."""
     return WORD.findall((text or "").lower())
 
 
@@ -257,7 +272,11 @@ def label_words(text: str, model: Crf) -> list[tuple[str, str, float]]:
 
 def train(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS, text: str = "text", key: str = "doc_id", lang: str = "lang") -> Crf:
     """Fit on about ``rows`` rows with a language for which ``usable`` holds, as many of each language as
-    there are up to an equal share, chosen by a hash of the key."""
+    there are up to an equal share, chosen by a hash of the key.
+
+    Rows with a null text or language are left out, and those without a letter teach nothing; rows with a null
+    key take part. Repeated rows count as often as they come. An empty table gives a model without labels.
+    """
     named = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[lang]: r["n"] for r in named.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
