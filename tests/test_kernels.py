@@ -88,6 +88,8 @@ def test_eikonal_sweeps_until_nothing_changes():
 def test_vincenty():
     assert kernels.vincenty(0, 0, 0, 1) == pytest.approx(111.319491, abs=1e-5)
     assert kernels.vincenty(10, 20, 10, 20) == 0
+    assert np.isnan(kernels.vincenty(0.0, 0.0, 0.5, 179.7))
+    assert kernels.vincenty(np.array([0.0, 10.0]), 0.0, 0.0, 1.0) == pytest.approx([111.319491, 1111.2], abs=5.0)
 
 
 def test_response_roundtrip():
@@ -118,3 +120,39 @@ def test_scalar_helpers():
     assert scalar.trim_to_sample(1.234567, 50) == 1.24
     assert scalar.glob_regex("*[N,E,1,2]") == "^.*[N,E,1,2]$"
     assert len(scalar.wood_anderson(convert="VEL2VEL")["zeros"]) == 2
+
+
+def test_filter_against_its_recurrence():
+    rng = np.random.default_rng(3)
+    sections = kernels.butterworth(3, 2.0, 9.0, 50.0)
+    x = rng.normal(size=(3, 333))
+    for steady in (False, True):
+        got = kernels.sos_filter(sections, x, steady)
+        for row, out in zip(x, got, strict=True):
+            y = row.tolist()
+            for b0, b1, b2, a0, a1, a2 in sections.tolist():
+                z1 = z2 = 0.0
+                if steady:
+                    level = (b0 + b1 + b2) / (a0 + a1 + a2)
+                    z2 = (b2 - a2 * level) / a0 * y[0]
+                    z1 = (b1 - a1 * level) / a0 * y[0] + z2
+                for i, v in enumerate(y):
+                    y[i] = b0 / a0 * v + z1
+                    z1, z2 = (b1 * v - a1 * y[i]) / a0 + z2, (b2 * v - a2 * y[i]) / a0
+            assert np.allclose(out, y, atol=1e-9)
+    assert kernels.sos_filter(sections, np.zeros(0)).shape == (0,)
+
+
+def test_shift_of_rows():
+    x = np.random.default_rng(4).normal(size=(2, 90))
+    got = kernels.lanczos_shift(x, np.array([0.3, -0.4]))
+    assert np.allclose(got[0], kernels.lanczos_shift(x[0], 0.3)) and np.allclose(got[1], kernels.lanczos_shift(x[1], -0.4))
+
+
+def test_refine():
+    assert np.allclose(kernels.refine(np.array([0.0, 3.0, 6.0]), 3), np.arange(7))
+    assert kernels.refine(np.array([2.0]), 3).tolist() == [2.0]
+
+
+def test_flat_map_has_no_gaussian():
+    assert kernels.gaussian_location(np.ones((9, 9, 9))) is None

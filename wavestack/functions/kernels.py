@@ -41,27 +41,67 @@ def butterworth(corners: int, low: float | None, high: float | None, rate: float
     return sections
 
 
+BLOCK = 64
+
+
+def _section(coefficients: np.ndarray, x: np.ndarray, steady: bool) -> np.ndarray:
+    """One second-order section along the last axis, ``BLOCK`` samples at a time.
+
+    The filter is linear in its two state values and its input, so what a block adds to its own output and to the
+    state are two matrix products for all blocks and rows at once; only the states go from block to block.
+    """
+    b0, b1, b2, a0, a1, a2 = (float(v) for v in coefficients)
+    b0, b1, b2, a1, a2 = b0 / a0, b1 / a0, b2 / a0, a1 / a0, a2 / a0
+    move, enter = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(BLOCK):
+        powers.append(move @ powers[-1])
+    reply = np.array([b0] + [(powers[k] @ enter)[0] for k in range(BLOCK - 1)])  # to a single sample
+    lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None, :]
+    own = np.where(lag >= 0, reply[np.maximum(lag, 0)], 0.0)
+    shown = np.array([powers[k][0] for k in range(BLOCK)])
+    kept = np.array([powers[BLOCK - 1 - k] @ enter for k in range(BLOCK)])
+    rows, n = x.shape
+    blocks = -(-n // BLOCK)
+    padded = np.zeros((rows, blocks * BLOCK))
+    padded[:, :n] = x
+    padded = padded.reshape(rows, blocks, BLOCK)
+    out, gain = padded @ own.T, padded @ kept
+    state = np.zeros((rows, 2))
+    if steady and n:
+        level = (b0 + b1 + b2) / (1 + a1 + a2)
+        state = np.stack([b1 - a1 * level + b2 - a2 * level, np.full((), b2 - a2 * level)]) * x[:, :1]
+    states = np.empty((rows, blocks, 2))
+    for k in range(blocks):
+        states[:, k] = state
+        state = state @ powers[BLOCK].T + gain[:, k]
+    return (out + states @ shown.T).reshape(rows, -1)[:, :n]
+
+
 def sos_filter(sections: np.ndarray, x: np.ndarray, steady: bool = False) -> np.ndarray:
-    """Cascade of second-order sections; ``steady`` starts as if the first value had always been there."""
-    y = np.asarray(x, float).copy()
-    for b0, b1, b2, a0, a1, a2 in sections:
-        b0, b1, b2, a1, a2 = b0 / a0, b1 / a0, b2 / a0, a1 / a0, a2 / a0
-        z1 = z2 = 0.0
-        if steady and len(y):
-            dc = (b0 + b1 + b2) / (1 + a1 + a2)
-            z2 = (b2 - a2 * dc) * y[0]
-            z1 = (b1 - a1 * dc) * y[0] + z2
-        for i, v in enumerate(y):
-            out = b0 * v + z1
-            z1 = b1 * v - a1 * out + z2
-            z2 = b2 * v - a2 * out
-            y[i] = out
-    return y
+    """Cascade of second-order sections along the last axis; ``steady`` starts as if the first value had always been there."""
+    x = np.asarray(x, float)
+    out = np.atleast_2d(x)
+    for coefficients in sections:
+        out = _section(coefficients, out, steady)
+    return out.reshape(x.shape)
 
 
 def zero_phase(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forward and backward."""
-    return sos_filter(sections, sos_filter(sections, x)[::-1])[::-1]
+    return sos_filter(sections, sos_filter(sections, x)[..., ::-1])[..., ::-1]
+
+
+def recursive_sta_lta(x: np.ndarray, nsta: int, nlta: int) -> np.ndarray:
+    """Ratio of exponential averages that start at the second sample; the first ``nlta`` values are 1."""
+    x = np.array(x, float)
+    if not x.shape[-1]:
+        return x
+    x[..., 0] = 0.0
+    sta, lta = (sos_filter(np.array([[1.0 / n, 0.0, 0.0, 1.0, 1.0 / n - 1, 0.0]]), x) for n in (nsta, nlta))
+    out = np.where(lta < 2.2e-308, 1.0, sta / np.where(lta < 2.2e-308, 1.0, lta))
+    out[..., :nlta] = 1.0
+    return out
 
 
 def section_gain(sections: np.ndarray, frequency: float, rate: float) -> float:
@@ -70,11 +110,15 @@ def section_gain(sections: np.ndarray, frequency: float, rate: float) -> float:
 
 
 def detrend(x: np.ndarray) -> np.ndarray:
-    """Less the least-squares line."""
-    if len(x) < 2:
-        return x - x.mean() if len(x) else x
-    t = np.arange(len(x)) - (len(x) - 1) / 2
-    return x - x.mean() - t * (t @ x) / (t @ t)
+    """Less the least-squares line, along the last axis."""
+    n = x.shape[-1]
+    if not n:
+        return x
+    level = x - x.mean(-1, keepdims=True)
+    if n < 2:
+        return level
+    t = np.arange(n) - (n - 1) / 2
+    return level - (x @ t)[..., None] * t / (t @ t)
 
 
 def cosine_taper(n: int, share: float = 0.05) -> np.ndarray:
@@ -87,21 +131,31 @@ def cosine_taper(n: int, share: float = 0.05) -> np.ndarray:
     return out
 
 
+def refine(x: np.ndarray, factor: int) -> np.ndarray:
+    """Linear interpolation at ``factor`` times the rate, from the first sample to the last."""
+    n = x.shape[-1]
+    at = np.arange(max(0, (n - 1) * factor + 1)) / factor
+    low = np.minimum(at.astype(int), max(0, n - 2))
+    return x if n < 2 else x[..., low] + (x[..., low + 1] - x[..., low]) * (at - low)
+
+
 def decimate(x: np.ndarray, rate: float, to: float) -> np.ndarray:
     """Anti-alias low-pass (two corners, zero phase) and every k-th sample."""
     k = int(round(rate / to))
-    y = detrend(x) * cosine_taper(len(x))
-    return zero_phase(butterworth(2, None, to / 2.000001, rate), y)[::k]
+    y = detrend(x) * cosine_taper(x.shape[-1])
+    return zero_phase(butterworth(2, None, to / 2.000001, rate), y)[..., ::k]
 
 
 def preprocess(x: np.ndarray, rate: float, band: tuple[float, float, int]) -> np.ndarray:
     """Detrend, taper and zero-phase band-pass."""
-    return zero_phase(butterworth(int(band[2]), band[0], band[1], rate), detrend(x) * cosine_taper(len(x)))
+    return zero_phase(butterworth(int(band[2]), band[0], band[1], rate), detrend(x) * cosine_taper(x.shape[-1]))
 
 
 def envelope(x: np.ndarray) -> np.ndarray:
-    """Modulus of the analytic signal."""
-    n = len(x)
+    """Modulus of the analytic signal, along the last axis."""
+    n = x.shape[-1]
+    if not n:
+        return x
     spectrum = np.fft.fft(x)
     h = np.zeros(n)
     h[0] = 1
@@ -111,36 +165,41 @@ def envelope(x: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.ifft(spectrum * h))
 
 
-def lanczos_shift(x: np.ndarray, shift: float, a: int = 20) -> np.ndarray:
-    """Samples at places i + shift by Lanczos interpolation."""
-    i = np.arange(len(x))
-    k = np.arange(-a + 1, a + 1)
-    d = shift - k
-    w = np.sinc(d) * np.sinc(d / a) * (np.abs(d) < a)
-    at = np.clip(i[:, None] + k[None, :], 0, len(x) - 1)
-    return (x[at] * w).sum(1)
+def lanczos_shift(x: np.ndarray, shift: float | np.ndarray, a: int = 20) -> np.ndarray:
+    """Samples at places i + shift by Lanczos interpolation along the last axis; one shift, or one for each row."""
+    n = x.shape[-1]
+    padded = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(a - 1, a)], mode="edge") if n else x
+    out = np.zeros_like(x)
+    for k in range(-a + 1, a + 1):
+        d = np.asarray(shift, float) - k
+        w = np.sinc(d) * np.sinc(d / a) * (np.abs(d) < a)
+        out = out + padded[..., k + a - 1 : k + a - 1 + n] * w[..., None]
+    return out
 
 
 def apply_response(x: np.ndarray, rate: float, remove: dict | None, simulate: dict | None, water_level: float = 60.0) -> np.ndarray:
     """Divide by one poles-and-zeros response (with a water level in dB) and multiply by another."""
-    n = 1 << int(np.ceil(np.log2(max(2, 2 * len(x)))))
+    size = x.shape[-1]
+    if not size:
+        return np.asarray(x, float)
+    n = 1 << int(np.ceil(np.log2(max(2, 2 * size))))
     s = 2j * np.pi * np.fft.rfftfreq(n, 1 / rate)
 
     def curve(r: dict) -> np.ndarray:
         top = np.prod([s - z for z in r["zeros"]], axis=0) if r["zeros"] else np.ones_like(s)
         return r.get("gain", 1.0) * r.get("sensitivity", 1.0) * top / np.prod([s - p for p in r["poles"]], axis=0)
 
-    spectrum = np.fft.rfft(detrend(np.asarray(x, float)) * cosine_taper(len(x)), n)
+    spectrum = np.fft.rfft(detrend(np.asarray(x, float)) * cosine_taper(size), n)
     if remove:
         h = curve(remove)
         least = np.abs(h).max() * 10 ** (-water_level / 20)
-        size = np.maximum(np.abs(h), 1e-300)
-        h = np.where(size < least, h / size * least, h)
+        length = np.maximum(np.abs(h), 1e-300)
+        h = np.where(length < least, h / length * least, h)
         spectrum = np.where(np.abs(h) > 0, spectrum / np.where(h == 0, 1, h), 0)
-        spectrum[0] = 0
+        spectrum[..., 0] = 0
     if simulate:
         spectrum = spectrum * curve(simulate)
-    return np.fft.irfft(spectrum, n)[: len(x)]
+    return np.fft.irfft(spectrum, n)[..., :size]
 
 
 # ---------------------------------------------------------------- picks and amplitudes
@@ -266,13 +325,18 @@ def smooth_3d(values: np.ndarray, sigma: float = 0.8) -> np.ndarray:
 def gaussian_location(values: np.ndarray, window: int = 7) -> tuple[np.ndarray, np.ndarray] | None:
     """(centre in nodes, widths in nodes along the principal axes) of a Gaussian fitted to -log of the map.
 
-    The map less its mean, in a window around its maximum, is fitted with a quadratic form by least squares.
+    The map less its mean, in a window around its maximum, is fitted with a quadratic form by least squares; nodes
+    that are not above the mean are left out. None if fewer nodes than terms are left.
     """
     at = np.array(np.unravel_index(np.nanargmax(values), values.shape))
     half = (window - 1) // 2
     box = tuple(slice(max(0, a - half), min(n, a + half + 1)) for a, n in zip(at, values.shape, strict=True))
     offset = np.stack(np.meshgrid(*[np.arange(s.start, s.stop) - a for s, a in zip(box, at, strict=True)], indexing="ij"), -1).reshape(-1, 3).astype(float)
-    level = -np.log(np.clip((values - np.nanmean(values))[box].ravel(), 1e-300, None))
+    above = (values - np.nanmean(values))[box].ravel()
+    offset, above = offset[above > 0], above[above > 0]
+    if len(above) < 10:
+        return None
+    level = -np.log(above)
     x, y, z = offset.T
     terms = np.stack([x * x, y * y, z * z, x * y, x * z, y * z, x, y, z, np.ones_like(x)], 1)
     c = np.linalg.lstsq(terms, level, rcond=None)[0]
@@ -333,31 +397,30 @@ def sweep_eikonal(speed: np.ndarray, spacing: tuple[float, float, float], source
     raise TravelTimeError(f"travel times still change after {rounds} rounds of sweeps")
 
 
-def vincenty(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-    """Distance in km on the WGS84 ellipsoid by Vincenty's inverse formula (null for near antipodes)."""
+def vincenty(lat1, lon1, lat2, lon2, rounds: int = 200) -> np.ndarray:
+    """Distance in km on the WGS84 ellipsoid by Vincenty's inverse formula, for arrays; nan for near antipodes."""
+    lat1, lon1, lat2, lon2 = (np.asarray(v, float) for v in np.broadcast_arrays(lat1, lon1, lat2, lon2))
     a, f = 6378.137, 1 / 298.257223563
     b = a * (1 - f)
     u1, u2 = np.arctan((1 - f) * np.tan(np.radians(lat1))), np.arctan((1 - f) * np.tan(np.radians(lat2)))
     span = np.radians(lon2 - lon1)
-    lam = span
-    for _ in range(200):
-        ss = np.hypot(np.cos(u2) * np.sin(lam), np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * np.cos(lam))
-        if ss == 0:
-            return 0.0
-        cs = np.sin(u1) * np.sin(u2) + np.cos(u1) * np.cos(u2) * np.cos(lam)
-        sigma = np.arctan2(ss, cs)
-        sa = np.cos(u1) * np.cos(u2) * np.sin(lam) / ss
-        ca2 = 1 - sa**2
-        c2m = cs - 2 * np.sin(u1) * np.sin(u2) / ca2 if ca2 else 0.0
-        c = f / 16 * ca2 * (4 + f * (4 - 3 * ca2))
-        new = span + (1 - c) * f * sa * (sigma + c * ss * (c2m + c * cs * (-1 + 2 * c2m**2)))
-        if abs(new - lam) < 1e-12:
-            break
-        lam = new
-    else:
-        return float("nan")
-    uu = ca2 * (a**2 - b**2) / b**2
-    big_a = 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu)))
-    big_b = uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu)))
-    d = big_b * ss * (c2m + big_b / 4 * (cs * (-1 + 2 * c2m**2) - big_b / 6 * c2m * (-3 + 4 * ss**2) * (-3 + 4 * c2m**2)))
-    return float(b * big_a * (sigma - d))
+    lam, settled = span.copy(), np.zeros(span.shape, bool)
+    with np.errstate(all="ignore"):
+        for _ in range(rounds):
+            ss = np.hypot(np.cos(u2) * np.sin(lam), np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * np.cos(lam))
+            cs = np.sin(u1) * np.sin(u2) + np.cos(u1) * np.cos(u2) * np.cos(lam)
+            sigma = np.arctan2(ss, cs)
+            sa = np.where(ss > 0, np.cos(u1) * np.cos(u2) * np.sin(lam) / np.where(ss > 0, ss, 1), 0.0)
+            ca2 = 1 - sa**2
+            c2m = np.where(ca2 > 0, cs - 2 * np.sin(u1) * np.sin(u2) / np.where(ca2 > 0, ca2, 1), 0.0)
+            c = f / 16 * ca2 * (4 + f * (4 - 3 * ca2))
+            new = span + (1 - c) * f * sa * (sigma + c * ss * (c2m + c * cs * (-1 + 2 * c2m**2)))
+            settled = np.abs(new - lam) < 1e-12
+            if settled.all():
+                break
+            lam = new
+        uu = ca2 * (a**2 - b**2) / b**2
+        big_a = 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu)))
+        big_b = uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu)))
+        d = big_b * ss * (c2m + big_b / 4 * (cs * (-1 + 2 * c2m**2) - big_b / 6 * c2m * (-3 + 4 * ss**2) * (-3 + 4 * c2m**2)))
+        return np.where(ss == 0, 0.0, np.where(settled, b * big_a * (sigma - d), np.nan))

@@ -40,8 +40,10 @@ def time_to_sample(time: Column, rate: Column | float) -> Column:
     return F.rint(time * F.floor(rate if isinstance(rate, Column) else F.lit(rate))).cast("long")
 
 
-def trim_to_sample(time: float, rate: int) -> float:
+def trim_to_sample(time: Column | float, rate: int) -> Column | float:
     """Seconds rounded up to a whole sample and down to a millisecond."""
+    if isinstance(time, Column):
+        return F.floor(F.ceil(time * rate) / rate * 1000) / 1000
     return int(math.ceil(time * rate) / rate * 1000) / 1000
 
 
@@ -97,6 +99,14 @@ def gaussian_1d(x: Column, height: Column | float, mean: Column | float, sigma:
     return lit(height) * F.exp(-F.pow(x - lit(mean), 2) / (2 * F.pow(lit(sigma), 2)))
 
 
+def gaussian_3d(at: list[Column], height: float, mean: tuple[float, ...], sigma: tuple[float, ...]) -> Column:
+    """A Gaussian along three axes without correlation."""
+    power = F.lit(0.0)
+    for x, m, s in zip(at, mean, sigma, strict=True):
+        power = power + F.pow(x - F.lit(m), 2) / (2 * s * s)
+    return height * F.exp(-power)
+
+
 def general(x: Column, digits: int) -> Column:
     """``%.{digits}g`` with trailing zeros dropped, as Python's ``format`` writes it."""
     if digits < 1:

@@ -11,5 +11,4 @@ from . import kernels
 @F.pandas_udf("double")
 def geodesic_km(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     """WGS84 distance in km; null near antipodes."""
-    out = [kernels.vincenty(*p) for p in zip(lat1, lon1, lat2, lon2, strict=True)]
-    return pd.Series(out, dtype="float64")
+    return pd.Series(kernels.vincenty(lat1.to_numpy(), lon1.to_numpy(), lat2.to_numpy(), lon2.to_numpy()), dtype="float64")

@@ -15,6 +15,10 @@ from ..errors import TravelTimeError
 from ..functions import kernels
 
 
+#: Most values of a speed grid that is broadcast (8 bytes each); a larger one is joined by shuffle.
+BROADCAST_NODES = 8_000_000
+
+
 def unravel(node: Column, grid: Grid) -> tuple[Column, Column, Column]:
     _, ny, nz = grid.counts
     return (F.floor(node / (ny * nz)).cast("int"), (F.floor(node / nz) % ny).cast("int"), (node % nz).cast("int"))
@@ -90,16 +94,21 @@ def bilinear(points: DataFrame, table: DataFrame, dx: float, dz: float) -> DataF
 def eikonal(speeds: DataFrame, stations: DataFrame, grid: Grid) -> DataFrame:
     """(station, phase, node, tt) by fast sweeping from each station's nearest node through (phase, node, speed).
 
-    One task a station and phase; the speed grid goes along as one array per phase.
+    One task a station and phase; the speed grid goes along as one array per phase, broadcast only up to
+    ``BROADCAST_NODES`` values. A station outside the grid is an error.
     """
+    outside = [r["station"] for r in stations.where(nearest_node(F.col("x"), F.col("y"), F.col("z"), grid).isNull()).select("station").limit(10).collect()]
+    if outside:
+        raise TravelTimeError(f"stations outside the grid: {', '.join(map(str, outside))}")
     packed = speeds.groupBy("phase").agg(F.array_sort(F.collect_list(F.struct("node", "speed"))).alias("g")).select("phase", F.transform("g", lambda x: x["speed"]).alias("speed"))
-    work = stations.select("station", nearest_node(F.col("x"), F.col("y"), F.col("z"), grid).alias("source")).join(F.broadcast(packed)).repartition("station", "phase")
+    work = stations.select("station", nearest_node(F.col("x"), F.col("y"), F.col("z"), grid).alias("source"))
+    phases = [r["phase"] for r in packed.select("phase").limit(100).collect()]
+    work = work.withColumn("phase", F.explode(F.array(*[F.lit(p) for p in phases])) if phases else F.lit(None).cast("string"))
+    work = work.join(F.broadcast(packed) if grid.nodes * len(phases) <= BROADCAST_NODES else packed, "phase").repartition("station", "phase")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                if row["source"] is None:
-                    continue
                 source = np.unravel_index(row["source"], grid.counts)
                 tt = kernels.sweep_eikonal(np.array(row["speed"]).reshape(grid.counts), grid.spacing, tuple(map(int, source))).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array([row["station"]] * len(tt)), pa.array([row["phase"]] * len(tt)), pa.array(np.arange(len(tt))), pa.array(tt)], names=["station", "phase", "node", "tt"])
@@ -180,3 +189,62 @@ def trilinear(points: DataFrame, table: DataFrame, grid: Grid, value: str = "tt"
     keys = [c for c in table.columns if c not in ("node", value)]
     wide = points.withColumn("c", F.explode(F.array(*corners))).select(*points.columns, "c.node", "c.w").where("w != 0")
     return wide.join(table, "node").groupBy(*points.columns, *keys).agg(F.sum(F.col("w") * F.col(value)).alias(value))
+
+
+def max_extent(sites: DataFrame, grid: Grid, margin: float = 0.05) -> DataFrame:
+    """One row (x_low, x_high, ...) that holds all stations and the cells of the grid, widened by ``margin`` on each side."""
+    out = sites.agg(*[f(c).alias(f"{c}_{n}") for c in "xyz" for f, n in ((F.min, "low"), (F.max, "high"))])
+    for c, o, s, n in zip("xyz", grid.origin, grid.spacing, grid.counts, strict=True):
+        low, high = F.least(f"{c}_low", F.lit(o - s / 2)), F.greatest(f"{c}_high", F.lit(o + s * (n - 0.5)))
+        out = out.withColumns({f"{c}_low": low - margin * (high - low), f"{c}_high": high + margin * (high - low)})
+    return out
+
+
+def travel_times(spark: SparkSession, grid: Grid, stations: DataFrame, method: str, phases: tuple[str, ...] = ("P", "S"), speeds: dict[str, float] | None = None, model: DataFrame | None = None) -> DataFrame:
+    """(station, phase, node, tt) by a named method.
+
+    ``homogeneous`` needs ``speeds`` (a speed for each phase); ``1dfmm`` a layered ``model`` (phase, depth, speed), whose
+    speeds are interpolated at the nodes' depths; ``1dsweep`` the same, worked out on a table of distance and depth for
+    each station depth and read off it. Other methods, and phases that the speeds lack, are errors.
+    """
+    grid_nodes = nodes(spark, grid)
+    if method == "homogeneous":
+        if not speeds or not set(phases) <= set(speeds):
+            raise TravelTimeError(f"no speed for {sorted(set(phases) - set(speeds or {}))}")
+        return homogeneous(grid_nodes, stations, {p: speeds[p] for p in phases})
+    if method not in ("1dfmm", "1dsweep"):
+        raise TravelTimeError(f"unknown travel-time method {method}")
+    have = {r["phase"] for r in model.select("phase").distinct().limit(100).collect()} if model is not None else set()
+    if not set(phases) <= have:
+        raise TravelTimeError(f"no velocity model for {sorted(set(phases) - have)}")
+    layered = model.where(F.col("phase").isin(list(phases)))
+    if method == "1dfmm":
+        return eikonal(layer_speed(grid_nodes, layered).select("phase", "node", "speed"), stations, grid)
+    return sweep_layers(spark, grid, stations, layered)
+
+
+def sweep_layers(spark: SparkSession, grid: Grid, stations: DataFrame, model: DataFrame) -> DataFrame:
+    """(station, phase, node, tt) from one table of travel times by distance and depth per station, for layered models.
+
+    The table is an eikonal solution on a vertical plane with the station at distance 0 (its rows start at the grid's
+    spacing and reach its far corner), and every node is read off it by bilinear interpolation.
+    """
+    step, dz = min(grid.spacing[0], grid.spacing[1]) / 2, grid.spacing[2] / 2
+    far = grid.far_corner
+    reach = stations.agg(F.min("z").alias("z"), *[F.greatest(F.max(F.abs(F.col(c) - o)), F.max(F.abs(F.col(c) - f))).alias(c) for c, o, f in zip("xy", grid.origin, far)]).first()
+    if reach["z"] is None:
+        raise TravelTimeError("no stations")
+    top = min(reach["z"], grid.origin[2])
+    plane = Grid((0.0, 0.0, top), (step, 1.0, dz), (int(np.hypot(reach["x"], reach["y"]) / step) + 2, 1, int((far[2] - top) / dz) + 2))
+    speeds = layer_speed(nodes(spark, plane), model).select("phase", "node", "speed")
+    sources = stations.select("station", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), "z")
+    tables = eikonal(speeds, sources, plane)
+    i, _, k = unravel(F.col("node"), plane)
+    tables = tables.select("station", "phase", i.cast("long").alias("ix"), k.cast("long").alias("iz"), "tt")
+    away = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
+    few = stations.select("station", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    points = nodes(spark, grid).join(F.broadcast(few) if few.limit(100_001).count() <= 100_000 else few).select("station", "node", away.alias("distance"), (F.col("z") - top).alias("depth"))
+    fx, fz = F.col("distance") / step, F.col("depth") / dz
+    corner = F.explode(F.array(*[F.struct((F.floor(fx) + a).cast("long").alias("ix"), (F.floor(fz) + b).cast("long").alias("iz"), ((fx - F.floor(fx) if a else 1 - fx + F.floor(fx)) * (fz - F.floor(fz) if b else 1 - fz + F.floor(fz))).alias("w")) for a in (0, 1) for b in (0, 1)]))
+    wide = points.withColumn("c", corner).select("station", "node", "c.ix", "c.iz", "c.w").where("w > 0")
+    return wide.join(tables, ["station", "ix", "iz"]).groupBy("station", "phase", "node").agg((F.sum(F.col("w") * F.col("tt")) / F.sum("w")).alias("tt"))

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import Magnitude
+from ..config import Amplitude, Magnitude
 from ..functions import kernels
 from ..functions.scalar import attenuation, hypocentral
+from .signal import detrend, map_traces
 
 
 def amplitude_windows(picks: DataFrame, marginal: float, fraction_tt: float, signal_window: float) -> DataFrame:
@@ -39,9 +40,19 @@ def windowed(samples: DataFrame, spans: DataFrame, keys: list[str], bucket: int,
 
 
 def noise_amplitude(samples: DataFrame, keys: list[str], measure: str = "RMS", value: str = "value") -> DataFrame:
-    """Noise in mm for samples in m; null for a flat window. ``ENV`` needs the trace's envelope as value."""
-    body = {"RMS": F.sqrt(F.avg(F.col(value) * F.col(value))), "STD": F.stddev_pop(value), "ENV": F.avg(value)}[measure]
-    return samples.groupBy(*keys).agg(F.when(F.max(value) > F.min(value), body * 1000).alias("noise_amp"))
+    """Noise in mm for samples (keys..., n, value) in m, each window less its least-squares line; null for a flat window.
+
+    RMS, STD (of the population) or ENV, the mean of the window's envelope.
+    """
+    flat = samples.groupBy(*keys).agg((F.max(value) == F.min(value)).alias("_flat"))
+    if measure == "ENV":
+        arrays = samples.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(value).alias("v")))), lambda x: x["v"]).alias("noise_amp"))
+        arrays = map_traces(arrays, lambda x: kernels.envelope(kernels.detrend(x)).mean(-1, keepdims=True), "noise_amp")
+        noise = arrays.withColumn("noise_amp", F.get("noise_amp", F.lit(0)) * 1000)
+    else:
+        body = {"RMS": F.sqrt(F.avg(F.col(value) * F.col(value))), "STD": F.stddev_pop(value)}[measure]
+        noise = detrend(samples, keys, value).groupBy(*keys).agg((body * 1000).alias("noise_amp"))
+    return noise.join(flat, keys).select(*keys, F.when(~F.col("_flat"), F.col("noise_amp")).alias("noise_amp"))
 
 
 def peak_to_trough(samples: DataFrame, keys: list[str], rate: float, value: str = "value") -> DataFrame:
@@ -187,3 +198,28 @@ def filter_gain(rows: DataFrame, rate: float, band: tuple[float | None, float |
     else:
         x = w / warp(high)
     return rows.withColumn(out, 1 / F.sqrt(1 + F.pow(x, F.lit(2 * corners))))
+
+
+def amplitude_band(config: Amplitude, rate: float) -> tuple[float | None, float | None, int] | None:
+    """The filter that amplitudes are measured on: the band-pass, or a high-pass where its upper corner is not below Nyquist."""
+    if config.bandpass:
+        low, high, corners = config.bandpass
+        return (low, high if high < rate / 2 else None, corners)
+    return (config.highpass[0], None, config.highpass[1]) if config.highpass else None
+
+
+def filter_traces(traces: DataFrame, rate: float, config: Amplitude, samples: str = "samples") -> DataFrame:
+    """Detrended, tapered and causally filtered traces, or the traces as they are without a filter."""
+    band = amplitude_band(config, rate)
+    if band is None:
+        return traces
+    low, high, corners = band
+    sections = kernels.butterworth(corners, low, high, rate)
+    return map_traces(traces, lambda x: kernels.sos_filter(sections, kernels.detrend(x) * kernels.cosine_taper(x.shape[-1])), samples)
+
+
+def highest(rows: DataFrame, event: str = "event_id", ident: str = "id") -> DataFrame:
+    """(event, station, id, amp): the channel of largest amplitude of each station, the first by name on ties."""
+    best = F.min(F.struct((-F.col("amp")).alias("v"), F.col(ident).alias("id"), "amp"))
+    out = rows.withColumn("station", F.split(F.col(ident), r"\.")[1]).groupBy(event, "station").agg(best.alias("b"))
+    return out.select(event, "station", "b.id", "b.amp")

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import kernels
+from .signal import map_traces
+
 TINY = 2.2e-308
 
 
@@ -46,19 +49,9 @@ def centred(df: DataFrame, nsta: int, nlta: int, keys: list[str], value: str = "
 def recursive(traces: DataFrame, nsta: int, nlta: int, samples: str = "samples", out: str = "onset") -> DataFrame:
     """Exponential averages over an array column, starting at the second sample; the first ``nlta`` values are 1.
 
-    One fold per trace, JVM-side: the state is both averages and the values so far.
+    An Arrow kernel on whole batches: its cost is in proportion to the samples.
     """
-    a, b = 1.0 / nsta, 1.0 / nlta
-
-    def step(acc: Column, x: Column) -> Column:
-        sta, lta = a * x + (1 - a) * acc["sta"], b * x + (1 - b) * acc["lta"]
-        value = F.when(F.size(acc["out"]) < nlta, F.lit(1.0)).otherwise(_ratio(sta, lta))
-        return F.struct(sta.alias("sta"), lta.alias("lta"), F.concat(acc["out"], F.array(value)).alias("out"))
-
-    start = F.struct(F.lit(0.0).alias("sta"), F.lit(0.0).alias("lta"), F.array(F.lit(1.0)).alias("out"))
-    rest = F.slice(samples, 2, F.greatest(F.size(samples) - 1, F.lit(0)))
-    folded = F.aggregate(F.transform(rest, lambda x: x.cast("double")), start, step, lambda acc: acc["out"])
-    return traces.withColumn(out, F.when(F.size(samples) > 0, folded).otherwise(F.array().cast("array<double>")))
+    return map_traces(traces.withColumn(out, F.col(samples)), lambda x: kernels.recursive_sta_lta(x, nsta, nlta), out)
 
 
 def combine(df: DataFrame, keys: list[str], onset: str = "onset", floor: float = 0.4) -> DataFrame:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def channel_flags(samples: DataFrame, keys: list[str], expected: int | None = None, allow_gaps: bool = False, value: str = "value") -> DataFrame:
+def channel_flags(samples: DataFrame, keys: list[str], expected: int | None = None, allow_gaps: bool = False, value: str = "value", rate: float | None = None) -> DataFrame:
     """Per channel: n_samples, flat, n_gaps, n_overlaps and usable.
 
     ``samples`` is (keys..., n, value); a repeated n is an overlap, a skipped one a gap. ``expected`` is the
-    number of samples of the full span, if it must be covered.
+    number of samples of the full span, if it must be covered; with ``rate`` a channel must have that rate
+    throughout (column ``rate``).
     """
     step = F.col("n") - F.lag("n").over(Window.partitionBy(*keys).orderBy("n"))
     rows = samples.withColumn("_step", step)
@@ -24,6 +25,9 @@ def channel_flags(samples: DataFrame, keys: list[str], expected: int | None = No
         good = good & (F.col("n_gaps") == 0)
     if expected is not None:
         good = good & (F.col("n_samples") >= expected)
+    if rate is not None:
+        right = samples.groupBy(*keys).agg(F.bool_and(F.col("rate") == rate).alias("rate_ok"))
+        out, good = out.join(right, keys), good & F.coalesce(F.col("rate_ok"), F.lit(False))
     return out.withColumn("usable", good)
 
 

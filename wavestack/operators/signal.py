@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,12 +36,22 @@ def taper(df: DataFrame, keys: list[str], value: str = "value", share: float = 0
     return df.withColumn(value, F.when((edge > 1) & (near < edge), ramp * F.col(value)).otherwise(F.col(value)))
 
 
-def upsample(df: DataFrame, factor: int, keys: list[str], value: str = "value") -> DataFrame:
-    """Linear interpolation at ``factor`` times the rate; the last sample has no successor and stands alone."""
-    after = F.lead(value).over(Window.partitionBy(*keys).orderBy("n"))
-    wide = df.withColumn("_next", after).withColumn("_k", F.explode(F.when(F.col("_next").isNotNull(), F.sequence(F.lit(0), F.lit(factor - 1))).otherwise(F.array(F.lit(0)))))
-    between = F.col(value) + (F.coalesce("_next", value) - F.col(value)) * F.col("_k") / factor
-    return wide.withColumn(value, between).withColumn("n", F.col("n") * factor + F.col("_k")).drop("_next", "_k")
+def upsample(df: DataFrame, factor: int, keys: list[str], value: str = "value", pad: tuple[int, int] = (0, 0)) -> DataFrame:
+    """Linear interpolation at ``factor`` times the rate; the last sample has no successor and stands alone.
+
+    ``pad`` repeats the first and the last value by so many new samples, fewer than ``factor`` each, so that a
+    trace whose ends lie within a sample of a span's covers it.
+    """
+    if not all(0 <= p < factor for p in pad):
+        raise ConfigError("ends are padded by less than one sample")
+    w = Window.partitionBy(*keys).orderBy("n")
+    first, after = F.lag(value).over(w).isNull(), F.lead(value).over(w)
+    steps = F.when(F.col("_next").isNotNull(), F.sequence(F.lit(0), F.lit(factor - 1))).otherwise(F.sequence(F.lit(0), F.lit(pad[1])))
+    if pad[0]:
+        steps = F.concat(F.when(F.col("_first"), F.sequence(F.lit(-pad[0]), F.lit(-1))).otherwise(F.array().cast("array<int>")), steps)
+    wide = df.withColumn("_next", after).withColumn("_first", first).withColumn("_k", F.explode(steps))
+    between = F.col(value) + F.when(F.col("_k") > 0, F.coalesce("_next", value) - F.col(value)).otherwise(F.lit(0.0)) * F.col("_k") / factor
+    return wide.withColumn(value, between).withColumn("n", F.col("n") * factor + F.col("_k")).drop("_next", "_first", "_k")
 
 
 def spread(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -52,15 +64,33 @@ def fill_gaps(df: DataFrame, spine: DataFrame, keys: list[str], value: str = "va
     return spine.join(df, [*keys, "n"], "left").withColumn(value, F.coalesce(F.col(value), F.lit(filler)))
 
 
+def _on_rows(column: pa.Array, function: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.Array:
+    """``function(matrix, rows)`` on the arrays of a list column, those of one length at a time as the rows of a matrix."""
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    size = np.where(valid, column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    first = np.cumsum(size) - size
+    done, length = [], np.zeros(len(column), np.int64)
+    for n in np.unique(size[valid]):
+        rows = np.flatnonzero(valid & (size == n))
+        out = np.asarray(function(values[first[rows][:, None] + np.arange(n)], rows), dtype=float)
+        length[rows] = out.shape[1]
+        done.append((rows, out))
+    start = np.concatenate([[0], np.cumsum(length)])
+    flat = np.empty(start[-1])
+    for rows, out in done:
+        flat[start[rows][:, None] + np.arange(out.shape[1])] = out
+    return pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(flat), mask=pa.array(~valid))
+
+
 def map_traces(traces: DataFrame, function: Callable[[np.ndarray], np.ndarray], samples: str = "samples") -> DataFrame:
-    """``function`` on the array of every row, in Arrow batches; other columns pass. Null arrays stay null."""
+    """``function`` along the last axis of matrices of equally long arrays, in Arrow batches; other columns pass. Null arrays stay null."""
     at = traces.columns.index(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [None if not x.is_valid else np.asarray(function(np.array(x.as_py(), dtype=float)), dtype=float).tolist() for x in batch.column(at)]
             columns = list(batch.columns)
-            columns[at] = pa.array(done, pa.list_(pa.float64()))
+            columns[at] = _on_rows(columns[at], lambda x, rows: function(x))
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     typed = traces.withColumn(samples, F.col(samples).cast("array<double>"))
@@ -79,7 +109,10 @@ def envelope(traces: DataFrame, squared: bool = False, samples: str = "samples")
 
 
 def resample(traces: DataFrame, rate: float, to: float, upfactor: int | None = None, samples: str = "samples") -> DataFrame:
-    """Decimate where the rate divides; else raise it by ``upfactor`` first; else leave the trace as it is."""
+    """Decimate where the rate divides; else raise it by ``upfactor`` first; else log it and leave the trace as it is.
+
+    A trace left as it is fails the check of rates (``quality.channel_flags``).
+    """
     if rate == to:
         return traces
     if rate % to == 0:
@@ -89,10 +122,10 @@ def resample(traces: DataFrame, rate: float, to: float, upfactor: int | None = N
             raise ConfigError(f"{rate} x {upfactor} is not a multiple of {to}")
 
         def both(x: np.ndarray) -> np.ndarray:
-            fine = np.interp(np.arange((len(x) - 1) * upfactor + 1) / upfactor, np.arange(len(x)), x) if len(x) else x
-            return kernels.decimate(fine, rate * upfactor, to)
+            return kernels.decimate(kernels.refine(x, upfactor), rate * upfactor, to)
 
         return map_traces(traces, both, samples)
+    logging.getLogger(__name__).warning("cannot resample from %s to %s without an upfactor", rate, to)
     return traces
 
 
@@ -103,14 +136,15 @@ def shift_to_sample(df: DataFrame, rate: float, time_us: str = "t_us") -> DataFr
 
 
 def shift_lanczos(traces: DataFrame, shift: str, samples: str = "samples", a: int = 20) -> DataFrame:
-    """Traces moved onto whole samples: ``shift`` is the column with the part of a sample to move by."""
+    """Traces moved onto whole samples: ``shift`` is the column with the part of a sample to move by; null gives null."""
     at, by = traces.columns.index(samples), traces.columns.index(shift)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            moved = [kernels.lanczos_shift(np.array(x.as_py(), dtype=float), float(s.as_py()), a).tolist() if x.is_valid and s.is_valid else None for x, s in zip(batch.column(at), batch.column(by), strict=True)]
             columns = list(batch.columns)
-            columns[at] = pa.array(moved, pa.list_(pa.float64()))
+            moves = columns[by].cast(pa.float64()).to_numpy(zero_copy_only=False)
+            moved = _on_rows(columns[at], lambda x, rows: kernels.lanczos_shift(x, moves[rows], a))  # noqa: B023
+            columns[at] = pc.if_else(columns[by].is_valid(), moved, pa.scalar(None, moved.type))
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     typed = traces.withColumn(samples, F.col(samples).cast("array<double>"))

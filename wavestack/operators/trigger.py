@@ -33,19 +33,28 @@ def threshold(scan: DataFrame, config: Trigger, rate: float, batch: str = "batch
 
 
 def smooth(scan: DataFrame, sigma: float, columns: list[str], batch: str = "batch", truncate: float = 4.0) -> DataFrame:
-    """Gaussian smoothing (``sigma`` in samples) with mirrored ends.
+    """Gaussian smoothing (``sigma`` in samples) with mirrored ends; ``n`` counts the samples of a batch from 0.
 
-    Every sample is sent to the 2r + 1 places it weighs on, mirrored at either end, and summed there.
+    A frame of 2r + 1 rows is weighted at each sample, so every sample is read once; only the samples next to the ends
+    are repeated, as their own mirror images beyond them.
     """
     radius = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    kernel = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v / sum(raw)).alias("w")) for k, v in zip(range(-radius, radius + 1), raw, strict=True)])
+    weights = F.array(*[F.lit(v / sum(raw)) for v in raw])
     total = F.count(F.lit(1)).over(Window.partitionBy(batch))
-    wide = scan.select(batch, "n", *columns, total.alias("_total")).withColumn("_e", F.explode(kernel))
-    folded = F.pmod(F.col("n") + F.col("_e.k"), 2 * F.col("_total"))
-    source = F.when(folded < F.col("_total"), folded).otherwise(2 * F.col("_total") - 1 - folded)
-    need = wide.select(batch, F.col("n").alias("_at"), source.alias("n"), F.col("_e.w").alias("_w"))
-    out = need.join(scan.select(batch, "n", *columns), [batch, "n"]).groupBy(batch, F.col("_at").alias("n")).agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in columns])
+    rows = scan.select(batch, F.col("n").cast("long").alias("n"), F.struct(*columns).alias("_v"), total.alias("_total"))
+
+    def source(place: Column) -> Column:
+        folded = F.pmod(place, 2 * F.col("_total"))
+        return F.when(folded < F.col("_total"), folded).otherwise(2 * F.col("_total") - 1 - folded)
+
+    beyond = F.concat(F.sequence(F.lit(-radius).cast("long"), F.lit(-1).cast("long")), F.sequence(F.col("_total"), F.col("_total") + radius - 1))
+    edge = rows.where((F.col("n") < radius) | (F.col("n") >= F.col("_total") - radius)) if radius else rows.limit(0)
+    images = edge.withColumn("_at", F.explode(F.filter(beyond, lambda p: source(p) == F.col("n")))).select(batch, F.col("_at").alias("n"), "_v", "_total")
+    frame = Window.partitionBy(batch).orderBy("n").rowsBetween(-radius, radius)
+    wide = rows.union(images).withColumn("_near", F.collect_list("_v").over(frame)).where((F.col("n") >= 0) & (F.col("n") < F.col("_total")))
+    weighted = lambda c: F.aggregate(F.zip_with(F.transform("_near", lambda v: v[c]), weights, lambda v, w: v * w), F.lit(0.0), lambda a, x: a + x)
+    out = wide.select(batch, "n", *[weighted(c).alias(c) for c in columns])
     return scan.drop(*columns).join(out, [batch, "n"])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,26 +43,12 @@ def candidates(stream: DataFrame, config: Trigger, rate: float, late: str = "10
     threshold = float(config.threshold)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done: list[tuple] = []
         now = state.get if state.exists else None
         if state.hasTimedOut:
-            if now:
-                done.append((key[0], *now))
+            done = [(key[0], *now)] if now else []
             state.remove()
         else:
-            for pdf in batches:
-                for r in pdf.sort_values("t_us").itertuples():
-                    value = r.coa if config.on == "coa" else r.coa_n
-                    if now and (value < threshold or r.t_us - now[1] > step):
-                        done.append((key[0], *now))
-                        now = None
-                    if value >= threshold:
-                        if now is None:
-                            now = (r.t_us, r.t_us, r.t_us, value, r.x, r.y, r.z, r.coa, r.coa_n)
-                        elif r.coa > now[7]:
-                            now = (now[0], r.t_us, r.t_us, value, r.x, r.y, r.z, r.coa, r.coa_n)
-                        else:
-                            now = (now[0], r.t_us, *now[2:])
+            done, now = _runs(key[0], pd.concat(list(batches)).sort_values("t_us", kind="stable"), now)
             if now:
                 state.update(tuple(float(v) if i > 2 else int(v) for i, v in enumerate(now)))
                 state.setTimeoutTimestamp(max(int(now[1] / 1000) + 1, state.getCurrentWatermarkMs() + 1))
@@ -69,5 +56,36 @@ def candidates(stream: DataFrame, config: Trigger, rate: float, late: str = "10
                 state.remove()
         yield pd.DataFrame(done, columns=[f.split()[0] for f in _CANDIDATE.split(", ")])
 
+    def _runs(name: str, rows: pd.DataFrame, now: tuple | None) -> tuple[list[tuple], tuple | None]:
+        """The runs that close within the rows, and the one still open, if any; ``now`` is the one open so far."""
+        t, value = rows["t_us"].to_numpy(), rows[config.on].to_numpy()
+        columns = [t, value, *(rows[c].to_numpy() for c in ("x", "y", "z", "coa", "coa_n"))]
+        over = value >= threshold
+        if not len(t):
+            return [], now
+        gap = np.diff(t, prepend=now[1] if now else t[0]) > step
+        new = over & (np.concatenate([[now is None], ~over[:-1]]) | gap)
+        places = np.flatnonzero(over)
+        # rows over the threshold by the run they belong to; number 0 goes on with the open one
+        number = np.cumsum(new)[places]
+        done: list[tuple] = []
+        if now is not None and (not over[0] or gap[0]):
+            done.append((name, *now))
+            now = None
+        for k in np.unique(number):
+            own = places[number == k]
+            best = own[columns[5][own].argmax()]
+            peak = tuple(c[best] for c in columns)
+            if k == 0 and now is not None:
+                now = (now[0], t[own[-1]], *(peak if peak[5] > now[7] else now[2:]))
+            else:
+                if now is not None:
+                    done.append((name, *now))
+                now = (t[own[0]], t[own[-1]], *peak)
+        if now is not None and not over[-1]:
+            done.append((name, *now))
+            now = None
+        return done, now
+
     slim = stream.withWatermark(time, late).withColumn("t_us", F.unix_micros(F.col(time)))
     return slim.groupBy("network").applyInPandasWithState(run, _CANDIDATE, _OPEN, "append", GroupStateTimeout.EventTimeTimeout)
