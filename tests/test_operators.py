@@ -139,6 +139,7 @@ def test_builtin_onset_is_a_plugin(spark):
 
     method = plugins.StaLta(Onset(rate=50))
     plugins.checked(method, plugins.OnsetMethod)
+    plugins.checked(plugins.GaussianPicker(), plugins.PickMethod)
     with pytest.raises(ConfigError):
         plugins.checked(object(), plugins.PickMethod)
     rows = spark.createDataFrame([("A", "HHZ", n, float(n % 5)) for n in range(80)] + [("A", "HHN", n, 1.0) for n in range(80)], "station string, channel string, n int, value double")
@@ -153,3 +154,120 @@ def test_gain_matches_the_filter(spark):
     rows = spark.createDataFrame([(f,) for f in (1.0, 2.0, 5.0, 20.0)], "freq double")
     for r in magnitude.filter_gain(rows, 100.0, (2.0, 12.0, 3)).collect():
         assert r.filter_gain == pytest.approx(kernels.section_gain(sections, r.freq, 100.0), abs=1e-9)
+
+
+@pytest.mark.parametrize(("position", "transform"), [("recursive", "energy"), ("recursive", "abs"), ("classic", "env"), ("centred", "env_squared"), ("recursive", "env")])
+def test_onset_methods_on_whole_traces(spark, position, transform):
+    """Every position and transform against the same steps in plain numbers."""
+    import numpy as np
+
+    from wavestack.config import Onset
+    from wavestack.functions import kernels
+    from wavestack.plans import plugins
+
+    x = np.sin(np.arange(90) / 3) + np.arange(90) % 4
+    rows = spark.createDataFrame([("A", "HHZ", n + 5, float(v)) for n, v in enumerate(x)], "station string, channel string, n int, value double")
+    config = Onset(rate=50, position=position, transform=transform)
+    got = {r.n: r.onset for r in plugins.StaLta(config).onsets(rows, "P").collect()}
+    y = {"energy": x * x, "abs": np.abs(x), "env": kernels.envelope(x), "env_squared": kernels.envelope(x) ** 2}[transform]
+    sta, lta = config.samples("P")
+    if position == "recursive":
+        want = kernels.recursive_sta_lta(y, sta, lta)
+    else:
+        mean = lambda a, b: y[a:b].mean()
+        want = np.ones(90)
+        for i in range(lta - 1, 90):
+            if position == "classic" or i + sta < 90:
+                short = mean(i - sta + 1, i + 1) if position == "classic" else mean(i + 1, i + 1 + sta)
+                want[i] = short / mean(i - lta + 1, i + 1)
+    assert [got[n + 5] for n in range(90)] == pytest.approx(np.maximum(np.abs(want), 0.4).tolist(), rel=1e-6)
+
+
+def test_blocks_keep_sample_numbers(spark):
+    """A missing sample spoils the cells that need it and moves none; an offset start is no shift."""
+    onsets = [(0, s, "P", n, 1.0 + (n * 3 + i) % 7) for i, s in enumerate("AB") for n in range(4, 40) if (s, n) != ("B", 20)]
+    rows = spark.createDataFrame(onsets, "chunk int, station string, phase string, n int, onset double")
+    table = spark.createDataFrame([(s, "P", v, (v + i) % 5) for i, s in enumerate("AB") for v in range(9)], "station string, phase string, node long, tt_n int")
+    plain = {r.t: (r.node, round(r.max_coa, 9), round(r.max_coa_n, 9)) for r in migrate.find_max(migrate.stack(rows.drop("chunk"), table, 4, 30, available=2)).collect()}
+    for block, width in ((4, 7), (100, 1000)):
+        got = {r.t: (r.node, round(r.max_coa, 9), round(r.max_coa_n, 9)) for r in migrate.detect_blocks(rows, table, 4, 30, block=block, width=width).collect()}
+        assert got == plain
+    sums = {r.node: r.s for r in migrate.marginal_blocks(rows, table, spark.createDataFrame([(0, 6, 19)], "chunk int, first int, last int"), block=4, width=5).collect()}
+    cells = migrate.stack(rows.drop("chunk"), table, 6, 19, available=2).groupBy("node").agg(F.sum("coa").alias("s")).collect()
+    assert sums == pytest.approx({r.node: r.s for r in cells})
+
+
+def test_detect_without_data_is_zero(spark):
+    from wavestack.errors import DataAvailability
+    from wavestack.plans import detect, stage_queries
+
+    g = Grid((0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (2, 2, 1))
+    traces = spark.createDataFrame([("A", "HHZ", n, 1.0) for n in range(60)], "station string, channel string, n int, value double")
+    table = spark.createDataFrame([("A", "P", v, 1.0) for v in range(4)], "station string, phase string, node long, tt double")
+    series, availability = detect.detect_chunks(traces, table, stage_queries.METHOD, grid.nodes(spark, g), 1, 10, 3, 5, 5)
+    rows = series.collect()
+    assert len(rows) == 30 and {(r.max_coa, r.max_coa_n, r.x) for r in rows} == {(0.0, 0.0, 0.0)}
+    with pytest.raises(DataAvailability):
+        detect.require_onsets(availability)
+
+
+def test_station_outside_the_grid(spark):
+    g = Grid((0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (3, 3, 3))
+    sites = spark.createDataFrame([("IN", 1.0, 1.0, 1.0), ("OUT", 9.0, 1.0, 1.0)], "station string, x double, y double, z double")
+    with pytest.raises(TravelTimeError, match="OUT"):
+        grid.eikonal(grid.nodes(spark, g).select(F.lit("P").alias("phase"), "node", F.lit(2.0).alias("speed")), sites, g)
+
+
+def test_travel_time_methods(spark):
+    """A layered model of one speed gives straight rays, by either way of sweeping; unknown methods are errors."""
+    g = Grid((0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (5, 4, 4))
+    sites = spark.createDataFrame([("A", 1.0, 2.0, 0.0)], "station string, x double, y double, z double")
+    model = spark.createDataFrame([("P", 0.0, 2.0), ("P", 9.0, 2.0)], "phase string, depth double, speed double")
+    straight = {r.node: r.tt for r in grid.travel_times(spark, g, sites, "homogeneous", ("P",), {"P": 2.0}).collect()}
+    for method, off in (("1dfmm", 0.45), ("1dsweep", 0.35)):
+        got = {r.node: r.tt for r in grid.travel_times(spark, g, sites, method, ("P",), model=model).collect()}
+        assert set(got) == set(straight) and all(0 <= got[n] - straight[n] + 1e-6 <= off for n in got), method
+    for method, kwargs in (("3dfmm", {}), ("homogeneous", {"speeds": {"S": 1.0}}), ("1dfmm", {})):
+        with pytest.raises(TravelTimeError):
+            grid.travel_times(spark, g, sites, method, ("P",), **kwargs)
+
+
+def test_travel_time_files(spark, tmp_path):
+    import numpy as np
+
+    tt = np.arange(12, dtype="<f4") / 7
+    (tmp_path / "m.P.STA.time.hdr").write_text("2 3 2  -1.5 0.0 -0.5  0.5 0.5 1.0 TIME FLOAT\nSTA 1.0 2.0 0.0\nTRANSFORM  LAMBERT RefEllipsoid WGS-84  LatOrig 64.0  LongOrig -17.0  FirstStdParal 63.0  SecondStdParal 65.0  RotCW 0.0\n")
+    (tmp_path / "m.P.STA.time.buf").write_bytes(tt.tobytes())
+    got = sorted((r.station, r.phase, r.node, r.tt) for r in readers.read_travel_grids(spark, str(tmp_path)).collect())
+    assert [r[2] for r in got] == list(range(12)) and [r[3] for r in got] == pytest.approx(tt.tolist()) and got[0][:2] == ("STA", "P")
+    head = readers.read_travel_headers(spark, str(tmp_path)).first()
+    assert (head.counts, head.origin, head.spacing, head.projection) == ([2, 3, 2], [-1.5, 0.0, -0.5], [0.5, 0.5, 1.0], "LAMBERT")
+    assert head.settings == {"LatOrig": 64.0, "LongOrig": -17.0, "FirstStdParal": 63.0, "SecondStdParal": 65.0, "RotCW": 0.0}
+
+
+def test_lines_are_sorted(spark, tmp_path):
+    lines = spark.range(500).select(F.concat(F.lit("S"), (F.col("id") * 7919 % 500).cast("string")).alias("line")).repartition(6)
+    export.write_lines(lines, str(tmp_path / "l"))
+    got = [x for f in sorted((tmp_path / "l").glob("part-*")) for x in f.read_text().splitlines()]
+    assert got == sorted(got) and len(got) == 500
+
+
+def test_responses(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"id": "XX.A..HHZ", "start_us": 0, "end_us": 9, "poles": [{"re": -4.4, "im": 4.4}], "zeros": [], "gain": 2.0, "sensitivity": 1500.0}\n')
+    got = readers.read_responses(spark, str(tmp_path / "r.json")).first()
+    assert got.id == "XX.A..HHZ" and got.poles[0].im == 4.4 and got.zeros == [] and got.sensitivity == 1500.0
+
+
+def test_amplitude_filter_falls_back(spark):
+    from wavestack.config import Amplitude
+
+    config = Amplitude(bandpass=(2.0, 20.0, 3))
+    assert magnitude.amplitude_band(config, 100.0) == (2.0, 20.0, 3) and magnitude.amplitude_band(config, 30.0) == (2.0, None, 3)
+    assert magnitude.amplitude_band(Amplitude(highpass=(1.0, 2)), 30.0) == (1.0, None, 2) and magnitude.amplitude_band(Amplitude(), 30.0) is None
+
+
+def test_unresampled_rate_is_kept(spark, caplog):
+    from wavestack.operators import signal
+
+    rows = spark.createDataFrame([([1.0, 2.0, 3.0],)], "samples array<double>")
+    assert signal.resample(rows, 40.0, 50.0).collect() == rows.collect() and "cannot resample" in caplog.text

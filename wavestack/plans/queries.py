@@ -15,7 +15,7 @@ from ..config import Amplitude, Magnitude, Picker, Trigger
 from ..functions import scalar
 from ..operators import grid, locate, magnitude, migrate, onset, picks, quality, signal
 from ..operators import trigger as trig
-from ..sources import export, synthetic, writers
+from ..sources import export, readers, synthetic, writers
 from . import detect, views
 from . import locate as locate_plan
 from . import trigger as trigger_plan
@@ -152,7 +152,7 @@ def _(spark, sf):
 
 @query("time_to_sample", "SELECT batch, n, CAST(round_even(z * 50, 0) AS BIGINT) AS sample, floor(ceil(z * 50) / 50 * 1000) / 1000 AS trimmed FROM scan", (views.SCAN,), ("trimmed",))
 def _(spark, sf):
-    return views.scan(spark, sf).select("batch", "n", scalar.time_to_sample(F.col("z"), 50).alias("sample"), (F.floor(F.ceil(F.col("z") * 50) / 50 * 1000) / 1000).alias("trimmed"))
+    return views.scan(spark, sf).select("batch", "n", scalar.time_to_sample(F.col("z"), 50).alias("sample"), scalar.trim_to_sample(F.col("z"), 50).alias("trimmed"))
 
 
 # ---------------------------------------------------------------- quality
@@ -221,7 +221,8 @@ def _(spark, sf):
 
 @query("time_window", "SELECT batch, n, coa FROM scan WHERE batch BETWEEN DATE '2024-01-05' AND DATE '2024-01-07'", (views.SCAN,), ("coa",))
 def _(spark, sf):
-    return views.scan(spark, sf).where(F.col("batch").between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-07").cast("date"))).select("batch", "n", "coa")
+    day = 86_400_000_000
+    return readers.within(views.scan(spark, sf), 19727 * day, 19730 * day - 1, "batch").select("batch", "n", "coa")
 
 
 # ---------------------------------------------------------------- grids and travel times
@@ -296,7 +297,7 @@ MAXIMA = """rc AS (SELECT node, t, round(coa, 9) AS coa FROM cells), m AS (SELEC
 
 @query("detect_max_coalescence", "SELECT m.t, max_coa, max_coa_n, min(node) AS node FROM m JOIN rc ON m.t = rc.t AND rc.coa = m.max_coa GROUP BY m.t, max_coa, max_coa_n", (*STACK, MAXIMA), ("max_coa", "max_coa_n"))
 def detect_max_coalescence(spark, sf):
-    return migrate.find_max(_cells(spark, sf).withColumn("coa", F.round("coa", 9)))
+    return detect.detect(views.traces(spark, sf), views.travel_times(spark, sf), 1, NSTA, NLTA, *SPAN, digits=9)
 
 
 @query("first_argmax", "SELECT m.t, min(node) AS node FROM m JOIN rc ON m.t = rc.t AND rc.coa = m.max_coa GROUP BY m.t", (*STACK, MAXIMA))
@@ -309,11 +310,11 @@ def _(spark, sf):
     return migrate.find_max(_cells(spark, sf)).select("t", "max_coa_n")
 
 
-@query("migrate_block", "SELECT m.t, max_coa, max_coa_n FROM m", (*STACK, MAXIMA), ("max_coa", "max_coa_n"))
+@query("migrate_block", "SELECT m.t, max_coa, max_coa_n, min(node) AS node FROM m JOIN rc ON m.t = rc.t AND rc.coa = m.max_coa GROUP BY m.t, max_coa, max_coa_n", (*STACK, MAXIMA), ("max_coa", "max_coa_n"))
 def _(spark, sf):
     table = grid.travel_samples(views.travel_times(spark, sf).where("phase = 'P'"), 1)
     onsets = _onsets(spark, sf).withColumn("chunk", F.lit(0))
-    return migrate.detect_blocks(onsets, table, *SPAN, views.GRID.nodes, block=16).select("t", "max_coa", "max_coa_n")
+    return migrate.detect_blocks(onsets, table, *SPAN, block=16, width=20, digits=9).drop("chunk")
 
 
 @query("scan_fixed_point", "SELECT batch, n, CAST(round_even(least(coa, 21474) * 1e5, 0) AS INT) AS coa_i, CAST(round_even(least(coa_n, 21474) * 1e5, 0) AS INT) AS coa_n_i FROM scan", (views.SCAN,))
@@ -535,7 +536,8 @@ def _(spark, sf):
     return magnitude.amplitude_windows(wide, 2.0, 0.1, AMP.signal_window).select("station", "p_start", "p_end", "s_start", "s_end", "order_ok")
 
 
-@query("amp_noise", "SELECT station, channel, CASE WHEN max(value) > min(value) THEN sqrt(avg(value * value)) * 1000 END AS noise_amp FROM traces JOIN win USING (station) WHERE phase = 'P' AND n BETWEEN greatest(0, arrival_n - 12) AND arrival_n GROUP BY station, channel", (views.TRACES, views.GRID_SQL, ARRIVALS, WINDOWS), ("noise_amp",))
+@query("amp_noise", """SELECT station, channel, CASE WHEN max(value) > min(value) THEN sqrt(avg(d * d)) * 1000 END AS noise_amp FROM (SELECT station, channel, value, value - avg(value) OVER w - coalesce(regr_slope(value, n) OVER w, 0) * (n - avg(n) OVER w) AS d
+FROM traces JOIN win USING (station) WHERE phase = 'P' AND n BETWEEN greatest(0, arrival_n - 12) AND arrival_n WINDOW w AS (PARTITION BY station, channel)) GROUP BY station, channel""", (views.TRACES, views.GRID_SQL, ARRIVALS, WINDOWS), ("noise_amp",))
 def _(spark, sf):
     spans = _windows(spark, sf).where("phase = 'P'").select("station", F.greatest(F.lit(0), F.col("arrival_n") - 12).alias("low_n"), F.col("arrival_n").alias("high_n"))
     return magnitude.noise_amplitude(magnitude.windowed(views.traces(spark, sf), spans, ["station"], 16), KEYS)
@@ -556,7 +558,7 @@ def _(spark, sf):
     return magnitude.picks_or_modelled(rows, ["event_id"])
 
 
-def _curve_sql(name: str) -> str:
+def curve_sql(name: str) -> str:
     if name == "UK":
         a, b, c, e, level = scalar.UK
         return f"{a} * log10(d) + {b} * d + ({c}) * exp({e} * d) + ({level})"
@@ -567,7 +569,7 @@ def _curve_sql(name: str) -> str:
 NAMES = [*scalar.CURVES, "UK"]
 
 
-@query("attenuation_curves", "SELECT d, " + ", ".join(f'{_curve_sql(n)} AS "{n}"' for n in NAMES) + " FROM (SELECT DISTINCT epi_dist AS d FROM obs)", (views.OBSERVATIONS,), ("d", *(f'"{n}"' for n in NAMES)))
+@query("attenuation_curves", "SELECT d, " + ", ".join(f'{curve_sql(n)} AS "{n}"' for n in NAMES) + " FROM (SELECT DISTINCT epi_dist AS d FROM obs)", (views.OBSERVATIONS,), ("d", *(f'"{n}"' for n in NAMES)))
 def _(spark, sf):
     rows = views.observations(spark, sf).select(F.col("epi_dist").alias("d")).distinct()
     return rows.select("d", *[scalar.attenuation(F.col("d"), n).alias(n) for n in NAMES])
@@ -585,7 +587,7 @@ def _(spark, sf):
     return rows.select("c_custkey", scalar.haversine((F.col("c_custkey") % 30).cast("double") / 10 + 62, (F.col("c_custkey") % 40).cast("double") / 10 - 20, F.lit(64.0), F.lit(-18.0)).alias("km"))
 
 
-ML = f"""mlv AS (SELECT event_id, id, amp, noise, dist AS d, is_picked, 0.0 AS corr, CASE WHEN amp > 0 AND amp >= noise THEN log10(amp) + {_curve_sql("Hutton-Boore")} END AS ml,
+ML = f"""mlv AS (SELECT event_id, id, amp, noise, dist AS d, is_picked, 0.0 AS corr, CASE WHEN amp > 0 AND amp >= noise THEN log10(amp) + {curve_sql("Hutton-Boore")} END AS ml,
   CASE WHEN amp > 0 AND amp > noise THEN log10(amp + noise) - log10(amp - noise) END AS ml_err
   FROM (SELECT *, dist AS d, noise_amp / filter_gain AS noise FROM (SELECT *, nullif(sqrt(epi_dist ** 2 + z_dist ** 2), 0) AS dist FROM obs))),
 used AS (SELECT * FROM mlv WHERE amp > noise_of AND regexp_matches(id, 'HH[AN]$') AND NOT contains(id, '.S3.') AND NOT contains(id, '.S7.') AND d <= 40 AND ml IS NOT NULL)"""
@@ -606,7 +608,7 @@ def _(spark, sf):
     return rows.select("event_id", "id", "dist", "ml", F.when(F.col("ml_err") < float("inf"), F.col("ml_err")).alias("ml_err"))
 
 
-@query("station_corrections", f"SELECT event_id, id, log10(amp) + {_curve_sql('keir2006')} + CASE id WHEN 'XX.S1..HHA' THEN 0.25 WHEN 'XX.S2..HHN' THEN -0.5 ELSE 0 END AS ml FROM (SELECT *, nullif(epi_dist, 0) AS d FROM obs) WHERE amp >= noise_amp / filter_gain", (views.OBSERVATIONS,), ("ml",))
+@query("station_corrections", f"SELECT event_id, id, log10(amp) + {curve_sql('keir2006')} + CASE id WHEN 'XX.S1..HHA' THEN 0.25 WHEN 'XX.S2..HHN' THEN -0.5 ELSE 0 END AS ml FROM (SELECT *, nullif(epi_dist, 0) AS d FROM obs) WHERE amp >= noise_amp / filter_gain", (views.OBSERVATIONS,), ("ml",))
 def _(spark, sf):
     config = Magnitude(attenuation="keir2006", station_corrections={"XX.S1..HHA": 0.25, "XX.S2..HHN": -0.5})
     return _magnitudes(spark, sf, config).where("ml IS NOT NULL").select("event_id", "id", "ml")
@@ -631,13 +633,13 @@ def _(spark, sf):
 
 
 @query("ml_r2", f"""SELECT event_id, CASE WHEN count(*) >= 2 AND max(y) <> min(y) THEN (sum((y - a) ** 2) - sum((y - m) ** 2)) / sum((y - a) ** 2) END AS r2 FROM (
-  SELECT event_id, log10(amp) AS y, avg(log10(amp)) OVER (PARTITION BY event_id) AS a, mean - ({_curve_sql("Hutton-Boore")}) AS m FROM (SELECT *, avg(ml) OVER (PARTITION BY event_id) AS mean FROM used)) GROUP BY event_id""", (views.OBSERVATIONS, ML), ("r2",))
+  SELECT event_id, log10(amp) AS y, avg(log10(amp)) OVER (PARTITION BY event_id) AS a, mean - ({curve_sql("Hutton-Boore")}) AS m FROM (SELECT *, avg(ml) OVER (PARTITION BY event_id) AS mean FROM used)) GROUP BY event_id""", (views.OBSERVATIONS, ML), ("r2",))
 def _(spark, sf):
     used = _used(spark, sf)
     return magnitude.fit_quality(used, magnitude.network(used), MAG)
 
 
-@query("predicted_amplitude", f"SELECT event_id, id, ml - ({_curve_sql('Hutton-Boore')}) AS log_amp FROM mlv WHERE ml IS NOT NULL", (views.OBSERVATIONS, ML), ("log_amp",))
+@query("predicted_amplitude", f"SELECT event_id, id, ml - ({curve_sql('Hutton-Boore')}) AS log_amp FROM mlv WHERE ml IS NOT NULL", (views.OBSERVATIONS, ML), ("log_amp",))
 def _(spark, sf):
     return _magnitudes(spark, sf).where("ml IS NOT NULL").select("event_id", "id", (F.col("ml") - scalar.attenuation(F.col("dist"), "Hutton-Boore")).alias("log_amp"))
 
@@ -701,41 +703,12 @@ def _(spark, sf):
 # ---------------------------------------------------------------- rows only: numerical kernels
 
 
-@query("geodesic_distance")
-def _(spark, sf):
-    from ..functions.udfs import geodesic_km
-
-    rows = views.table(spark, sf, "customer")
-    return rows.select("c_custkey", geodesic_km((F.col("c_custkey") % 30).cast("double") / 10 + 62, (F.col("c_custkey") % 40).cast("double") / 10 - 20, F.lit(64.0), F.lit(-18.0)).alias("km"))
-
-
-@query("lanczos_shift")
-def _(spark, sf):
-    rows = views.trace_arrays(spark, sf).withColumn("shift", F.lit(0.25))
-    return signal.shift_lanczos(rows, "shift").select(*KEYS, F.posexplode("samples").alias("n", "value"))
-
-
 @query("response_removal")
 def _(spark, sf):
     response = {"poles": [complex(-4.4, 4.4), complex(-4.4, -4.4)], "zeros": [0j, 0j], "gain": 1.0, "sensitivity": 1500.0}
     return signal.remove_response(views.trace_arrays(spark, sf), 50.0, response).select(*KEYS, F.posexplode("samples").alias("n", "value"))
 
 
-@query("envelope_onset")
-def _(spark, sf):
-    return signal.envelope(views.trace_arrays(spark, sf)).select(*KEYS, F.posexplode("samples").alias("n", "value"))
-
-
-@query("bandpass")
-def _(spark, sf):
-    return signal.bandpass(views.trace_arrays(spark, sf), 50.0, (2.0, 16.0, 2)).select(*KEYS, F.posexplode("samples").alias("n", "value"))
-
-
-@query("decimated_traces")
-def _(spark, sf):
-    return signal.resample(views.trace_arrays(spark, sf), 50.0, 25.0).select(*KEYS, F.posexplode("samples").alias("n", "value"))
-
-
 @query("wood_anderson")
 def _(spark, sf):
     return signal.simulate_wood_anderson(views.trace_arrays(spark, sf), 50.0, None, scalar.wood_anderson()).select(*KEYS, F.posexplode("samples").alias("n", "value"))
@@ -777,3 +750,6 @@ def _(spark, sf):
 def _(spark, sf):
     table = views.travel_times(spark, sf).where("node = 35").select(F.col("station").cast("string").alias("station"), "phase", "tt")
     return synthetic.traces(table, 50, 400, 1.0, 5.0)
+
+
+from . import source_queries, stage_queries  # noqa: E402, F401  (they register more queries)

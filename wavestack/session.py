@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from .errors import ConfigError
 
 
 def session(master: str | None = None, name: str = "wavestack", **conf: str) -> SparkSession:
@@ -24,6 +27,24 @@ def session(master: str | None = None, name: str = "wavestack", **conf: str) ->
     return builder.config(map=settings).getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; on a local master without one, a temporary folder."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wavestack-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/wavestack/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new path of ``scratch`` and read again: what several plans read is made once, and lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 

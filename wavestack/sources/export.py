@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import wood_anderson
+from ..operators.signal import remove_response, simulate_wood_anderson
+
 
 def catalogue(events: DataFrame, picks: DataFrame, amplitudes: DataFrame, key: str = "event_id") -> DataFrame:
     """Events with their picks (events without any are left out) and amplitudes (empty if none) as arrays."""
@@ -51,3 +54,17 @@ def cut(samples: DataFrame, events: DataFrame, before: float, after: float, batc
     low, high = F.col("coa_us") - int(before * 1e6), F.col("coa_us") + int(after * 1e6)
     spans = events.select("event_id", batch, low.alias("_l"), high.alias("_h")).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_l") / width), F.floor(F.col("_h") / width))))
     return samples.withColumn("_b", F.floor(F.col("t_us") / width)).join(spans, [batch, "_b"]).where(F.col("t_us").between(F.col("_l"), F.col("_h"))).drop("_b", "_l", "_h")
+
+
+def in_metres(rows: DataFrame, columns: list[str], unit: str = "km") -> DataFrame:
+    """Lengths in metres, as catalogues hold them."""
+    factor = {"km": 1000.0, "m": 1.0}[unit]
+    return rows.withColumns({c: F.col(c) * factor for c in columns})
+
+
+def cut_arrays(samples: DataFrame, keys: list[str], rate: float, kind: str = "raw", response: dict | None = None, value: str = "value") -> DataFrame:
+    """Cut samples (keys..., n, value) as traces (keys..., start_n, samples): raw, ``real`` (ground motion) or ``wa`` (Wood-Anderson)."""
+    arrays = samples.groupBy(*keys).agg(F.min("n").alias("start_n"), F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("samples"))
+    if kind == "real":
+        return remove_response(arrays, rate, response)
+    return simulate_wood_anderson(arrays, rate, response, wood_anderson()) if kind == "wa" else arrays

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Grid
 from ..errors import ArchiveError, ConfigError, DataGap
 from ..operators.joins import with_small
+from ..operators.quality import merge_segments
+from ..operators.signal import shift_to_sample
 
-#: Folder layouts of waveform archives as path patterns, relative to the archive.
+# The named folder layouts of waveform archives as path patterns, relative to the archive.
 LAYOUTS = {
     "SeisComp3": "{year}/*/{station}/{channels}.D/*.{station}.*.*.D.{year}.{jday:03d}",
     "YEAR/JD/*_STATION_*": "{year}/{jday:03d}/*_{station}_{channels}",
@@ -50,6 +52,28 @@ def read_traces(spark: SparkSession, path: str, start_us: int, end_us: int, pre:
     return with_small(rows, stations.select("station").distinct(), "station", "left_semi") if stations is not None else rows
 
 
+def within(rows: DataFrame, low_us: int, high_us: int, day: str | None = None) -> DataFrame:
+    """Rows with low <= t_us <= high; ``day`` names a date column by which the table is partitioned."""
+    keep = F.col("t_us").between(low_us, high_us)
+    if day:
+        of = lambda us: F.expr(f"date_from_unix_date({us // 86_400_000_000})")
+        keep = keep & F.col(day).between(of(low_us), of(high_us))
+    return rows.where(keep)
+
+
+def read_waveforms(spark: SparkSession, path: str, start_us: int, end_us: int, rate: float, pre: float = 0.0, post: float = 0.0, stations: DataFrame | None = None) -> DataFrame:
+    """(station, channel, n, value): the padded span on whole samples, merged by channel and cut to start and end.
+
+    ``n`` is the number of the sample since the epoch. Samples that come twice are one; a channel whose copies differ
+    is left out. What was read, before all this, is ``read_traces``. No sample at all is an error.
+    """
+    raw = read_traces(spark, path, start_us, end_us, pre, post, stations)
+    if raw.isEmpty():
+        raise DataGap("no samples in the span")
+    rows = merge_segments(shift_to_sample(raw, rate).select("station", "channel", "n", "value"), ["station", "channel"])
+    return rows.where(F.col("n").between(round(start_us * rate / 1e6), round(end_us * rate / 1e6)))
+
+
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
     """(station, latitude, longitude, depth) from a CSV of Latitude, Longitude, Elevation, Name in any order."""
     rows = spark.read.option("header", True).csv(path)
@@ -74,9 +98,7 @@ def read_scan(spark: SparkSession, path: str, start_us: int, end_us: int, pad: f
     """The scan series of the padded span, back from fixed point; no row at all is an error."""
     from .writers import dequantised
 
-    low, high = start_us - int(pad * 1e6), end_us + int(pad * 1e6)
-    of = lambda us: F.expr(f"date_from_unix_date({us // 86_400_000_000})")
-    rows = spark.read.parquet(path).where(F.col(day).between(of(low), of(high)) & F.col("t_us").between(low, high))
+    rows = within(spark.read.parquet(path), start_us - int(pad * 1e6), end_us + int(pad * 1e6), day)
     if rows.isEmpty():
         raise DataGap("no scan data in the span")
     return dequantised(rows)
@@ -94,6 +116,39 @@ def read_events(spark: SparkSession, path: str, start_us: int | None = None, end
     return rows
 
 
+def read_triggered(spark: SparkSession, path: str, start_us: int | None = None, end_us: int | None = None) -> DataFrame:
+    """Triggered events back from CSV: (EventID, coa_us, then the columns as they were written)."""
+    rows = spark.read.option("header", True).csv(path)
+    numbers = {"COA_X", "COA_Y", "COA_Z", "MinTime", "MaxTime"}
+    typed = rows.select("EventID", F.unix_micros(F.to_timestamp("CoaTime")).alias("coa_us"), *[F.col(c).cast("double").alias(c) if c in numbers else F.col(c) for c in rows.columns if c not in ("EventID", "CoaTime")])
+    if start_us is not None:
+        typed = typed.where(F.col("coa_us") >= start_us)
+    if end_us is not None:
+        typed = typed.where(F.col("coa_us") < end_us if end_us % 86_400_000_000 == 0 else F.col("coa_us") <= end_us)
+    if typed.isEmpty():
+        raise DataGap("no triggered events")
+    return typed
+
+
+def read_lut(spark: SparkSession, path: str) -> tuple[DataFrame, Grid]:
+    """Travel times (station, phase, node, tt) and the grid they belong to, as ``writers.write_lut`` keeps them."""
+    g = spark.read.parquet(f"{path}/grid").first()
+    return spark.read.parquet(f"{path}/times"), Grid(tuple(g["origin"]), tuple(g["spacing"]), tuple(g["counts"]))
+
+
+def read_maps(spark: SparkSession, path: str, events: list, key: str = "event") -> DataFrame:
+    """Coalescence maps (key, node, c) of the given events; only their folders are read."""
+    return spark.read.parquet(path).where(F.col(key).isin(events))
+
+
+RESPONSE = "id string, start_us long, end_us long, poles array<struct<re:double,im:double>>, zeros array<struct<re:double,im:double>>, gain double, sensitivity double"
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Instrument responses, a JSON line for each channel and period of validity."""
+    return spark.read.schema(RESPONSE).json(path)
+
+
 def read_availability(spark: SparkSession, path: str, step: str = "step") -> DataFrame:
     """Long availability from wide CSVs; columns without a phase stand for both."""
     from ..operators.quality import availability_long
@@ -102,26 +157,61 @@ def read_availability(spark: SparkSession, path: str, step: str = "step") -> Dat
     return availability_long(rows.select(F.col(step).cast("timestamp"), *[F.col(c).cast("int") for c in rows.columns if c != step]), step)
 
 
-def read_travel_grids(spark: SparkSession, path: str) -> DataFrame:
-    """(station, phase, node, tt) from header and buffer pairs (``*.PHASE.STATION.time.hdr`` / ``.buf``).
+_HEADER = "stem string, station string, phase string, counts array<int>, origin array<double>, spacing array<double>, projection string, settings map<string,double>"
 
-    The header gives counts, origin, spacing and the station line; the buffer is 32-bit floats, node order
-    (x, y, z) with z fastest. One file pair is one row of bytes, decoded in Arrow batches.
+
+def _header(text: str) -> tuple:
+    """(station, counts, origin, spacing, projection, settings) of a header file.
+
+    First line: counts, origin, spacing; second: station and its place; then, if there, ``TRANSFORM name key value ...``.
     """
+    lines = text.splitlines()
+    first = lines[0].split()
+    words = next((line.split()[1:] for line in lines if line.startswith("TRANSFORM")), ["NONE"])
+    settings = {}
+    for key, value in zip(words[1::2], words[2::2], strict=False):
+        try:
+            settings[key] = float(value)
+        except ValueError:
+            continue  # names, as of the ellipsoid, are no numbers
+    return lines[1].split()[0], [int(v) for v in first[:3]], [float(v) for v in first[3:6]], [float(v) for v in first[6:9]], words[0], settings
+
+
+def _travel_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.time.*").load(path)
     stem = F.regexp_replace(F.col("path"), r"\.(hdr|buf)$", "")
     of = lambda kind: F.max(F.when(F.col("path").endswith(kind), F.col("content")))
-    pairs = files.groupBy(stem.alias("stem")).agg(of(".hdr").alias("hdr"), of(".buf").alias("buf"))
+    return files.groupBy(stem.alias("stem")).agg(of(".hdr").alias("hdr"), of(".buf").alias("buf"))
+
+
+def read_travel_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, station, phase, counts, origin, spacing, projection, settings) of travel-time grid files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                station, counts, origin, spacing, projection, settings = _header(row["hdr"].decode())
+                rows.append({"stem": row["stem"], "station": station, "phase": row["stem"].rsplit(".", 3)[-3], "counts": counts, "origin": origin, "spacing": spacing, "projection": projection, "settings": list(settings.items())})
+            kinds = [("stem", pa.string()), ("station", pa.string()), ("phase", pa.string()), ("counts", pa.list_(pa.int32())), ("origin", pa.list_(pa.float64())), ("spacing", pa.list_(pa.float64())), ("projection", pa.string()), ("settings", pa.map_(pa.string(), pa.float64()))]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+
+    return _travel_files(spark, path).drop("buf").mapInArrow(run, _HEADER)
+
+
+def read_travel_grids(spark: SparkSession, path: str) -> DataFrame:
+    """(station, phase, node, tt) from header and buffer pairs (``*.PHASE.STATION.time.hdr`` / ``.buf``).
 
+    The header gives counts, origin, spacing and the station line; the buffer is 32-bit floats, node order
+    (x, y, z) with z fastest. One file pair is one row of bytes, decoded in Arrow batches.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                lines = row["hdr"].decode().splitlines()
-                counts = [int(v) for v in lines[0].split()[:3]]
+                station, counts, *_ = _header(row["hdr"].decode())
                 n = counts[0] * counts[1] * counts[2]
-                station = lines[1].split()[0]
                 phase = row["stem"].rsplit(".", 3)[-3]
-                tt = np.array(struct.unpack(f"<{n}f", row["buf"][: 4 * n]), dtype=float)
+                tt = np.frombuffer(row["buf"], "<f4", n).astype(float)
                 yield pa.RecordBatch.from_arrays([pa.array([station] * n), pa.array([phase] * n), pa.array(np.arange(n)), pa.array(tt)], names=["station", "phase", "node", "tt"])
 
-    return pairs.mapInArrow(run, "station string, phase string, node long, tt double")
+    return _travel_files(spark, path).mapInArrow(run, "station string, phase string, node long, tt double")

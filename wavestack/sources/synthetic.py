@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import attenuation
@@ -23,3 +23,10 @@ def traces(arrivals: DataFrame, rate: int, samples: int, magnitude: float, frequ
     uniform = lambda salt: (F.pmod(F.xxhash64("station", "phase", "n", F.lit(salt)), F.lit(1_000_003)) + 1) / F.lit(1_000_004.0)
     normal = F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * math.pi * uniform(2))
     return n.select("station", "phase", "n", (size * wavelet + noise * normal).alias("value"))
+
+
+def to_zne(l: Column, q: Column, t: Column, incidence: Column, back_azimuth: Column) -> tuple[Column, Column, Column]:  # noqa: E741
+    """Ray components (along it, across it in its plane, across its plane) as vertical, north and east; angles in radians."""
+    si, ci, sb, cb = F.sin(incidence), F.cos(incidence), F.sin(back_azimuth), F.cos(back_azimuth)
+    level = q * ci - l * si
+    return l * ci + q * si, level * cb + t * sb, level * sb - t * cb
