@@ -7,8 +7,10 @@ position less item position), along which words are compared exactly and the hit
 windows that agree. Items of fewer than ``span`` words are fingerprinted whole, and documents by the
 word counts that occur among them.
 
-Benchmark fingerprints are broadcast while their counted number is small; otherwise the join shuffles
-fingerprints. Texts meet their hits by a digest of the text, so copies share one set of hits.
+Benchmark fingerprints are broadcast while they are few (bytes and rows are checked); otherwise the join shuffles
+fingerprints. Texts meet their hits by a digest of the text, so copies share one set of hits. Hits carry the words of
+their items; their bytes are summed before they are broadcast, and beyond ``BROADCAST_BYTES`` they are joined by shuffle
+with those texts alone that have a hit.
 """
 
 from __future__ import annotations
@@ -16,13 +18,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, read_table, small_enough, stage
+from .common import BROADCAST_BYTES, drop_staged, free_name, join_small, join_sparse, read_table, stage
 
 SPAN, K = 10, 6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words once A-Z are lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-CANDIDATE_ROWS = 100_000
+#: The same before.
+APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+#: Low bits of a packed fingerprint that hold its place; the others hold its hash.
+PLACE_BITS = 24
 
 
 def let(value: Column, body) -> Column:
@@ -44,12 +51,41 @@ def _hash(ws: Column, at: Column, n: int) -> Column:
     return F.xxhash64(F.slice(ws, at + 1, n))
 
 
+def _runs(values: Column, n: int, step) -> Column:
+    """``step`` folded over every ``n`` consecutive values, by doubling: each pass joins two neighbouring runs."""
+    after = lambda a, k: F.slice(a, k + 1, F.size(a))
+
+    def grow(have: int, parts: list[tuple[int, Column]]) -> Column:
+        now = parts[-1][1]
+        if have == n:
+            return F.slice(now, 1, F.greatest(F.size(values) - (n - 1), F.lit(0)))
+        size, other = next((k, a) for k, a in reversed(parts) if k <= n - have)
+        # past the end the shorter array is filled up with nulls, which the cut above takes off
+        return let(F.zip_with(now, after(other, have), step), lambda a: grow(have + size, [*parts, (have + size, a)] if size == have else [*parts[:-1], (have + size, a)]))
+
+    return grow(1, [(1, values)])
+
+
 def fingerprints(ws: Column, span: int = SPAN, k: int = K) -> Column:
-    """array<struct<h, p>>: the leftmost smallest k-word hash of each window of ``span`` words, once per place."""
+    """array<struct<h, p>>: the leftmost smallest k-word hash of each window of ``span`` words, once per place.
+
+    A word is hashed once, and a place stands in the low bits below its hash, so that the smallest value of a window
+    says where it is; texts of more words than the low bits can count take the places from the windows instead.
+    """
     w = span - k + 1
-    minima = lambda g: F.transform(_upto(F.size(g) - (w - 1)), lambda i: let(F.slice(g, i + 1, w), lambda s: (i + F.array_position(s, F.array_min(s)) - 1).cast("int")))
-    pick = lambda g: F.transform(F.array_distinct(minima(g)), lambda p: F.struct(F.get(g, p).alias("h"), p.alias("p")))
-    return let(F.transform(_upto(F.size(ws) - (k - 1)), lambda i: _hash(ws, i, k)), pick)
+
+    def pick(grams: Column) -> Column:
+        packed = F.transform(grams, lambda g, i: F.shiftleft(F.shiftright(g, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long")))
+        smallest = F.array_distinct(let(packed, lambda v: _runs(v, w, lambda x, y: F.least(x, y))))
+        return F.transform(smallest, lambda v: F.struct(F.shiftright(v, PLACE_BITS).alias("h"), v.bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("p")))
+
+    def pick_long(grams: Column) -> Column:
+        short = F.transform(grams, lambda g: F.shiftright(g, PLACE_BITS))
+        minima = lambda g: F.transform(_upto(F.size(g) - (w - 1)), lambda i: let(F.slice(g, i + 1, w), lambda s: (i + F.array_position(s, F.array_min(s)) - 1).cast("int")))
+        return let(short, lambda g: F.transform(F.array_distinct(minima(g)), lambda p: F.struct(F.get(g, p).alias("h"), p.alias("p"))))
+
+    grams = let(F.transform(ws, lambda x: F.xxhash64(x)), lambda h: _runs(h, k, lambda x, y: F.xxhash64(x, y)))
+    return let(grams, lambda g: F.when(F.size(g) < 1 << PLACE_BITS, pick(g)).otherwise(pick_long(g)))
 
 
 def _whole(ws: Column, n: int) -> Column:
@@ -75,8 +111,11 @@ def _starts(ws: Column, item: Column, span: int) -> Column:
     return F.flatten(F.transform(item["ds"], along))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", span: int = SPAN, k: int = K) -> DataFrame:
-    """``docs`` plus n_words, n_hit and items (sorted distinct item keys as strings).
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", span: int = SPAN, k: int = K, most: int = BROADCAST_BYTES, names: tuple[str, str, str] = ("n_words", "n_hit", "items")) -> DataFrame:
+    """``docs`` plus n_words, n_hit and items (sorted distinct item keys as strings), or what ``names`` calls them.
+
+    Columns of ``docs`` with one of these names are replaced; all others stay, whatever their names. Repeated rows
+    get equal results. Hits of more than ``most`` bytes are shuffled instead of broadcast.
 
     A null or empty text, or one of fewer words than any window, has no hit. Items without words are
     never hit; items with equal words are hit together; null item keys take part as the text "null".
@@ -93,22 +132,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     found = docs.select(*_digest(F.col(text)), F.explode(marks).alias("x")).select("k1", "k2", "x.h", "x.p")
     hits = join_small(found, kept, "h", "inner").select("k1", "k2", "wid", (F.col("p") - F.col("q")).alias("d")).distinct()
     hits = stage(hits.groupBy("k1", "k2", "wid").agg(F.collect_list("d").alias("ds")), "winnow-hits")
-    cand = hits.join(items.select("wid", "words", "ids"), "wid").groupBy("k1", "k2").agg(F.collect_list(F.struct("words", "ids", "ds")).alias("_cand"))
-    few = small_enough(hits, CANDIDATE_ROWS)
-    rows = docs.withColumns({f"_{n}": c for n, c in zip(("k1", "k2"), _digest(F.col(text)), strict=True)})
-    cand = cand.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
-    rows = rows.join(F.broadcast(cand) if few else cand, ["_k1", "_k2"], "left")
-    spans = lambda ws: F.transform("_cand", lambda c: F.struct(c["ids"].alias("ids"), _starts(ws, c, span).alias("starts"), F.least(F.lit(span), F.size(c["words"])).alias("n")))
-    checked = F.when(F.col("_cand").isNotNull(), let(words(F.col(text)), lambda ws: F.filter(spans(ws), lambda s: F.size(s["starts"]) > 0)))
-    rows = rows.withColumn("_hits", checked)
-    covered = F.size(F.array_distinct(F.flatten(F.flatten(F.transform("_hits", lambda s: F.transform(s["starts"], lambda a: F.sequence(a, a + s["n"] - 1)))))))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda s: s["ids"]))))
-    count = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    return rows.withColumns({
-        "n_words": count.cast("long"),
-        "n_hit": F.when(F.col("_hits").isNull(), F.lit(0)).otherwise(covered).cast("long"),
-        "items": F.coalesce(ids, none),
-    }).select(*docs.columns, "n_words", "n_hit", "items")
+    k1, k2, found, checked, weigh = (free_name(n, docs) for n in ("_k1", "_k2", "_found", "_checked", "_weight"))
+    weight = F.octet_length(F.array_join("words", " ")) + 24 * F.size("words") + 8 * F.size("ds") + 64
+    cand = hits.join(items.select("wid", "words", "ids"), "wid").withColumn("weight", weight)
+    cand = cand.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.collect_list(F.struct("words", "ids", "ds")).alias(found), F.sum("weight").alias(weigh))
+    cand = stage(cand, "winnow-candidates")
+    drop_staged(kept, hits, items)
+    rows = docs.withColumns(dict(zip((k1, k2), _digest(F.col(text)), strict=True)))
+    rows = join_sparse(rows, cand, [k1, k2], F.col(weigh), most)
+    spans = lambda ws: F.transform(found, lambda c: F.struct(c["ids"].alias("ids"), _starts(ws, c, span).alias("starts"), F.least(F.lit(span), F.size(c["words"])).alias("n")))
+    rows = rows.withColumn(checked, F.when(F.col(found).isNotNull(), let(words(F.col(text)), lambda ws: F.filter(spans(ws), lambda s: F.size(s["starts"]) > 0))))
+    covered = F.size(F.array_distinct(F.flatten(F.flatten(F.transform(checked, lambda s: F.transform(s["starts"], lambda a: F.sequence(a, a + s["n"] - 1)))))))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(checked, lambda s: s["ids"]))))
+    body = F.coalesce(F.col(text), F.lit(""))
+    # the pieces between separators are the words, but for an empty one at either end
+    ends = [F.when(F.substring(body, at, 1).rlike(APART), 1).otherwise(0) for at in (1, -1)]
+    count = F.when(body == "", 0).otherwise(F.size(F.split(body, APART)) - ends[0] - ends[1])
+    hit = F.when(F.col(checked).isNull(), F.lit(0)).otherwise(covered).cast("long")
+    new = dict(zip(names, (count.cast("long"), hit, F.coalesce(ids, none)), strict=True))
+    taken = {n.lower() for n in new}
+    return rows.select(*[c for c in docs.columns if c.lower() not in taken], *[c.alias(n) for n, c in new.items()])
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
