@@ -146,15 +146,20 @@ def give_back() -> None:
     pa.default_memory_pool().release_unused()
 
 
-#: Rows of an Arrow batch on its way to a Python worker: whole texts are long.
-BATCH_ROWS = 2_000
+#: Rows and bytes of an Arrow batch on its way to a Python worker: whole texts are long.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to ``BATCH_ROWS``, if it is larger."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > BATCH_ROWS or int(spark.conf.get(name)) <= 0:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``, if they are larger.
+
+    The setting stays: it holds when a plan runs, which is after the query that made it has returned.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(name).rstrip("b"))
+        if now > most or now <= 0:
+            spark.conf.set(name, str(most))
 
 
 # ---------------------------------------------------------------- vectorised words (numpy)
