@@ -1,28 +1,27 @@
-"""Substring deduplication by a join of 13-word windows, in place of a relative Lempel-Ziv parse.
+"""Substring deduplication by a relative Lempel-Ziv parse of every document.
 
-Every window of ``WINDOW`` words that a document with a smaller id also holds is a repeat, and the words of such
-windows are the duplicate spans. They are the words that a Lempel-Ziv parse against all documents with
-a smaller id covers with factors of at least ``WINDOW`` words, windows across the boundary of two factors
-included: every window of such a factor is a repeat, and every repeat lies in a factor or across a boundary.
+The reference. Of every window of ``WINDOW`` words that two documents hold, the place in the document of smallest id
+(the first there) is kept. So each window stands once in the reference, which holds no text twice, and a match
+of at least one window has one place to start at and one longest end.
 
-The factors given here are not those of a greedy parse. Of each window only the smallest document id is
-kept, no place in that document, and ``factors`` groups neighbouring windows with one id. A passage of one document
-of which a still earlier one holds a part is cut there, and the windows of one factor may stand
-at different places of its reference.
-
-The reference is indexed in blocks by hash, not by document, so no block is ever compared with another:
+The parse. A document is factored greedily from its first word on: at a window that an earlier document holds the
+factor runs as long as the document's words follow the reference's, and carries the reference document and the place
+there; where no earlier document holds the window, the parse goes on by one word. Windows across the end of a factor
+start inside it and are looked up too (``boundary`` spans). Factors have at least ``WINDOW`` words, and together with
+the boundary spans they cover exactly the windows that a document with a smaller id also holds; their words are removed.
+A document is factored against every block of the reference: the index of its windows is dealt by hash, so no block
+is compared with a document that shares nothing with it.
 
 1. Of the 8 hashes of 6 words inside every window of 13 words the smallest is the window's anchor. Equal
    windows have equal anchors, so a window can only be a repeat if its anchor is in two documents.
    About two words in nine give an anchor; anchors go to their hash's block as packed arrays.
 2. Each block tells the documents which of their anchors others hold too.
-3. Only windows with such an anchor go, under 128-bit hashes, to the blocks of the window index; there the
-   smallest document id of each window decides, and documents learn which windows are repeats.
-4. Runs of such windows with one reference are grouped; covered words are removed.
+3. Windows with such an anchor are gathered by flocks, the documents that a task works through at a time. A flock sends
+   each distinct window once, under a 96-bit hash with its first place, to the window's block, and the block tells
+   the flock of every earlier place. A passage in a third of all rows thus costs its block one entry a flock.
+4. Where windows and places meet again, flock by flock, the documents are parsed.
 
-Tasks combine their own entries first: of a hash that many of a task's documents share, one entry is sent
-and the others are answered on the spot, so a passage in a third of all rows costs its block one
-entry a task. Texts are joined with answers only where a document shares an anchor.
+Texts are joined with answers only where a document shares an anchor.
 """
 
 from __future__ import annotations
@@ -32,15 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (workers do not load it by themselves)
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blob, buckets_for, give_back, join_small, read_table, sliding_min, slices, small_enough, stage, text_buffers
+from .common import Words, blob, buckets_for, drop_staged, free_shuffles, give_back, join_sparse, read_table, sliding_min, slices, small_enough, stage, text_buffers
 
 WINDOW, GRAM = 13, 6
 #: Entries that a task gathers before it combines and sends them.
-GATHERED = 1_200_000
+GATHERED = 800_000
 LAST = np.iinfo(np.int64).max  # stands for a null id: after all others
 _U = np.uint64
 
@@ -144,8 +144,8 @@ def _emit_anchors(n_buckets: int):
 
 def _answer_anchors(table: pa.Table) -> pa.Table:
     """Which anchors of a block two rows hold: (row, packed hashes); answers given before pass through."""
-    sent = table.filter(pa.compute.is_null(table["row"]))
-    done = table.filter(pa.compute.is_valid(table["row"]))
+    sent = table.filter(pc.is_null(table["row"]))
+    done = table.filter(pc.is_valid(table["row"]))
     rows, packed = done["row"].to_pylist(), done["a"].to_pylist()
     if sent.num_rows:
         h = np.concatenate([np.frombuffer(x, _U) for x in sent["a"].to_pylist()])
@@ -154,36 +154,55 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
         for row, x in _by_row(r[many], [h[many]]):
             rows.append(row)
             packed.append(x[0])
+        del h, r, many
+    give_back()
     return pa.table({"row": pa.array(rows, pa.int64()), "hashes": pa.array(packed, pa.binary())})
 
 
 # ------------------------------------------------------------------ windows
 
-_WINDOW_ROWS = "bucket int, row long, a binary, b binary, c binary, d binary, e binary"
-_WINDOW_ARROW = pa.schema([("bucket", pa.int32()), ("row", pa.int64()), *[(x, pa.binary()) for x in "abcde"]])
+#: From a flock to a block: ``first`` is the number of the flock's first window among those sent; a, b: the window's
+#: hashes, c: document, d: place. Passed through for the flock itself: a: rows, b: documents, c: row, first word and
+#: windows of each run of neighbouring windows, d: number of each window. From a block: a: numbers, b: documents, c: places.
+_FLOCK_ROWS = "bucket int, flock long, first int, a binary, b binary, c binary, d binary"
+_FLOCK_ARROW = pa.schema([("bucket", pa.int32()), ("flock", pa.int64()), ("first", pa.int32()), *[(x, pa.binary()) for x in "abcd"]])
+_FACTORS = "array<struct<first:int,words:int,reference:long,place:int,boundary:boolean>>"
+
+
+def _places(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Word places in the low 32 bits; the high bits tell rows that share a document id apart."""
+    return (rows >> 33 << 32) + at
 
 
-def _judge(ha, hb, doc, row, pos):
-    """Entries sorted by window and document, and the smallest document of each entry's window."""
-    order = np.lexsort((doc, hb, ha))
-    ha, hb, doc, row, pos = (x[order] for x in (ha, hb, doc, row, pos))
-    edge = _runs(ha, hb)
-    least = np.repeat(doc[edge[:-1]], np.diff(edge))
-    return ha, hb, doc, row, pos, least
+def _least(*keys: np.ndarray) -> np.ndarray:
+    """Order by the last two keys within equal leading ones."""
+    return np.lexsort(keys[::-1])
 
 
 def _emit_windows(n_buckets: int):
-    def flush(parts: list[tuple], salt: int) -> pa.RecordBatch:
-        ha, hb, doc, row, pos, least = _judge(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        later = doc > least
-        cols = [x[~later] for x in (ha, hb, doc, row, pos)]
-        out = [(b, None, *x) for b, x in _send(_bucket(cols[0], n_buckets), n_buckets, cols)]
-        out += [((r + salt) % n_buckets, r, x[0], x[1], None, None, None) for r, x in _by_row(row[later], [pos[later], least[later]])]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _WINDOW_ARROW.types, strict=True)], schema=_WINDOW_ARROW)
+    def flush(parts: list[tuple], flock: int) -> pa.RecordBatch:
+        ha, hb, doc, row, pos, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+        place = _places(row, pos.astype(np.int64))
+        order = _least(ha, hb, doc, place)
+        edge = _runs(ha[order], hb[order])
+        head = order[edge[:-1]]
+        number = np.empty(len(ha), np.int32)
+        number[order] = np.repeat(np.arange(len(head), dtype=np.int32), np.diff(edge))
+        # entries come text by text, in the order of their places
+        starts, edges = _runs(text), _runs(text, pos - np.arange(len(pos)))
+        which = np.searchsorted(starts, edges[:-1], side="right") - 1
+        runs = np.stack([which, pos[edges[:-1]], np.diff(edges)], 1).astype(np.int32)
+        out = [(flock % n_buckets, flock, None, blob(row[starts[:-1]]), blob(doc[starts[:-1]]), blob(runs), blob(number))]
+        # windows are numbered by hash and blocks are ranges of hashes, so a block's windows have consecutive numbers
+        bucket = _bucket(ha[head], n_buckets)
+        ends = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        for b in np.flatnonzero(np.diff(ends)):
+            some = head[ends[b] : ends[b + 1]]
+            out.append((int(b), flock, int(ends[b]), blob(ha[some]), blob(hb[some]), blob(doc[some]), blob(place[some])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _FLOCK_ARROW.types, strict=True)], schema=_FLOCK_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, salt = [], 0, 0
+        parts, size, flock, seen = [], 0, TaskContext.get().partitionId() << 24, 0
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             ids = batch.column("row").to_numpy(zero_copy_only=False)
@@ -202,15 +221,16 @@ def _emit_windows(n_buckets: int):
                 if not len(at):
                     continue
                 doc = words.doc[at]
-                ha, hb = words.grams(WINDOW, 0)[at], words.grams(WINDOW, 1, words.hashes(1))[at]
-                parts.append((ha, hb, docs[a:b][doc], ids[a:b][doc], (at - words.first[doc]).astype(np.int32)))
+                ha, hb = words.grams(WINDOW, 0)[at], (words.grams(WINDOW, 1, words.hashes(1))[at] >> _U(32)).astype(np.uint32)
+                parts.append((ha, hb, docs[a:b][doc], ids[a:b][doc], (at - words.first[doc]).astype(np.int32), seen + a + doc))
                 size += len(at)
                 if size > GATHERED:
-                    yield flush(parts, salt)
-                    parts, size, salt = [], 0, salt + 1
+                    yield flush(parts, flock)
+                    parts, size, flock = [], 0, flock + 1
                     give_back()
+            seen += batch.num_rows
         if size:
-            yield flush(parts, salt)
+            yield flush(parts, flock)
         del parts
         give_back()
 
@@ -218,46 +238,103 @@ def _emit_windows(n_buckets: int):
 
 
 def _answer_windows(table: pa.Table) -> pa.Table:
-    """(row, packed places, packed references) of the windows that a smaller document also holds."""
-    sent = table.filter(pa.compute.is_null(table["row"]))
-    done = table.filter(pa.compute.is_valid(table["row"]))
-    rows, places, refs = done["row"].to_pylist(), done["a"].to_pylist(), done["b"].to_pylist()
+    """For the flocks: their windows that a smaller document holds, and its first place; what flocks keep passes through."""
+    kept = table.filter(pc.is_null(table["first"]))
+    sent = table.filter(pc.is_valid(table["first"]))
+    out = [kept.select(["flock", "first", *"abcd"])]
     if sent.num_rows:
-        kinds = (_U, _U, np.int64, np.int64, np.int32)
-        cols = [np.concatenate([np.frombuffer(x, k) for x in sent[c].to_pylist()]) for c, k in zip("abcde", kinds, strict=True)]
-        _, _, doc, row, pos, least = _judge(*cols)
-        later = doc > least
-        for r, x in _by_row(row[later], [pos[later], least[later]]):
-            rows.append(r)
-            places.append(x[0])
-            refs.append(x[1])
-    return pa.table({"row": pa.array(rows, pa.int64()), "places": pa.array(places, pa.binary()), "refs": pa.array(refs, pa.binary())})
-
-
-def factors(places: np.ndarray, refs: np.ndarray) -> list[tuple[int, int, int]]:
-    """Runs (first word, words, reference) of the windows found in the reference.
-
-    A run goes on while the next window has the same smallest document, wherever it stands there; where the
-    reference changes, the windows across the boundary belong to the next run, so covered words overlap there.
+        cols = [[np.frombuffer(x, k) for x in sent[c].to_pylist()] for c, k in zip("abcd", (_U, np.uint32, np.int64, np.int64), strict=True)]
+        size = np.array([len(x) for x in cols[0]])
+        ha, hb, doc, place = (np.concatenate(x) for x in cols)
+        part = np.repeat(np.arange(len(size)), size)
+        order = _least(ha, hb, doc, place)
+        edge = _runs(ha[order], hb[order])
+        first = np.empty(len(ha), np.int64)
+        first[order] = np.repeat(order[edge[:-1]], np.diff(edge))
+        later = np.flatnonzero(doc > doc[first])
+        inside = np.arange(len(ha)) - np.repeat(np.cumsum(size) - size, size)
+        flocks, starts = sent["flock"].to_numpy(), sent["first"].to_numpy().astype(np.int64)
+        cut = np.searchsorted(part[later], np.arange(len(size) + 1))
+        rows = []
+        for i in np.flatnonzero(np.diff(cut)):
+            own = later[cut[i] : cut[i + 1]]
+            rows.append((int(flocks[i]), 0, blob((starts[i] + inside[own]).astype(np.int32)), blob(doc[first[own]]), blob(place[first[own]]), None))
+        if rows:
+            out.append(pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FLOCK_ARROW.types[1:], strict=True)], schema=pa.schema(list(_FLOCK_ARROW)[1:])))
+        del cols, ha, hb, doc, place, order, first, later, inside, part, rows
+        give_back()
+    return pa.concat_tables(out)
+
+
+# ------------------------------------------------------------------ the parse
+
+
+def factors(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, bool]]:
+    """The greedy parse of one document, as (first word, words, reference, place there, across the end of a factor).
+
+    ``runs`` are the longest matches in order: (first window, windows, reference, place) of neighbouring windows that
+    stand side by side in the reference. A factor takes a run from the first word not yet parsed; windows of further
+    runs that start inside the factor are boundary spans.
     """
-    order = np.lexsort((refs, places))
-    places, refs = places[order].astype(np.int64), refs[order]
-    keep = np.ones(len(places), bool)
-    keep[1:] = places[1:] != places[:-1]
-    places, refs = places[keep], refs[keep]
-    cut = np.ones(len(places), bool)
-    cut[1:] = (places[1:] != places[:-1] + 1) | (refs[1:] != refs[:-1])
-    edge = np.concatenate([np.flatnonzero(cut), [len(places)]])
-    return [(int(places[a]), int(b - a) + WINDOW - 1, int(refs[a])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    out, parsed = [], 0
+    for at, n, reference, place in runs:
+        if at < parsed:
+            k = min(n, parsed - at)
+            out.append((at, k + WINDOW - 1, reference, place, True))
+            at, n, place = at + k, n - k, place + k
+        if n:
+            out.append((at, n + WINDOW - 1, reference, place, False))
+            parsed = at + n + WINDOW - 1
+    return out
 
 
 def _parse(table: pa.Table) -> pa.Table:
-    rows = table["row"].to_pylist()
-    places = np.concatenate([np.frombuffer(x, np.int32) for x in table["places"].to_pylist()])
-    refs = np.concatenate([np.frombuffer(x, np.int64) for x in table["refs"].to_pylist()])
-    found = factors(places, refs)
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("reference", pa.int64())]))
-    return pa.table({"row": pa.array(rows[:1], pa.int64()), "factors": pa.array([[{"first": a, "words": n, "reference": d} for a, n, d in found]], kind)})
+    """(doc, row, factors) of every document of a flock that has one."""
+    kept = table.filter(pc.is_null(table["first"]))
+    told = table.filter(pc.is_valid(table["first"]))
+    row, doc, neighbours, number = (np.frombuffer(kept[c][0].as_py(), k) for c, k in zip("abcd", (np.int64, np.int64, np.int32, np.int32), strict=True))
+    neighbours = neighbours.reshape(-1, 3).astype(np.int64)
+    size = neighbours[:, 2]
+    which = np.repeat(neighbours[:, 0], size)
+    pos = np.repeat(neighbours[:, 1] - np.cumsum(size) + size, size) + np.arange(len(number))
+    place = _places(row[which], pos)
+    order = _least(number, doc[which], place)
+    head = order[_runs(number[order])[:-1]]
+    ref, at = doc[which[head]], place[head]
+    if told.num_rows:
+        at_number, their, there = (np.concatenate([np.frombuffer(x, k) for x in told[c].to_pylist()]) for c, k in zip("abc", (np.int32, np.int64, np.int64), strict=True))
+        ref[at_number], at[at_number] = their, there
+    found = np.flatnonzero(doc[which] > ref[number])
+    rows, pos, ref, at = which[found], pos[found], ref[number[found]], at[number[found]]
+    # the index of a run's windows: both places go on by one
+    edge = _runs(rows, pos - np.arange(len(pos)), ref, at - np.arange(len(at)))
+    heads = edge[:-1]
+    place = at & 0xFFFFFFFF
+    runs = list(zip(pos[heads].tolist(), np.diff(edge).tolist(), ref[heads].tolist(), place[heads].tolist(), strict=True))
+    owner = rows[heads]
+    cut = _runs(owner)
+    spans = [factors(runs[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    mine = owner[cut[:-1]]
+    del kept, told, which, number, place, order, pos, found, runs
+    give_back()
+    kind = pa.struct([("first", pa.int32()), ("words", pa.int32()), ("reference", pa.int64()), ("place", pa.int32()), ("boundary", pa.bool_())])
+    flat = [x for own in spans for x in own]
+    columns = list(zip(*flat, strict=True)) if flat else [[]] * 5
+    structs = pa.StructArray.from_arrays([pa.array(c, kind.field(i).type) for i, c in enumerate(columns)], fields=list(kind))
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in spans])]).astype(np.int32))
+    covered = [_covered(own) for own in spans]
+    return pa.table({"doc": pa.array(doc[mine], pa.int64()), "row": pa.array(row[mine], pa.int64()), "factors": pa.ListArray.from_arrays(offsets, structs), "covered": pa.array(covered, pa.binary())})
+
+
+def _covered(spans: list[tuple]) -> bytes:
+    """The ranges of words (first, end) that the spans of a document cover together, packed."""
+    out: list[int] = []
+    for first, words, *_ in spans:  # in the order of their first words
+        if out and first <= out[-1]:
+            out[-1] = max(out[-1], first + words)
+        else:
+            out += [first, first + words]
+    return blob(np.array(out, np.int32))
 
 
 def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -266,22 +343,27 @@ def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def duplicate_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(row, factors array<struct<first, words, reference>>) of every text with a duplicate span.
+    """(doc, row, factors array<struct<first, words, reference, place, boundary>>, covered) of every text with a duplicate span.
 
-    ``row`` is xxhash64 of key and text. The document with the smallest key that holds a window keeps it;
-    a null key counts as larger than any. Rows that repeat a key do not make each other repeats. Null,
-    empty and short texts have no span; texts are read whole.
+    A span of ``words`` words from word ``first`` on stands in document ``reference`` from word ``place`` on. ``covered`` packs the ranges of words that
+    the spans cover (32-bit pairs of first and end). ``row`` is xxhash64 of key and text; rows are known by it together with the key (``doc``; the largest long for a null one). The document with the smallest key
+    that holds a window keeps it; a null key counts as larger than any. Rows that repeat a key do not make each other
+    repeats; equal rows may come once or several times. Null, empty and short texts have no span; texts are read whole.
     """
     keyed = _keyed(docs, text, key)
     n = buckets_for(docs)
     shared = keyed.select("row", "text").mapInArrow(_emit_anchors(n), _ANCHOR_ROWS).groupBy("bucket").applyInArrow(_answer_anchors, "row long, hashes binary")
     shared = stage(shared, "repeat-anchors")
+    free_shuffles(docs.sparkSession)
     anchors = shared.groupBy("row").agg(F.collect_list("hashes").alias("anchors"))
     ids = shared.select("row").distinct()
     some = keyed.join(F.broadcast(ids), "row", "left_semi") if small_enough(ids) else keyed
-    windows = some.join(anchors, "row").select("row", "doc", "text", "anchors").mapInArrow(_emit_windows(n), _WINDOW_ROWS)
-    found = windows.groupBy("bucket").applyInArrow(_answer_windows, "row long, places binary, refs binary")
-    return found.groupBy("row").applyInArrow(_parse, "row long, factors array<struct<first:int,words:int,reference:long>>")
+    windows = some.join(anchors, "row").select("row", "doc", "text", "anchors").mapInArrow(_emit_windows(n), _FLOCK_ROWS)
+    met = windows.groupBy("bucket").applyInArrow(_answer_windows, "flock long, first int, a binary, b binary, c binary, d binary")
+    spans = stage(met.groupBy("flock").applyInArrow(_parse, f"doc long, row long, factors {_FACTORS}, covered binary"), "repeat-spans")
+    drop_staged(shared)
+    free_shuffles(docs.sparkSession)
+    return spans
 
 
 _KEPT = "doc_id long, n_words long, n_removed long, kept string"
@@ -292,8 +374,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", dig
 
     With ``digest`` the column ``kept`` is the SHA-256 of that text in lowercase hex instead.
     """
-    spans = stage(duplicate_spans(docs, text, key), "repeat-spans")
-    joined = join_small(_keyed(docs, text, key), spans, "row", "left", 300_000)
+    spans = duplicate_spans(docs, text, key)
+    cuts = stage(spans.groupBy("row", F.col("doc").alias("known")).agg(F.first("covered").alias("covered")), "repeat-cuts")
+    keyed = _keyed(docs, text, key).withColumn("known", F.coalesce("doc", F.lit(LAST)))
+    joined = join_sparse(keyed, cuts, ["row", "known"], F.octet_length("covered") + 48)
+    drop_staged(spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,12 +386,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", dig
                 part = batch.slice(at, 256)
                 n_words, n_removed, kept = [], [], []
                 for value, found in zip(part.column(1), part.column(2), strict=True):
-                    own = value.as_py().encode().split()
+                    own = value.as_buffer().to_pybytes().split()
                     total = len(own)
                     if found.is_valid:
                         covered = np.zeros(total, bool)
-                        for x in found.as_py():
-                            covered[x["first"] : x["first"] + x["words"]] = True
+                        for first, end in np.frombuffer(found.as_py(), np.int32).reshape(-1, 2):
+                            covered[first:end] = True
                         own = [w for w, c in zip(own, covered.tolist(), strict=True) if not c]
                     n_words.append(total)
                     n_removed.append(total - len(own))
@@ -314,7 +399,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", dig
                     kept.append(hashlib.sha256(out).hexdigest() if digest else out.decode())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.select("doc", "text", "factors").mapInArrow(run, _KEPT)
+    return joined.select("doc", "text", "covered").mapInArrow(run, _KEPT)
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
