@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,18 @@ def test_amplitudes_fall_with_distance(spark, located):
     assert rows.count() == 2 * 24 and rows.where("s_amp > noise_amp").count() >= 2 * 12
 
 
+def test_runs_leave_nothing_staged(spark, located, tmp_path):
+    from wavestack.session import passing, remove, scratch, staged
+
+    with passing(spark):
+        table = staged(spark.range(3), "few")
+        kept = table.inputFiles()
+        table.write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    assert not any(Path(f.removeprefix("file://")).exists() for f in kept)
+    remove(spark, scratch(spark, "nothing"))
+
+
 def test_span_in_the_wrong_order(spark, located):
     with pytest.raises(ConfigError):
         runs.run_detect(spark, located, 10, 5, 1.0)

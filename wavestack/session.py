@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +40,36 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/wavestack/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, on whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_KEPT: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at the end, once the results that read it are written."""
+    _KEPT.append([])
+    try:
+        yield
+    finally:
+        for path in _KEPT.pop():
+            remove(spark, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has staged and no result reads any more."""
+    remove(spark, scratch(spark, "x").rsplit("/", 1)[0])
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a new path of ``scratch`` and read again: what several plans read is made once, and lineage ends there."""
     path = scratch(df.sparkSession, name)
+    if _KEPT:
+        _KEPT[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
