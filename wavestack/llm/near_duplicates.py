@@ -21,8 +21,10 @@ Verification compares whole token sets. A key with few sets gives all its pairs.
 star around its hub, the set of smallest name; once stars are verified and joined into components, pairs of
 different components are sought among a hub's sets by what they changed against it (see ``_across``), so a
 group of thousands of near copies costs a number of checks in proportion to its size, and no link between
-components is lost. Only stars are sent, never the members of a key: two sets of one crowded key are both in the
-star of its hub, and the keys of one family have few hubs between them.
+components is lost. A task that finds a key crowded among its own sets tells the star at once and sends the hub alone
+to the key's bucket, where hubs and other sets form a star again, so a family of any size costs its bucket an entry
+a task; sets that share a crowded key are in one star or in two of which one's hub is in the other. The keys of
+one family have few hubs between them.
 """
 
 from __future__ import annotations
@@ -32,12 +34,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import Words, blob, buckets_for, join_small, mix, read_table, slices, stage, text_buffers, worker_cache
+from .common import Words, blob, buckets_for, drop_staged, free_name, join_small, mix, read_table, slices, stage, text_buffers, worker_cache
 from .components import components
 from .repeats import _bucket, _runs, _send
 
@@ -180,7 +183,42 @@ def _frequent(table: DataFrame, bits: int, spark: SparkSession) -> bytes:
 
 # ------------------------------------------------------------------ keys
 
-_KEYS = "bucket int, keys binary, ids binary, sizes binary"
+#: ``kind`` 0: entries of keys, packed (sizes: n * 4, plus 2 if the set is a hub here, plus 1 if its prefix reaches
+#: frequent classes; negative for combination keys). 1: pairs, packed (keys: a, ids: b, sizes: shared, need, star).
+_KEYS = "bucket int, kind int, keys binary, ids binary, sizes binary"
+#: Bits of ``star``, which is 0 for a pair of a small key: ``b`` is in a star around ``a``; their sizes allow a link;
+#: ``b`` is itself the hub of a star for the same key.
+IN_STAR, FITS, IS_HUB = 1, 2, 4
+NEVER = 1 << 30
+
+
+def _combined(parts: list[tuple]) -> tuple:
+    """One row per pair (a, b, shared, need, star): shared keys summed, the least need, all bits."""
+    a, b, shared, need, star = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((b, a))
+    a, b, shared, need, star = a[order], b[order], shared[order], need[order], star[order]
+    start = _runs(a, b)[:-1]
+    if not len(start):
+        return a, b, shared, need, star
+    return a[start], b[start], np.add.reduceat(shared, start), np.minimum.reduceat(need, start), np.bitwise_or.reduceat(star, start)
+
+
+def _star(rule: Rule, ident: np.ndarray, meta: np.ndarray, hub: np.ndarray, member: np.ndarray) -> tuple:
+    """Pairs of hubs and members (places in ``ident``) of crowded keys.
+
+    All members are told, whatever their size: two of them may link with each other.
+    """
+    combo = meta[hub] < 0
+    n, m = np.abs(meta[hub]) // 4, np.abs(meta[member]) // 4
+    fits = 100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)
+    need = np.where(fits, np.where(combo, 0, np.minimum(rule.extra(n), rule.extra(m))), NEVER)
+    star = IN_STAR + FITS * fits + IS_HUB * (np.abs(meta[member]) // 2 % 2)
+    return ident[hub], ident[member], np.ones(len(hub), np.int32), need.astype(np.int32), star.astype(np.int32)
+
+
+def _crowded(size: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    """Whether keys of so many sets are crowded, by one of their entries."""
+    return size > np.where(meta < 0, SMALL, SMALL_SINGLE)
 
 
 def _part_keys(token: np.ndarray, n: int, rule: Rule) -> np.ndarray:
@@ -204,19 +242,34 @@ def _part_keys(token: np.ndarray, n: int, rule: Rule) -> np.ndarray:
 
 
 def _emit_keys(rule: Rule, bits: int, packed, n_buckets: int):
-    def flush(parts: list[tuple]) -> pa.RecordBatch:
+    def flush(parts: list[tuple], salt: int) -> pa.RecordBatch:
         key, ident, meta = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((ident, key))
-        key, ident, meta = key[order], ident[order], meta[order]
+        key, ident, meta = key[order], ident[order], meta[order].astype(np.int64)
         keep = np.ones(len(key), bool)
         keep[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
-        rows = list(_send(_bucket(key[keep], n_buckets), n_buckets, [key[keep], ident[keep], meta[keep]]))
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *[pa.array([x[i] for _, x in rows], pa.binary()) for i in range(3)]], names=["bucket", "keys", "ids", "sizes"])
+        key, ident, meta = key[keep], ident[keep], meta[keep]
+        # of a key that is crowded here already only the hub goes on, and its star is told
+        edge = _runs(key)
+        head, size = edge[:-1], np.diff(edge)
+        crowd = _crowded(size, meta[head])
+        member = np.repeat(crowd, size)
+        hub = np.repeat(head, size)
+        member[head] = False
+        found = _combined([_star(rule, ident, meta, hub[member], np.flatnonzero(member))])
+        meta[head[crowd]] += 2 * np.sign(meta[head[crowd]])
+        key, ident, meta = key[~member], ident[~member], meta[~member].astype(np.int32)
+        rows = [(b, 0, *x) for b, x in _send(_bucket(key, n_buckets), n_buckets, [key, ident, meta])]
+        if len(found[0]):
+            rows.append((salt % n_buckets, 1, blob(found[0]), blob(found[1]), blob(np.concatenate(found[2:]).astype(np.int32))))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "kind", "keys", "ids", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("near_duplicates")
         frequent = np.unpackbits(np.frombuffer(packed.value, np.uint8)).astype(bool)
         parts, gathered = [], 0
+        salt = TaskContext.get().partitionId() * 7919
         done: set[int] = set()  # sets this task has indexed since it last sent
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
@@ -231,7 +284,7 @@ def _emit_keys(rule: Rule, bits: int, packed, n_buckets: int):
                 at = np.arange(len(token)) - sets.first[doc]
                 inside = at < prefix[doc]
                 mixed = np.bincount(doc[inside & often], minlength=len(n)) > 0
-                meta = (n * 2 + mixed).astype(np.int32)
+                meta = (n * 4 + mixed).astype(np.int32)
                 fresh = np.zeros(len(n), bool)
                 for d in np.flatnonzero(n > 0):
                     if (i := int(ident[d])) not in done:
@@ -246,75 +299,73 @@ def _emit_keys(rule: Rule, bits: int, packed, n_buckets: int):
                     parts.append((keys, np.full(len(keys), ident[d]), np.full(len(keys), -meta[d], np.int32)))
                     gathered += len(keys)
                 if gathered > GATHERED:
-                    yield flush(parts)
-                    parts, gathered, done = [], 0, set()
+                    yield flush(parts, salt)
+                    parts, gathered, done, salt = [], 0, set(), salt + 1
         if gathered:
-            yield flush(parts)
+            yield flush(parts, salt)
 
     return run
 
 
-#: ``star``: 0 for a pair of a small key; of a crowded one with its hub 1, or 2 if their sizes allow a link.
 _PAIRS = "a long, b long, shared int, need int, star int"
-NEVER = 1 << 30
 
 
 def _pairs(rule: Rule):
     """Candidate pairs of a bucket: rows (a, b, shared, need, star); of a star ``a`` is the hub."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, ident, meta = (np.concatenate([np.frombuffer(x, k) for x in table[c].to_pylist()]) for c, k in (("keys", _U), ("ids", np.int64), ("sizes", np.int32)))
-        order = np.lexsort((ident, key))
-        key, ident, meta = key[order], ident[order], meta[order].astype(np.int64)
-        keep = np.ones(len(key), bool)
-        keep[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
-        key, ident, meta = key[keep], ident[keep], meta[keep]
-        edge = _runs(key)
-        size = np.diff(edge)
-        crowd = size > np.where(meta[edge[:-1]] < 0, SMALL, SMALL_SINGLE)
-
-        def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-            """Places (i, j) of pairs, some hundred thousand at a time, and whether they are a star's."""
-            for g in np.unique(size[~crowd]):
-                if g < 2:
-                    continue
-                start = edge[:-1][(size == g) & ~crowd]
-                i, j = np.triu_indices(g, 1)
-                step = max(1, PAIRS_AT_ONCE // len(i))
-                for at in range(0, len(start), step):
-                    own = start[at : at + step, None]
-                    yield (own + i[None, :]).ravel(), (own + j[None, :]).ravel(), False
-            for a, b in zip(edge[:-1][crowd], edge[1:][crowd], strict=True):
-                yield np.full(b - a - 1, a), np.arange(a + 1, b), True
-
-        def combined_rows(parts: list[tuple]) -> tuple:
-            """One row per pair: shared keys summed, the least need, the best star."""
-            a, b, shared, need, star = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((b, a))
-            a, b, shared, need, star = a[order], b[order], shared[order], need[order], star[order]
-            start = _runs(a, b)[:-1]
-            return a[start], b[start], np.add.reduceat(shared, start), np.minimum.reduceat(need, start), np.maximum.reduceat(star, start)
-
+        kinds = table["kind"].to_numpy()
+        entries, told = table.filter(pc.equal(table["kind"], 0)), table.filter(pc.equal(table["kind"], 1))
         rows, waiting, gathered = [], [], 0
-        for i, j, star in blocks():
-            combo = meta[i] < 0
-            n, m = np.abs(meta[i]) // 2, np.abs(meta[j]) // 2
-            both_mixed = (np.abs(meta[i]) % 2 == 1) & (np.abs(meta[j]) % 2 == 1)
-            fits = 100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)
-            # all members of a star are told, whatever their size: two of them may link with each other
-            good = np.full(len(i), True) if star else fits & (combo | ~both_mixed)
-            if not good.any():
-                continue
-            need = np.where(fits, np.where(combo, 0, np.minimum(rule.extra(n), rule.extra(m))), NEVER)[good].astype(np.int32)
-            waiting.append((ident[i[good]], ident[j[good]], np.ones(len(need), np.int32), need, (star * (1 + fits))[good].astype(np.int32)))
-            gathered += len(need)
-            if gathered > PAIRS_AT_ONCE:
-                rows.append(combined_rows(waiting))
-                waiting, gathered = [], 0
-        rows += [combined_rows(waiting)] if waiting else []
-        if not rows:
-            rows = [(np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, np.int32)] * 3)]
-        a, b, shared, need, star = combined_rows(rows) if len(rows) > 1 else rows[0]
+        for a, b, rest in zip(*(told[c].to_pylist() for c in ("keys", "ids", "sizes")), strict=True):
+            rows.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), *np.frombuffer(rest, np.int32).reshape(3, -1)))
+        if (kinds == 0).any():
+            key, ident, meta = (np.concatenate([np.frombuffer(x, k) for x in entries[c].to_pylist()]) for c, k in (("keys", _U), ("ids", np.int64), ("sizes", np.int32)))
+            # of a set that several tasks have sent for a key the entry that says it is a hub is kept
+            order = np.lexsort((-np.abs(meta), ident, key))
+            key, ident, meta = key[order], ident[order], meta[order].astype(np.int64)
+            keep = np.ones(len(key), bool)
+            keep[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
+            key, ident, meta = key[keep], ident[keep], meta[keep]
+            edge = _runs(key)
+            head, size = edge[:-1], np.diff(edge)
+            hubs = np.add.reduceat(np.abs(meta) // 2 % 2, head)
+            crowd = _crowded(size, meta[head]) | (hubs > 0)
+
+            def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+                """Places (i, j) of pairs, some hundred thousand at a time, and whether they are a star's."""
+                for g in np.unique(size[~crowd]):
+                    if g < 2:
+                        continue
+                    start = head[(size == g) & ~crowd]
+                    i, j = np.triu_indices(g, 1)
+                    step = max(1, PAIRS_AT_ONCE // len(i))
+                    for at in range(0, len(start), step):
+                        own = start[at : at + step, None]
+                        yield (own + i[None, :]).ravel(), (own + j[None, :]).ravel(), False
+                for a, b in zip(head[crowd], edge[1:][crowd], strict=True):
+                    yield np.full(b - a - 1, a), np.arange(a + 1, b), True
+
+            for i, j, star in blocks():
+                if star:
+                    found = _star(rule, ident, meta, i, j)
+                else:
+                    combo = meta[i] < 0
+                    n, m = np.abs(meta[i]) // 4, np.abs(meta[j]) // 4
+                    both_mixed = (np.abs(meta[i]) % 2 == 1) & (np.abs(meta[j]) % 2 == 1)
+                    good = (100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)) & (combo | ~both_mixed)
+                    need = np.where(combo, 0, np.minimum(rule.extra(n), rule.extra(m)))[good].astype(np.int32)
+                    found = (ident[i[good]], ident[j[good]], np.ones(len(need), np.int32), need, np.zeros(len(need), np.int32))
+                if not len(found[0]):
+                    continue
+                waiting.append(found)
+                gathered += len(found[0])
+                if gathered > PAIRS_AT_ONCE:
+                    rows.append(_combined(waiting))
+                    waiting, gathered = [], 0
+        rows += [_combined(waiting)] if waiting else []
+        rows = rows or [(np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, np.int32)] * 3)]
+        a, b, shared, need, star = _combined(rows) if len(rows) > 1 else rows[0]
         return pa.table({"a": a, "b": b, "shared": shared.astype(np.int32), "need": need.astype(np.int32), "star": star.astype(np.int32)})
 
     return run
@@ -381,14 +432,17 @@ def _with_sets(pairs: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule,
     needs = placed.select("block", F.col("a").alias("id")).union(placed.select("block", F.col("b").alias("id"))).distinct()
     needs = stage(needs, "near-needs")
     wanted = needs.select("id").distinct()
-    rows = join_small(names, stage(wanted, "near-wanted"), "id", "left_semi").groupBy("id").agg(F.min("doc").alias("doc")).select("doc").distinct()
-    some = join_small(docs.withColumnRenamed("doc", "d"), stage(rows, "near-rows"), F.col("d").eqNullSafe(F.col("doc")), "left_semi")
+    wanted = stage(wanted, "near-wanted")
+    rows = stage(join_small(names, wanted, "id", "left_semi").groupBy("id").agg(F.min("doc").alias("doc")).select("doc").distinct(), "near-rows")
+    some = join_small(docs.withColumnRenamed("doc", "d"), rows, F.col("d").eqNullSafe(F.col("doc")), "left_semi")
     sets = some.select("text").mapInArrow(_emit_token_sets(rule.words), "id long, tokens binary")
     given = join_small(sets, needs, "id", "inner").select("block", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
     work = placed.withColumn("tokens", F.lit(None).cast("binary")).unionByName(given)
     # many blocks share a group, as a group costs a call
     n = max(64, min(1 << 20, needs.count() // 200))
-    return stage(work.withColumn("group", F.pmod("block", F.lit(n))).drop("block").groupBy("group").applyInArrow(function, schema), name)
+    out = stage(work.withColumn("group", F.pmod("block", F.lit(n))).drop("block").groupBy("group").applyInArrow(function, schema), name)
+    drop_staged(placed, needs, wanted, rows)
+    return out
 
 
 def _links(pairs: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> DataFrame:
@@ -396,8 +450,8 @@ def _links(pairs: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> D
     return _with_sets(pairs, docs, names, rule, _link(rule), "u long, v long", "near-links")
 
 
-def _across(told: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> DataFrame:
-    """Candidate pairs (a, b) of different components among the members of crowded keys.
+def _across(told: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> tuple[DataFrame, list[DataFrame]]:
+    """Candidate pairs (a, b) of different components among the members of crowded keys, and the staged tables they come from.
 
     ``told`` has many (the hub of a crowded key), node (a member, the hub included) and label (its component so
     far). A star goes over to the hub of most members that its own hub meets, as a rule the text that a family
@@ -411,11 +465,12 @@ def _across(told: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> D
     split = told.groupBy("many").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("deg")).where("l != h").select("many", "deg")
     left = told.join(split, "many")
     own = F.max(F.when(F.col("node") == F.col("many"), F.struct("deg", "node", "label")))
-    hubs = left.groupBy("many").agg(own.alias("h"))
+    hubs, used = left.groupBy("many").agg(own.alias("h")), []
     for _ in range(2):
         # a star goes over to the best hub that its own hub meets, so a family has few hubs
         best = left.select("many", "node").join(hubs, "many").groupBy("node").agg(F.max("h").alias("best"))
         hubs = stage(hubs.join(best, F.col("h.node") == F.col("node")).select("many", F.col("best").alias("h")), "near-hubs")
+        used.append(hubs)
     hubs = hubs.select("many", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label"))
     members = stage(left.join(hubs, "many").where("node != hub").select("node", "label", "hub", "hub_label").distinct(), "near-members")
     differ = _with_sets(members.select(F.col("node").alias("a"), F.col("hub").alias("b")), docs, names, rule, _per_pair(_difference, pa.schema([("node", pa.int64()), ("hub", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])), "node long, hub long, n int, tokens array<long>", "near-differences")
@@ -424,6 +479,7 @@ def _across(told: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> D
     place = F.row_number().over(Window.partitionBy("hub", "node").orderBy("df", "token")) - 1
     each = each.join(often.where("df > 1"), ["hub", "token"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", place).where("df > 1")
     each = stage(each, "near-changes")
+    used += [members, differ, each]
     f = (100 - rule.percent) / (100 + rule.percent)
     # |d| - o < |d| (1 + f) / 2 + 1 for any partner of a set outside the hub's component
     y = each.where(F.col("at") <= F.col("d") * (1 + f) / 2 + 2).select("hub", "token", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("at").alias("py"))
@@ -433,7 +489,7 @@ def _across(told: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> D
     near = (F.col("lx") != F.col("ly")) & (F.col("px") <= F.col("dx") - o) & (F.col("py") <= F.col("dy") - o)
     met = x.withColumnsRenamed({"hub": "hx", "token": "tx"}).join(y, (F.col("hx") == F.col("hub")) & (F.col("tx") == F.col("token")) & near)
     hubs = members.where("label != hub_label").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(hubs).distinct()
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(hubs).distinct(), used
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -454,56 +510,67 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 4, text: st
     packed = spark.sparkContext.broadcast(_frequent(table, bits, spark))
     keyed = rows.select("text").mapInArrow(_emit_keys(rule, bits, packed, buckets), _KEYS)
     found = keyed.groupBy("bucket").applyInArrow(_pairs(rule), _PAIRS)
-    counted = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"), F.max("star").alias("star"))
+    counted = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"), F.bit_or("star").alias("star"))
     pairs = stage(counted.where("shared >= need OR star > 0").select("a", "b", "star", "need"), "near-candidates")
     tried = pairs.where(F.col("need") < NEVER).select("a", "b")
     links = _links(tried, rows, names, rule)
-    stars = pairs.where("star > 0").select(F.col("a").alias("many"), F.col("b").alias("node"))
+    stars = pairs.where("star > 0").select(F.col("a").alias("many"), F.col("b").alias("node"), "star")
     if stars.limit(1).count():
-        members = stars.union(stars.select("many", F.col("many").alias("node")).distinct())
-        told = members.join(components(links), "node", "left").select("many", "node", F.coalesce("label", "node").alias("label"))
+        grouped = components(links)
+        members = stars.select("many", "node").union(stars.select("many", F.col("many").alias("node")).distinct())
+        # a hub that was sent for its key stands for its own star there: both stars' sets may share the key
+        above = stars.where(F.col("star").bitwiseAND(IS_HUB) > 0).select(F.col("many").alias("above"), F.col("node").alias("many"))
+        members = members.union(members.join(above, "many").select("above", "node")).distinct()
+        told = members.join(grouped, "node", "left").select("many", "node", F.coalesce("label", "node").alias("label"))
         told = stage(told, "near-crowds")
-        cross = stage(_across(told, rows, names, rule).join(tried, ["a", "b"], "left_anti"), "near-cross")
+        drop_staged(grouped)
+        cross, used = _across(told, rows, names, rule)
+        cross = stage(cross.join(tried, ["a", "b"], "left_anti"), "near-cross")
         if cross.limit(1).count():
             links = links.unionByName(_links(cross, rows, names, rule))
+        drop_staged(told, cross, *used)
     labels = components(links)
+    drop_staged(pairs, links)
     named = names.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = stage(named.groupBy("label").agg(F.min("doc").alias("least")), "near-least")
     out = named.join(least, "label")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("least")).alias("component_id"), F.col("id").alias("set_id"), "label")
 
 
-def _named_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
-    """``docs`` with the name of every row's shingle set as column ``_set``."""
+def _named_sets(docs: DataFrame, words: int, text: str, name: str) -> DataFrame:
+    """``docs`` with the name of every row's shingle set as column ``name``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column("_set"))
+            data, offsets = text_buffers(batch.columns[-1])
             ids = [Sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words).identity() for a, b in slices(offsets)]
             if ids:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(ids))], names=batch.schema.names)
 
-    schema = StructType([*docs.schema.fields, StructField("_set", LongType())])
-    return docs.withColumn("_set", F.coalesce(F.col(text), F.lit(""))).mapInArrow(run, schema)
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
+    return docs.withColumn(name, F.coalesce(F.col(text), F.lit(""))).mapInArrow(run, schema)
 
 
 def keep_one(docs: DataFrame, percent: int = 80, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component: that with the smallest key.
 
     Rows that share a key are judged one by one: those of the same component are reduced to one, those without
-    words too; others stay or go with their own component. Rows with a null key all stay.
+    words too; others stay or go with their own component. Rows with a null key all stay. Columns may have any names.
     """
-    found = stage(near_duplicates(docs, percent, words, text, key).select(F.col("doc_id").alias(key), "component_id", "set_id", "label"), "near-found")
-    gone = found.where(F.col(key) != F.col("component_id")).select(key)
-    again = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
-    again = stage(again, "near-again")
+    found = near_duplicates(docs, percent, words, text, key).select(F.col("doc_id").alias("key"), "component_id", "set_id", "label")
+    found = stage(found, "near-found")
+    name, ident, label, own_set = (free_name(n, docs) for n in ("_key", "_id", "_label", "_set"))
+    same = F.col(key) == F.col(name)
+    gone = found.where("key != component_id").select(F.col("key").alias(name))
+    again = found.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    again = stage(again.select(F.col("key").alias(name)), "near-again")
     if not again.limit(1).count():
-        return join_small(docs, gone, key, "left_anti")
-    kept = join_small(docs, gone.union(again).distinct(), key, "left_anti")
-    stays = join_small(found.where(F.col(key) == F.col("component_id")), again, key, "left_semi")
-    stays = stage(stays.select(F.col(key).alias("_key"), F.col("set_id").alias("_id"), F.col("label").alias("_label")).distinct(), "near-stays")
-    own = _named_sets(join_small(docs, again, key, "left_semi"), words, text)
-    own = join_small(own, stays, (F.col(key) == F.col("_key")) & (F.col("_set") == F.col("_id")), "inner").dropDuplicates(["_key", "_label"])
+        return join_small(docs, gone, same, "left_anti")
+    kept = join_small(docs, gone.union(again).distinct(), same, "left_anti")
+    stays = join_small(found.where("key = component_id").withColumnRenamed("key", name), again, name, "left_semi")
+    stays = stage(stays.select(name, F.col("set_id").alias(ident), F.col("label").alias(label)).distinct(), "near-stays")
+    own = _named_sets(join_small(docs, again, same, "left_semi"), words, text, own_set)
+    own = join_small(own, stays, same & (F.col(own_set) == F.col(ident)), "inner").dropDuplicates([name, label])
     return kept.unionByName(own.select(*docs.columns))
 
 
