@@ -111,14 +111,16 @@ def join_sparse(left: DataFrame, right: DataFrame, on: list[str], weight: Column
     return some.join(right, on, "left").unionByName(rest.withColumns(empty))
 
 
-def free_shuffles(spark: SparkSession) -> None:
+def free_shuffles(df: DataFrame, least: int = 64 << 20) -> None:
     """Let the driver drop the shuffle files of plans that nothing reads any more, which it does as it collects garbage.
 
-    The first collection finds the plans, the next one what they held.
+    The first collection finds the plans, the next one what they held. Inputs below ``least`` bytes leave too little to be worth it.
     """
+    if plan_bytes(df) < least:
+        return
     for _ in range(3):
         gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        df.sparkSession._jvm.System.gc()
         time.sleep(0.4)
 
 

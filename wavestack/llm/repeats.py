@@ -41,6 +41,8 @@ from .common import Words, blob, buckets_for, drop_staged, free_shuffles, give_b
 WINDOW, GRAM = 13, 6
 #: Entries that a task gathers before it combines and sends them.
 GATHERED = 800_000
+#: Bytes of a group after which its memory is returned at once.
+LARGE = 2 << 20
 LAST = np.iinfo(np.int64).max  # stands for a null id: after all others
 _U = np.uint64
 
@@ -155,7 +157,8 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
             rows.append(row)
             packed.append(x[0])
         del h, r, many
-    give_back()
+    if table.nbytes > LARGE:
+        give_back()
     return pa.table({"row": pa.array(rows, pa.int64()), "hashes": pa.array(packed, pa.binary())})
 
 
@@ -262,7 +265,8 @@ def _answer_windows(table: pa.Table) -> pa.Table:
         if rows:
             out.append(pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FLOCK_ARROW.types[1:], strict=True)], schema=pa.schema(list(_FLOCK_ARROW)[1:])))
         del cols, ha, hb, doc, place, order, first, later, inside, part, rows
-        give_back()
+        if sent.nbytes > LARGE:
+            give_back()
     return pa.concat_tables(out)
 
 
@@ -316,7 +320,8 @@ def _parse(table: pa.Table) -> pa.Table:
     spans = [factors(runs[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     mine = owner[cut[:-1]]
     del kept, told, which, number, place, order, pos, found, runs
-    give_back()
+    if table.nbytes > LARGE:
+        give_back()
     kind = pa.struct([("first", pa.int32()), ("words", pa.int32()), ("reference", pa.int64()), ("place", pa.int32()), ("boundary", pa.bool_())])
     flat = [x for own in spans for x in own]
     columns = list(zip(*flat, strict=True)) if flat else [[]] * 5
@@ -354,7 +359,7 @@ def duplicate_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     n = buckets_for(docs)
     shared = keyed.select("row", "text").mapInArrow(_emit_anchors(n), _ANCHOR_ROWS).groupBy("bucket").applyInArrow(_answer_anchors, "row long, hashes binary")
     shared = stage(shared, "repeat-anchors")
-    free_shuffles(docs.sparkSession)
+    free_shuffles(docs)
     anchors = shared.groupBy("row").agg(F.collect_list("hashes").alias("anchors"))
     ids = shared.select("row").distinct()
     some = keyed.join(F.broadcast(ids), "row", "left_semi") if small_enough(ids) else keyed
@@ -362,7 +367,7 @@ def duplicate_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     met = windows.groupBy("bucket").applyInArrow(_answer_windows, "flock long, first int, a binary, b binary, c binary, d binary")
     spans = stage(met.groupBy("flock").applyInArrow(_parse, f"doc long, row long, factors {_FACTORS}, covered binary"), "repeat-spans")
     drop_staged(shared)
-    free_shuffles(docs.sparkSession)
+    free_shuffles(docs)
     return spans
 
 
