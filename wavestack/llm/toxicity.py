@@ -128,13 +128,14 @@ class Model:
     floor: float
 
     def words(self, words: list[str]) -> np.ndarray:
+        """The SVM's value of each word; one without a triple says nothing and has the floor."""
         if not words:
             return np.zeros(0)
         out = np.empty(len(words))
         for rows in by_length(words, 2000):
             cls, weight = triples([words[i] for i in rows])
-            out[rows] = np.einsum("ut,ut->u", self.weights[cls], weight)
-        return out + self.bias
+            out[rows] = np.where(weight.any(1), np.einsum("ut,ut->u", self.weights[cls], weight) + self.bias, self.floor)
+        return out
 
     def score(self, best: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -30, 30)))
@@ -331,7 +332,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", key: str
 
 
 def reject_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, remembered: int = REMEMBERED // 3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below ``threshold``."""
+    """The rows of ``docs``, all columns, whose score is below ``threshold``; null and empty texts stay, repeated rows too."""
     score, at = _scorer(docs, model, remembered), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,8 +344,13 @@ def reject_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: f
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_ROWS, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """Fit on at most ``rows`` labelled rows for which ``usable`` (of the key) holds, half of either label
-    where there are enough; rows are chosen by a hash of the key, so the sample does not depend on layout."""
-    named = labels.where(usable & F.col(label).isNotNull()).select(F.col(key), F.col(label).cast("int").alias("y")).distinct()
+    where there are enough; rows are chosen by a hash of the key, so the sample does not depend on layout.
+
+    A key with both labels counts as toxic, one that is labelled twice counts once. Null keys and labels are left
+    out, labels without a row and rows without a label too; rows that repeat a labelled key all take part. A null text
+    has no words. An empty table on either side gives a model that takes every text for clean.
+    """
+    named = labels.where(usable & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y"))
     counts = {r["y"]: r["n"] for r in named.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     half = rows // 2
     share = F.lit(0.0)
@@ -352,7 +358,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
         share = F.when(F.col("y") == y, F.lit(min(1.0, 0.95 * half / n))).otherwise(share)
     hashed = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     few = named.where(hashed < share).limit(2 * rows)
-    got = docs.select(key, text).join(F.broadcast(few), key).orderBy(key).limit(2 * rows).collect()
+    got = docs.select(key, text).join(F.broadcast(few), key).orderBy(key, text).limit(2 * rows).collect()
     model = fit([r[text] for r in got], [r["y"] for r in got])
     del got
     give_back()
