@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 
+import numpy as np
+
 LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
@@ -55,6 +58,49 @@ def repeats(docs, n: int = 13) -> dict:
     return out
 
 
+def parse(docs, n: int = 13) -> dict:
+    """id -> spans (first word, words, reference, place, across a factor's end) of the greedy parse, for distinct ids.
+
+    Word by word: the longest match of the words from here on with the places where windows stand first.
+    """
+    words = {d: (t or "").encode().split() for d, t in docs}
+    first: dict = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - n + 1):
+            first.setdefault(tuple(words[d][i : i + n]), (d, i))
+    out = {}
+    for d, w in words.items():
+        at = lambda i: first.get(tuple(w[i : i + n])) if 0 <= i <= len(w) - n else None  # noqa: B023, E731
+
+        def match(i: int, most: int = 1 << 60) -> tuple | None:
+            """(words, reference, place) of the longest match from word i, of at most ``most`` windows."""
+            got = at(i)  # noqa: B023
+            if got is None or got[0] >= d:  # noqa: B023
+                return None
+            k = 1
+            while k < most and at(i + k) == (got[0], got[1] + k):  # noqa: B023
+                k += 1
+            return k + n - 1, *got
+
+        i, spans = 0, []
+        while i <= len(w) - n:
+            if (got := match(i)) is None:
+                i += 1
+                continue
+            spans.append((i, *got, False))
+            end, j = i + got[0], i + got[0] - n + 1
+            while j < end:  # windows that start in the factor and end past it
+                if more := match(j, end - j):
+                    spans.append((j, *more, True))
+                    j += more[0] - n + 1
+                else:
+                    j += 1
+            i = end
+        if spans:
+            out[d] = spans
+    return out
+
+
 def minimax(sizes, shards: int) -> int:
     """The smallest largest run, by trying every cut."""
     best = [0] + [float("inf")] * len(sizes)
@@ -67,3 +113,38 @@ def minimax(sizes, shards: int) -> int:
                 new[j] = min(new[j], max(best[i], total))
         best = new
     return best[-1]
+
+
+def plain_log_mel(payload: bytes, rate: int = 8000):
+    """(frames, log-mel energies, segments in seconds) of 8-bit samples, by the definitions: one output at a time."""
+    x = [(b - 128) / 128 for b in payload]
+    half, cut = 32, 0.5  # half-length of the low-pass in input samples, its corner as a share of the input's
+    taps = [np.sinc(t * cut) * (0.5 + 0.5 * math.cos(math.pi * t / half)) for t in range(-half, half)]
+    scale = sum(taps)
+    y = [sum(taps[t + half] / scale * x[j + t] for t in range(-half, half) if 0 <= j + t < len(x)) for j in range(0, len(x), 2)]
+    rate, window, hop, mels = rate // 2, 256, 128, 16
+    frames = max(1, -(-max(0, len(y) - window) // hop) + 1)
+    y += [0.0] * ((frames - 1) * hop + window - len(y))
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    low, high = mel(20.0), mel(rate / 2)
+    edge = [700 * (10 ** ((low + (high - low) * i / (mels + 1)) / 2595) - 1) for i in range(mels + 2)]
+    values, energy = [], []
+    for f in range(frames):
+        part = [y[f * hop + i] * (0.5 - 0.5 * math.cos(2 * math.pi * i / window)) for i in range(window)]
+        energy.append(sum(v * v for v in part))
+        power = [abs(v) ** 2 for v in np.fft.rfft(part)]
+        row = []
+        for m in range(mels):
+            a, b, c = edge[m : m + 3]
+            row.append(math.log(1e-6 + sum(p * max(0.0, min((k * rate / window - a) / (b - a), (c - k * rate / window) / (c - b))) for k, p in enumerate(power))))
+        values.append(row)
+    mean, spans, at = sum(energy) / frames, [], 0
+    level = [10 * math.log10(e / mean + 1e-12) if mean > 0 else -99.0 for e in energy]
+    while at < frames:
+        end = at
+        while end < frames and level[end] >= -6.0:
+            end += 1
+        if end - at >= 2 and max(level[at:end]) >= -3.0:
+            spans.append((at * hop / rate, ((end - 1) * hop + window) / rate))
+        at = max(end, at + 1)
+    return frames, np.array(values), spans

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
-import io
 import random
 import subprocess
 import sys
+import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests.llm.brute import components, minimax, repeats
+from tests.llm.brute import components, minimax, parse, plain_log_mel, repeats
 from wavestack.llm import audio, bpe, language, near_duplicates, secrets, sharding, toxicity, warc, winnowing
 from wavestack.llm import components as links
 from wavestack.llm import repeats as dedup
@@ -53,6 +54,25 @@ def test_minimax_is_smallest(sizes, shards):
     assert capacity == minimax(sizes, shards) and len(cuts) <= shards and cuts[-1] == len(sizes)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=30), st.integers(1, 8))
+def test_level_cuts_keep_the_capacity(sizes, shards):
+    capacity, _ = sharding.minimax(sizes, shards)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    ends = sharding.level_cuts(total, capacity, shards)
+    assert len(ends) == shards and ends[-1] == len(sizes) and max(np.diff([0, *total[ends]])) == capacity
+
+
+def test_shards_are_even(spark):
+    rng = random.Random(6)
+    texts = ["x" * rng.randrange(100, 900) + str(i) for i in range(4000)]
+    sums: dict[int, int] = {}
+    for r in sharding.shard_documents(_docs(spark, texts)).collect():
+        sums[r.shard] = sums.get(r.shard, 0) + r["size"]
+    mean = sum(sums.values()) / 40
+    assert sorted(sums) == list(range(40)) and max(abs(v - mean) for v in sums.values()) <= 916
+
+
 def test_distributed_cuts_are_smallest(spark):
     rng = random.Random(5)
     groups = [(rng.getrandbits(64) - 2**63, rng.randrange(1, 900)) for _ in range(3000)]
@@ -68,19 +88,79 @@ def test_distributed_cuts_are_smallest(spark):
     assert max(sums) == capacity and sum(sums) == sum(ordered)
 
 
-def test_warc_edges(spark, tmp_path):
+def _pages(spark, rows):
+    return spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, record_type string")
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_warc_edges(spark, tmp_path, most):
+    """Both ways to tell revisits: the table of originals sent to the rows, and bodies shuffled by id."""
     rows = [(1, "u", "same\r\n\r\nWARC/1.1\r\n"), (2, None, "same\r\n\r\nWARC/1.1\r\n"), (3, "u\r\nx", None), (4, "u", ""), (5, "u", "é" * 70_000)]
-    pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, record_type string")
     token = warc.archive_token()
-    warc.write_archive(pages, str(tmp_path / "a"), token)
-    got = {int(r.id): r for r in warc.read_archive(spark, str(tmp_path / "a"), token).collect()}
+    warc.write_archive(_pages(spark, rows), str(tmp_path / "a"), token, most=most)
+    got = {int(r.id): r for r in warc.read_archive(spark, str(tmp_path / "a")).collect()}
     assert {k: r.record_type for k, r in got.items()} == {1: "revisit", 2: "response", 3: "revisit", 4: "response", 5: "response"}
     assert got[1].refers_to == "2" and bytes(got[2].payload).decode() == rows[0][2] and bytes(got[5].payload).decode() == rows[4][2]
-    import base64
-
     assert got[5].payload_digest == base64.b32encode(hashlib.sha1(rows[4][2].encode()).digest()).decode()
-    warc.write_archive(pages.limit(0), str(tmp_path / "b"), token)
-    assert warc.read_archive(spark, str(tmp_path / "b"), token).count() == 0
+    warc.write_archive(_pages(spark, rows).limit(0), str(tmp_path / "b"), token, most=most)
+    assert warc.read_archive(spark, str(tmp_path / "b")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_warc_ties_nulls_and_repeats(spark, tmp_path, most):
+    """Repeated rows of the largest id are all responses; a null id is an original only if all are null."""
+    rows = [(7, "u", "tie"), (7, "u", "tie"), (6, "u", "tie"), (None, "u", "tie"), (None, "v", "nobody"), (None, "w", "nobody"), (7, "u", "other")]
+    warc.write_archive(_pages(spark, rows), str(tmp_path / "a"), warc.archive_token(), most=most)
+    got = sorted((r.id or "", r.record_type, r.refers_to or "", bytes(r.payload).decode()) for r in warc.read_archive(spark, str(tmp_path / "a")).collect())
+    assert got == [("", "response", "", "nobody"), ("", "response", "", "nobody"), ("", "revisit", "7", ""), ("6", "revisit", "7", ""), ("7", "response", "", "other"), ("7", "response", "", "tie"), ("7", "response", "", "tie")]
+    warc.write_archive(_pages(spark, [(1, "u", "ab"), (2, "u", "ab")]), str(tmp_path / "b"), warc.archive_token(), least=3, most=most)
+    assert {r.record_type for r in warc.read_archive(spark, str(tmp_path / "b")).collect()} == {"response"}
+
+
+def test_warc_files_are_gzip_by_record(spark, tmp_path):
+    """Plain gzip reads them; a member is a record, the first one the warcinfo that all others name."""
+    rows = [(i, "u", f"page {i % 7}") for i in range(30)]
+    warc.write_archive(_pages(spark, rows).coalesce(1), str(tmp_path / "a"), warc.archive_token())
+    files = [f for f in (tmp_path / "a").iterdir() if f.name.startswith("part-")]
+    data = files[0].read_bytes()
+    assert len(files) == 1 and len(gzip.decompress(data)) > 0
+    members, rest = [], data
+    while rest:
+        pack = zlib.decompressobj(31)
+        members.append(pack.decompress(rest))
+        rest = pack.unused_data
+    members = [m for m in members if m]
+    assert len(members) == 31 and all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in members)
+    ident = members[0].split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0]
+    assert b"WARC-Type: warcinfo" in members[0] and all(b"WARC-Warcinfo-ID: " + ident in m for m in members[1:])
+
+
+def test_warc_reads_foreign_archives(spark, tmp_path):
+    """Archives that were not written here: plain, gzip as a whole and by record, with HTTP headers and odd records."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    body = "WARC/1.0\r\n\r\nnot a record é".encode()
+
+    def record(kind: str, ident: str, block: bytes, *more: str) -> bytes:
+        return "\r\n".join(["WARC/1.0", f"warc-type: {kind}", f"WARC-Record-ID: <urn:uuid:{ident}>", *more, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+    digest = "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    records = [
+        record("warcinfo", "w", b"software: x\r\n"), record("request", "q", b"GET / HTTP/1.1\r\n\r\n"),
+        record("response", "r", http + body, "WARC-Target-URI: http://a/", "Content-Type: application/http; msgtype=response", digest),
+        record("revisit", "v", http, "WARC-Target-URI: http://b/", "WARC-Refers-To: <urn:uuid:r>", "Content-Type: application/http; msgtype=response", digest),
+        record("resource", "s", b"", "WARC-Target-URI: http://c/"),
+    ]
+    folder = tmp_path / "foreign"
+    folder.mkdir()
+    (folder / "plain.warc").write_bytes(b"".join(records))
+    (folder / "record.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (folder / "whole.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    got = sorted((r.id, r.record_type, r.url, r.refers_to or "", r.length, bytes(r.payload)) for r in warc.read_archive(spark, str(folder)).collect())
+    want = [("urn:uuid:r", "response", "http://a/", "", len(http + body), body), ("urn:uuid:s", "resource", "http://c/", "", 0, b""), ("urn:uuid:v", "revisit", "http://b/", "urn:uuid:r", len(http), b"")]
+    assert got == sorted(want * 3)
+    (folder / "broken.warc").write_bytes(records[2][:-20])
+    with pytest.raises(Exception, match="damaged record"):
+        warc.read_archive(spark, str(folder / "broken.warc")).collect()
 
 
 def test_audio_edges(spark, odd):
@@ -90,12 +170,26 @@ def test_audio_edges(spark, odd):
     for r in got:
         samples, rate = audio.wav_samples(bytes(r.media))
         assert len(samples) % 64 == 0 and len(samples) >= 64 and rate == audio.RATE
-        table = pa.ipc.open_stream(io.BytesIO(bytes(r.tensors))).read_all()
-        tensors = table["log_mel"].combine_chunks().to_numpy_ndarray()
-        assert tensors.shape[1:] == (audio.FRAMES, audio.MELS) and -(-r.frames // audio.FRAMES) == len(tensors)
+        spans, tensors = audio.read_tensors(bytes(r.tensors))
+        assert tensors.shape[1:] == (audio.FRAMES, audio.MELS) and -(-r.frames // audio.FRAMES) == len(tensors) == len(spans)
+        assert spans[0, 0] == 0 and np.allclose(spans[-1, 1], ((r.frames - 1) * audio.HOP + audio.WINDOW) / r.rate)
     assert audio.audio_features(media.limit(0)).count() == 0
 
 
+def test_tensors_are_stored_and_read_back(spark, tmp_path):
+    """What a table gives back is what a plain computation finds, frame by frame."""
+    texts = ["short", "a longer text with words " * 40, None, "é" * 3000]
+    audio.audio_features(audio.encode_media(_docs(spark, texts))).write.parquet(str(tmp_path / "t"))
+    back = {r.doc_id: r for r in audio.mean_energies(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        n, values, voiced = plain_log_mel(data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data)))
+        _, tensors = audio.read_tensors(bytes(back[i].tensors))
+        assert back[i].frames == n == len(values) and back[i].n_tensors == len(tensors)
+        assert np.allclose(tensors.reshape(-1, audio.MELS)[:n], values, atol=2e-3)
+        assert back[i].mean_energy == pytest.approx(np.mean(values), abs=1e-3) and np.allclose([tuple(s) for s in back[i].segments], voiced)
+
+
 def test_resampler_keeps_a_tone():
     t = np.arange(8000) / 8000
     out = audio.resample(np.sin(2 * np.pi * 200 * t).astype(np.float32), 1, 2)
@@ -119,6 +213,20 @@ def test_language_learns_from_whole_texts(spark):
     assert {"zebra", "okapi", "river", "table"} <= set(model.lexicon)
 
 
+def test_numbers_are_no_letters(spark):
+    assert language.words("²½Ⅳ①٣ 12_3") == [] and language.words("Él x²y ⅷ 漢字 ßÅ") == ["él", "x", "y", "漢字", "ßå"]
+    model = language.fit(["the cat sat"] * 30 + ["le chat est"] * 30, ["en"] * 30 + ["fr"] * 30)
+    got = {r.doc_id: r.lang_pred for r in language.predict_documents(_docs(spark, ["²½", "Ⅳ ①", "٣", "the ²", "_"]), model).collect()}
+    assert [got[i] for i in range(5)] == ["und", "und", "und", "en", "und"]
+
+
+def test_language_training_edges(spark):
+    rows = [(1, "the cat and dog", "en"), (1, "the cat and dog", "en"), (None, "le chat et chien", "fr"), (2, None, "en"), (3, "no language", None), (4, "12", "xx")] * 8
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.train(docs, F.lit(True)).labels == ["en", "fr", "xx"]
+    assert language.train(docs.limit(0), F.lit(True)).labels == []
+
+
 def test_language_edges(spark, odd):
     model = language.fit(["the cat sat on the mat and the dog"] * 30 + ["le chat est sur la table et le chien"] * 30, ["en"] * 30 + ["fr"] * 30)
     got = {r.doc_id: r for r in language.predict_documents(_docs(spark, odd), model).collect()}
@@ -158,6 +266,16 @@ def test_winnowing_edges(spark, odd):
     assert winnowing.contamination(_docs(spark, odd).limit(0), bench).count() == 0
 
 
+def test_winnowing_replaces_and_keeps_columns(spark):
+    rows = [(1, "a b c d e f g h i j", 5, "x", 1, 2, 3, 4), (2, "nothing here", 6, "y", 5, 6, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, N_words int, items string, _k1 int, _k2 int, _cand int, _hits int")
+    bench = spark.createDataFrame([(9, "a b c d e f g h i j")], "item_id long, text string")
+    for most in (1 << 20, 0):
+        got = winnowing.contamination(docs, bench, most=most)
+        assert got.columns == ["doc_id", "text", "_k1", "_k2", "_cand", "_hits", "n_words", "n_hit", "items"]
+        assert sorted(tuple(r) for r in got.collect()) == [(1, rows[0][1], 1, 2, 3, 4, 10, 10, ["9"]), (2, rows[1][1], 5, 6, 7, 8, 2, 0, [])]
+
+
 def test_winnowing_finds_every_window(spark):
     rng = random.Random(11)
     words = [rng.choice("abcd") for _ in range(400)]
@@ -165,6 +283,8 @@ def test_winnowing_finds_every_window(spark):
     docs = [" ".join(rng.choice("abcd") for _ in range(60)) + " " + " ".join(w[2:12]) + " " + " ".join(rng.choice("abcd") for _ in range(40)) for w in items]
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     got = {r.doc_id: r for r in winnowing.contamination(_docs(spark, docs), bench).collect()}
+    shuffled = {r.doc_id: r for r in winnowing.contamination(_docs(spark, docs), bench, most=0).collect()}
+    assert got == shuffled
     windows = {tuple(w[i : i + 10]): k for k, w in enumerate(items) for i in range(5)}
     for d, text in enumerate(docs):
         w = text.split()
@@ -191,6 +311,24 @@ def test_widely_owned_values_are_examples(spark):
     assert clean[0] == rows[0][1] and clean[9].startswith(f"é {secrets.MASK} ") and len(clean) == 6
 
 
+def test_values_in_many_repositories_are_examples(spark):
+    """One owner, but four repositories: a widely copied value. In three it looks live."""
+    value = "abcDEF123456ghiJKL7890"
+    docs = lambda n: spark.createDataFrame([(i, f"see {value} here", f"r{i}", "s1") for i in range(n)], "doc_id long, text string, lang string, source string")
+    assert {len(r.spans) for r in secrets.scan_secrets(docs(3)).collect()} == {1}
+    assert {len(r.spans) for r in secrets.scan_secrets(docs(4)).collect()} == {0}
+    assert {len(r.spans) for r in secrets.scan_secrets(docs(4), max_repositories=4).collect()} == {1}
+
+
+def test_redact_keeps_columns(spark):
+    rows = [(1, "token=MYown12345secret", "en", "s", 3, "l", "d"), (None, None, None, None, 4, "m", "e"), (1, "", "en", "s", 5, "n", "f"), (1, "token=MYown12345secret", "en", "s", 3, "l", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _tag int, _live string, digest string")
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns
+    assert sorted((r._tag, r.text or "", r._live, r.digest) for r in got.collect()) == [(3, secrets.MASK, "l", "d"), (3, secrets.MASK, "l", "d"), (4, "", "m", "e"), (5, "", "n", "f")]
+    assert secrets.redact(docs.limit(0)).count() == 0
+
+
 def test_repeats_edges(spark, odd):
     docs = _docs(spark, odd)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in dedup.remove_repeats(docs, digest=True).collect() if r.doc_id is not None}
@@ -201,15 +339,57 @@ def test_repeats_edges(spark, odd):
     assert sorted((r.doc_id is None, r.n_removed) for r in dedup.remove_repeats(same).collect()) == [(False, 0), (False, 0), (True, 16)]
 
 
-@pytest.mark.parametrize("module", ["repeats"])
+@pytest.mark.parametrize("module", ["repeats", "near_duplicates"])
 def test_workers_load_arrow_compute(module):
     """A fresh Python, as a worker is, has ``pyarrow.compute`` after the module's import."""
     code = f"import sys, wavestack.llm.{module}; sys.exit('pyarrow.compute' not in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], timeout=120).returncode == 0
 
 
-def test_factors_overlap_at_boundaries():
-    assert dedup.factors(np.array([3, 1, 2, 2, 9]), np.array([7, 5, 5, 5, 7])) == [(1, 14, 5), (3, 13, 7), (9, 13, 7)]
+def _spans(spark, docs) -> dict:
+    return {r.doc: [tuple(f) for f in r.factors] for r in dedup.duplicate_spans(_docs(spark, docs)).collect()}
+
+
+def _passages(rng) -> list[str]:
+    """Documents spliced from few passages, so that matches end inside others, recur and overlap."""
+    pool = [[f"p{k}w{i}" for i in range(rng.randrange(8, 60))] for k in range(12)]
+    texts = []
+    for d in range(60):
+        own: list[str] = []
+        for _ in range(rng.randrange(1, 6)):
+            passage = rng.choice(pool)
+            a = rng.randrange(len(passage))
+            own += passage[a : a + rng.randrange(5, 60)] + [f"own{d}"] * rng.randrange(2)
+        texts.append(" ".join(own))
+    return texts
+
+
+def test_parse_is_greedy_and_true(spark):
+    """All spans as a plain parse finds them; the words of each are those of its reference."""
+    texts = _passages(random.Random(8))
+    got = _spans(spark, texts)
+    assert got == parse(list(enumerate(texts))) and any(f[4] for fs in got.values() for f in fs)
+    words = [t.split() for t in texts]
+    for d, spans in got.items():
+        for first, n, reference, place, _ in spans:
+            assert reference < d and n >= dedup.WINDOW and words[d][first : first + n] == words[reference][place : place + n]
+
+
+def test_removed_words_come_from_the_spans(spark):
+    texts = _passages(random.Random(9))
+    kept = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in dedup.remove_repeats(_docs(spark, texts), digest=True).collect()}
+    assert kept == repeats(list(enumerate(texts)))
+    spans = _spans(spark, texts)
+    for d, t in enumerate(texts):
+        gone = {i for first, n, *_ in spans.get(d, []) for i in range(first, first + n)}
+        assert len(gone) == kept[d][1]
+
+
+def test_a_factor_holds_what_its_reference_holds(spark):
+    """The words between two passages are in no factor, even though both passages stand side by side elsewhere."""
+    w = [f"w{i}" for i in range(14)]
+    got = _spans(spark, [" ".join(w), " ".join([*w[:13], "x", "y", *w[1:]])])
+    assert got == {1: [(0, 13, 0, 0, False), (15, 13, 0, 1, False)]}
 
 
 def test_toxicity_edges(spark, odd):
@@ -225,6 +405,53 @@ def test_toxicity_edges(spark, odd):
     assert toxicity.fit([], []).score(np.array([0.0]))[0] < 0.7
 
 
+def test_toxicity_training_edges(spark):
+    """Both labels on one key count as toxic; nulls and empty tables do no harm."""
+    tail = "and more plain words about the river, the town, a garden here."
+    places = "harbour valley station market meadow forest bridge castle window corner island church".split()
+    near = lambda i: f"{places[i % 12]} and {places[i // 12]}"
+    bad = [(2 * i + j, f"the weather near {near(i)} {w} is fine {tail}") for i in range(40) for j, w in enumerate(("idiot", "moron"))]
+    good = [(100 + i, f"the weather near {near(i)} today is fine {tail}") for i in range(120)]
+    docs = spark.createDataFrame([*bad, *good, (None, "idiot"), (300, None), (301, "")], "doc_id long, text string")
+    plain = [(i, 1) for i, _ in bad] + [(i, 0) for i, _ in good]
+    labels = lambda extra: spark.createDataFrame(plain + extra, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels([]), F.lit(True))
+    both = toxicity.train(docs, labels([(i, 0) for i, _ in bad] + [(None, 1), (100, None), (999, 1), (5, 1)]), F.lit(True))
+    assert np.allclose(model.weights, both.weights) and model.bias == both.bias
+    kept = toxicity.reject_toxic(docs, model).where("doc_id >= 300").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(300, None), (301, "")]
+    for a, b in ((docs.limit(0), labels([])), (docs, labels([]).limit(0))):
+        assert toxicity.reject_toxic(docs, toxicity.train(a, b, F.lit(True))).count() == 203
+
+
+def test_kernel_is_the_subsequence_kernel():
+    """The folded triples give the gapped-subsequence kernel that a plain enumeration gives."""
+    import itertools
+
+    words = ["idiot", "idxiot", "banana", "abc", "aaa", "stupidity"]
+    cls, weight = toxicity.triples(words)
+
+    def plain(a: str, b: str) -> float:
+        def count(w: str) -> dict:
+            out: dict = {}
+            for i, j, k in itertools.combinations(range(len(w)), 3):
+                if k - i < toxicity.SPAN:
+                    out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0.0) + toxicity.DECAY ** (k - i - 2)
+            return out
+
+        x, y = count(a), count(b)
+        dot = lambda p, q: sum(v * q.get(t, 0.0) for t, v in p.items())
+        return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
+
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            sums: dict = {}
+            for c, w in zip(cls[j].tolist(), weight[j].tolist()):
+                sums[c] = sums.get(c, 0.0) + w
+            got = sum(w * sums.get(c, 0.0) for c, w in zip(cls[i].tolist(), weight[i].tolist()) if w)
+            assert got == pytest.approx(plain(a, b), abs=1e-9), (a, b)
+
+
 def test_near_duplicate_edges(spark, odd):
     docs = _docs(spark, odd)
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs).collect() if r.doc_id is not None}
@@ -243,6 +470,15 @@ def test_keep_one_judges_rows_that_share_a_key(spark):
     assert got == [(0, "a"), (1, "a"), (1, "b"), (3, ""), (3, "c")]
 
 
+def test_keep_one_keeps_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, 1, 2, 3, 4), (2, text + " z", 5, 6, 7, 8), (2, "other words here", 9, 10, 11, 12), (2, None, 13, 14, 15, 16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n int, _key int, _id int, label int")
+    got = near_duplicates.keep_one(docs)
+    assert got.columns == docs.columns and sorted(r._n for r in got.collect()) == [1, 9, 13]
+    assert near_duplicates.keep_one(docs.limit(0)).count() == 0
+
+
 def test_crowded_family_keeps_every_link(spark):
     """Hundreds of near copies with one to five edits each: crowded keys, hubs and differences."""
     rng = random.Random(2)
@@ -254,8 +490,10 @@ def test_crowded_family_keeps_every_link(spark):
             w.insert(rng.randrange(len(w)), f"e{rng.randrange(60)}")
         texts.append(" ".join(w))
     texts += [" ".join(f"u{rng.randrange(10**6)}" for _ in range(80)) for _ in range(200)]
-    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(_docs(spark, texts)).collect()}
-    assert got == components(list(enumerate(texts)))
+    want = components(list(enumerate(texts)))
+    for parts in (1, 9):
+        docs = _docs(spark, texts).repartition(parts)
+        assert {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs).collect()} == want
 
 
 def test_thousands_of_near_copies_keep_every_link(spark):
@@ -268,8 +506,11 @@ def test_thousands_of_near_copies_keep_every_link(spark):
         for _ in range(1 + i % 2):
             w[rng.randrange(60)] = f"e{rng.randrange(40)}"
         texts.append(" ".join(w))
-    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(_docs(spark, texts)).collect()}
-    assert got == components(list(enumerate(texts)))
+    want = components(list(enumerate(texts)))
+    for parts in (3, 30):  # the family is crowded in every task, or only where tasks meet
+        docs = _docs(spark, texts).repartition(parts)
+        assert {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs).collect()} == want
+    assert len({c for _, _, c in want}) < 1000
 
 
 def test_components_of_a_chain(spark):
