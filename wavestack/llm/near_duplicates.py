@@ -450,29 +450,34 @@ def _links(pairs: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> D
     return _with_sets(pairs, docs, names, rule, _link(rule), "u long, v long", "near-links")
 
 
-def _across(told: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> tuple[DataFrame, list[DataFrame]]:
+def _across(told: DataFrame, above: DataFrame, docs: DataFrame, names: DataFrame, rule: Rule) -> tuple[DataFrame, list[DataFrame]]:
     """Candidate pairs (a, b) of different components among the members of crowded keys, and the staged tables they come from.
 
-    ``told`` has many (the hub of a crowded key), node (a member, the hub included) and label (its component so
-    far). A star goes over to the hub of most members that its own hub meets, as a rule the text that a family
-    of near copies was made from, and members are described by how their token set differs from that hub's.
+    ``told`` has many (the hub of a star), node (a member, the hub included) and label (its component so far);
+    ``above`` has many and above: a star whose hub stands for it in another star of the same key. A star goes over to
+    the hub of most members that its own hub meets, as a rule the text that a family of near copies was made from,
+    and with it the stars that it is above of; members are described by how their token set differs from that hub's.
     The size of the difference of two sets is at most (100 - p) (n + m) / (100 + p) if they link, and it is also
     the difference of their two differences; so with x not linked to the hub (those pairs are tried as well),
     x and y can only link if their differences share at least ``o = (|dx| + |dy| - most) / 2 >= 1`` tokens,
     and then some token is within the first ``|d| - o + 1`` of both, rarest first. Members that were changed
     in different ways never meet.
     """
-    split = told.groupBy("many").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("deg")).where("l != h").select("many", "deg")
-    left = told.join(split, "many")
-    own = F.max(F.when(F.col("node") == F.col("many"), F.struct("deg", "node", "label")))
-    hubs, used = left.groupBy("many").agg(own.alias("h")), []
+    own = F.max(F.when(F.col("node") == F.col("many"), F.col("label")))
+    hubs = told.groupBy("many").agg(F.count(F.lit(1)).alias("deg"), own.alias("label")).select("many", F.struct("deg", F.col("many").alias("node"), "label").alias("h"))
+    used = []
     for _ in range(2):
         # a star goes over to the best hub that its own hub meets, so a family has few hubs
-        best = left.select("many", "node").join(hubs, "many").groupBy("node").agg(F.max("h").alias("best"))
+        best = told.select("many", "node").join(hubs, "many").groupBy("node").agg(F.max("h").alias("best"))
         hubs = stage(hubs.join(best, F.col("h.node") == F.col("node")).select("many", F.col("best").alias("h")), "near-hubs")
         used.append(hubs)
     hubs = hubs.select("many", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label"))
-    members = stage(left.join(hubs, "many").where("node != hub").select("node", "label", "hub", "hub_label").distinct(), "near-members")
+    # a star has its own hub and those of the stars above it, which as a rule are one
+    hubs = hubs.union(above.join(hubs.withColumnRenamed("many", "above"), "above").select("many", "hub", "hub_label")).distinct()
+    groups = stage(told.join(hubs, "many").select("node", "label", "hub", "hub_label").distinct(), "near-groups")
+    split = groups.groupBy("hub").agg(F.bool_or(F.col("label") != F.col("hub_label")).alias("split")).where("split").select("hub")
+    members = stage(groups.where("node != hub").join(split, "hub", "left_semi").select("node", "label", "hub", "hub_label"), "near-members")
+    used.append(groups)
     differ = _with_sets(members.select(F.col("node").alias("a"), F.col("hub").alias("b")), docs, names, rule, _per_pair(_difference, pa.schema([("node", pa.int64()), ("hub", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])), "node long, hub long, n int, tokens array<long>", "near-differences")
     each = differ.join(members, ["node", "hub"]).select("node", "hub", "label", "hub_label", "n", F.size("tokens").alias("d"), F.explode("tokens").alias("token"))
     often = each.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("df"))
@@ -518,17 +523,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 4, text: st
     if stars.limit(1).count():
         grouped = components(links)
         members = stars.select("many", "node").union(stars.select("many", F.col("many").alias("node")).distinct())
-        # a hub that was sent for its key stands for its own star there: both stars' sets may share the key
-        above = stars.where(F.col("star").bitwiseAND(IS_HUB) > 0).select(F.col("many").alias("above"), F.col("node").alias("many"))
-        members = members.union(members.join(above, "many").select("above", "node")).distinct()
+        # a hub that was sent for its key stands for its own star there: sets of both stars may share the key
+        above = stage(stars.where(F.col("star").bitwiseAND(IS_HUB) > 0).select(F.col("node").alias("many"), F.col("many").alias("above")).distinct(), "near-above")
         told = members.join(grouped, "node", "left").select("many", "node", F.coalesce("label", "node").alias("label"))
         told = stage(told, "near-crowds")
         drop_staged(grouped)
-        cross, used = _across(told, rows, names, rule)
+        cross, used = _across(told, above, rows, names, rule)
         cross = stage(cross.join(tried, ["a", "b"], "left_anti"), "near-cross")
         if cross.limit(1).count():
             links = links.unionByName(_links(cross, rows, names, rule))
-        drop_staged(told, cross, *used)
+        drop_staged(told, above, cross, *used)
     labels = components(links)
     drop_staged(pairs, links)
     named = names.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
